@@ -1,0 +1,42 @@
+"""TF-IDF retrieval as joins over postings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def terms(text: Column) -> Column:
+    """Words of two word characters or more, lower case, and pairs of neighbours."""
+    ws = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.get(F.transform(F.array(ws), lambda w: F.concat(w, pairs(w))), F.lit(0))
+
+
+def counted(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def index(chunks: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(postings(term, id, w), idf(term, idf)): sublinear counts, smooth idf, vectors of length 1."""
+    tf = counted(chunks.where(F.trim(text) != ""), key, text)
+    n = chunks.where(F.trim(text) != "").agg(F.count("*").alias("n"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return weighted(tf, idf).select("term", "id", "w"), idf
+
+
+def weighted(tf: DataFrame, idf: DataFrame) -> DataFrame:
+    raw = tf.join(idf, "term").withColumn("raw", (1 + F.ln("tf")) * F.col("idf"))
+    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norm, "id").withColumn("w", F.col("raw") / F.col("norm"))
+
+
+def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: str, chunk_text: str, k: int = 4) -> DataFrame:
+    """(key, chunk, score, place): the k best chunks of each query by cosine, positive ones only."""
+    postings, idf = index(chunks, chunk, chunk_text)
+    q = weighted(counted(queries, key, text), idf).select("term", F.col("id").alias("q"), F.col("w").alias("qw"))
+    scores = q.join(postings, "term").groupBy("q", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score")).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
+    top = scores.withColumn("place", place).where(F.col("place") <= k)
+    return top.select(F.col("q").alias(key), F.col("id").alias(chunk), "score", "place")
