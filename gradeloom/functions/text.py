@@ -116,8 +116,9 @@ def segment_paragraphs(c: Column) -> Column:
 
 
 def split_sentences(c: Column) -> Column:
-    """Parts behind closing punctuation and before a capital, accented letter, digit, quote or bracket."""
-    parts = F.split(F.trim(c), r"(?<=[.!?…])\s+(?=[A-Z\x{C0}-\x{1EF8}0-9\"'(])", -1)
+    """Parts behind closing punctuation and before a capital, accented letter, digit, quote or bracket; not behind initials."""
+    glued = F.regexp_replace(c, r"(?U)\b([A-Z\x{C0}-\x{1EF8}])\.\s*", "$1.")
+    parts = F.split(F.trim(glued), r"(?<=[.!?…])\s+(?=[A-Z\x{C0}-\x{1EF8}0-9\"'(])", -1)
     return F.filter(F.transform(parts, F.trim), lambda x: x != "")
 
 

@@ -115,3 +115,104 @@ def snap(x: Column, levels: list[float]) -> Column:
 def to_step(x: Column, step: float = 0.25) -> Column:
     """Half-even rounding to a step."""
     return F.rint(x / step) * step
+
+
+def icc(df: DataFrame, essay: str, rater: str, total: str) -> DataFrame:
+    """(n_essays, n_raters, icc): ICC(2,k) over essays that every rater scored; null where it isn't defined.
+
+    A rater's scores of an essay are averaged. Sums of squares come from sums by essay and by rater.
+    """
+    cells = df.where(F.col(total).isNotNull()).groupBy(essay, rater).agg(F.avg(total).alias("x"))
+    raters = cells.agg(F.countDistinct(rater).alias("k"))
+    per = Window.partitionBy(essay)
+    full = cells.withColumns({"m": F.count("*").over(per), "row": F.avg("x").over(per)}).join(F.broadcast(raters)).where("m = k")
+    columns = full.groupBy(rater).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.sum(F.col("row") * F.col("row")).alias("rr"), F.count("*").alias("n"), F.max("k").alias("k"))
+    a = columns.agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("rr").alias("rr"), F.sum((F.col("s") / F.col("n")) ** 2).alias("cc"), F.max("n").alias("n"), F.max("k").alias("k"))
+    c, n, k = F.col, F.col("n"), F.col("k")
+    grand = c("s") / (n * k)
+    rows, cols = c("rr") - n * k * grand**2, n * (c("cc") - k * grand**2)
+    ms_r, ms_c, ms_e = rows / (n - 1), cols / (k - 1), (c("ss") - n * k * grand**2 - rows - cols) / ((n - 1) * (k - 1))
+    a = a.select("n", "k", *(F.when((n >= 2) & (k >= 2), x).alias(name) for name, x in (("r", ms_r), ("c", ms_c), ("e", ms_e))))
+    denominator = c("r") + (c("c") - c("e")) / c("n")
+    return a.select(F.coalesce("n", F.lit(0)).alias("n_essays"), F.coalesce("k", F.lit(0)).alias("n_raters"), F.when(denominator > 0, (c("r") - c("e")) / denominator).alias("icc"))
+
+
+def rater_pairs(df: DataFrame, essay: str, rater: str, total: str, step: float = 0.25, least: int = 5) -> DataFrame:
+    """(rater_a, rater_b, n_common, qwk, adjacent, pearson) of pairs with enough essays in common."""
+    cells = df.where(F.col(total).isNotNull()).groupBy(essay, rater).agg(F.avg(total).alias("x"))
+    a, b = (cells.select(F.col(essay).alias("_e"), F.col(rater).alias(f"rater_{s}"), F.col("x").alias(s)) for s in "ab")
+    both = a.join(b, "_e").where("rater_a < rater_b")
+    by = ("rater_a", "rater_b")
+    i, j = bins(F.col("a"), step), bins(F.col("b"), step)
+    agg = both.groupBy(*by).agg(
+        F.count("*").alias("n_common"), F.sum((i - j) ** 2).alias("d"), F.sum(i**2).alias("ii"), F.sum(j**2).alias("jj"), F.sum(i).alias("si"), F.sum(j).alias("sj"),
+        F.avg((F.abs(F.col("a") - F.col("b")) <= 4 * step).cast("double")).alias("adjacent"), pearson("a", "b").alias("pearson"),
+    )
+    chance = F.col("n_common") * (F.col("ii") + F.col("jj")) - 2 * F.col("si") * F.col("sj")
+    kappa = F.when(chance > 0, 1 - F.col("n_common") * F.col("d") / chance).otherwise(1.0)
+    return agg.where(F.col("n_common") >= least).select(*by, "n_common", kappa.alias("qwk"), "adjacent", "pearson")
+
+
+def agreement_report(pairs: DataFrame) -> DataFrame:
+    """(n_pairs, mean_qwk, min_qwk, mean_adjacent, mean_pearson) over rater_pairs()."""
+    return pairs.agg(F.count("*").alias("n_pairs"), F.avg("qwk").alias("mean_qwk"), F.min("qwk").alias("min_qwk"), F.avg("adjacent").alias("mean_adjacent"), F.avg("pearson").alias("mean_pearson"))
+
+
+def rater_severity(df: DataFrame, essay: str, rater: str, total: str, sweeps: int = 30) -> DataFrame:
+    """(rater, leniency, interpretation, n_scored): score = mean + ability of the essay + leniency of the rater, by turns.
+
+    The cells of essay and rater are counted once; each sweep joins them with what the last one gave, and plans are cut
+    by checkpoints, so a lost executor costs a few sweeps at most.
+    """
+    from gradeloom.session import cut
+
+    rows = df.where(F.col(total).isNotNull())
+    mean = rows.agg(F.avg(total).alias("mu"))
+    cells = rows.groupBy(F.col(essay).alias("e"), F.col(rater).alias("r")).agg(F.count("*").alias("n"), F.sum(total).alias("s")).join(F.broadcast(mean))
+    cells = cut(cells.select("e", "r", "n", (F.col("s") - F.col("n") * F.col("mu")).alias("s")))
+    raters = cells.groupBy("r").agg(F.sum("n").alias("n_scored"))
+    beta = raters.select("r", F.lit(0.0).alias("beta"))
+    for sweep in range(sweeps):
+        theta = cells.join(beta, "r").groupBy("e").agg((F.sum(F.col("s") - F.col("n") * F.col("beta")) / F.sum("n")).alias("theta"))
+        beta = cells.join(theta, "e").groupBy("r").agg((F.sum(F.col("s") - F.col("n") * F.col("theta")) / F.sum("n")).alias("beta"))
+        if sweep % 3 == 2:
+            beta = cut(beta)
+    word = F.when(F.col("beta") > 0.25, "lenient").when(F.col("beta") < -0.25, "severe").otherwise("balanced")
+    return beta.join(raters, "r").select(F.col("r").alias(rater), F.col("beta").alias("leniency"), word.alias("interpretation"), "n_scored")
+
+
+def usability(df: DataFrame, items: list[str]) -> DataFrame:
+    """(n, mean, std, median, min, max, cronbach_alpha) of ten-item usability scores; rows with a null are left out.
+
+    An answer outside 1..5 fails the query.
+    """
+    if len(items) != 10:
+        raise ValueError("ten items are needed")
+    whole = F.lit(True)
+    for i in items:
+        whole = whole & F.col(i).isNotNull()
+    ok = lambda c: F.when(c.between(1, 5), c.cast("double")).otherwise(F.raise_error(F.lit("answers lie between 1 and 5")).cast("double"))
+    d = df.where(whole).select(*(ok(F.col(i)).alias(f"q{k}") for k, i in enumerate(items)))
+    q = [F.col(f"q{k}") for k in range(10)]
+    score = sum((x - 1 if k % 2 == 0 else 5 - x for k, x in enumerate(q)), F.lit(0.0)) * 2.5
+    spread = F.var_samp(sum(q[1:], q[0]))
+    alpha = F.when(spread > 0, F.lit(10 / 9) * (1 - sum((F.var_samp(x) for x in q[1:]), F.var_samp(q[0])) / spread)).otherwise(0.0)
+    return d.withColumn("s", score).agg(
+        F.count("*").alias("n"), F.avg("s").alias("mean"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("std"), F.percentile("s", F.lit(0.5)).alias("median"), F.min("s").alias("min"), F.max("s").alias("max"), alpha.alias("cronbach_alpha")
+    )
+
+
+def self_consistency(df: DataFrame, key: str, criterion: str, run: str, score: str, level: str, levels: list[float], top: float) -> DataFrame:
+    """(key, criterion, score, level, n_runs, spread, confidence) over several runs of a judge.
+
+    The median of the snapped scores, snapped; the most frequent level, the first seen of equal ones; the range over the
+    maximum as spread; confidence is one minus the mean spread of a key's criteria.
+    """
+    rows = df.where(F.col(score).isNotNull()).select(key, criterion, run, snap(F.col(score), levels).alias("x"), F.nullif(level, F.lit("")).alias("l"))
+    per_level = rows.groupBy(key, criterion, "l").agg(F.count("*").alias("c"), F.min(run).alias("at"), F.collect_list("x").alias("xs"))
+    agg = per_level.groupBy(key, criterion).agg(F.flatten(F.collect_list("xs")).alias("xs"), F.max(F.when(F.col("l").isNotNull(), F.struct("c", (-F.col("at")).alias("first"), "l"))).alias("best"))
+    xs, n = F.array_sort("xs"), F.size("xs")
+    middle = (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2
+    spread = (F.array_max("xs") - F.array_min("xs")) / top
+    out = agg.select(key, criterion, snap(middle, levels).alias("score"), F.coalesce("best.l", F.lit("")).alias("level"), n.alias("n_runs"), spread.alias("spread"))
+    return out.withColumn("confidence", F.round(1 - F.avg("spread").over(Window.partitionBy(key)), 3))

@@ -88,3 +88,83 @@ def by_split(df: DataFrame, a: str, b: str, split: str, exam: str) -> DataFrame:
     """mae, bias and n by split and by split and exam, in one pass of grouping sets."""
     e = F.col(b) - F.col(a)
     return df.groupingSets([[F.col(split)], [F.col(split), F.col(exam)]], F.col(split), F.col(exam)).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"))
+
+
+def human_benchmark(machine: DataFrame, human: DataFrame, least: float = 0.90) -> DataFrame:
+    """(machine_qwk, human_qwk, ratio, passed) of two one-row frames with qwk."""
+    both = machine.agg(F.max("qwk").alias("machine_qwk")).join(F.broadcast(human.agg(F.max("qwk").alias("human_qwk"))))
+    ratio = F.coalesce(F.try_divide("machine_qwk", "human_qwk"), F.lit(0.0))
+    return both.withColumns({"ratio": ratio, "passed": ratio >= least})
+
+
+def per_criterion(df: DataFrame, pairs: dict[str, tuple[str, str]], by: tuple[str, ...] = (), least: int = 5) -> DataFrame:
+    """metrics() of each criterion (name to gold and predicted column) with enough scores; one pass over all."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("criterion"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")) for k, (a, b) in pairs.items())))
+    return metrics(df.select(*by, each.alias("s")).select(*by, "s.*"), "_a", "_b", ("criterion", *by)).where(F.col("n") >= least)
+
+
+def length_bias(df: DataFrame, key: str, length: str, a: str, b: str, n_bins: int = 4) -> DataFrame:
+    """fairness() over quantile bins of length."""
+    from .sampling import quantile_bins
+
+    return fairness(quantile_bins(df, length, key, n_bins, "length_bin"), "length_bin", a, b)
+
+
+def totals(df: DataFrame, a: str, b: str, by: tuple[str, ...] = (), step: float = 0.25) -> DataFrame:
+    """n, mae, rmse, qwk over observed labels, pearson, bias, exact agreement up to half a step; null where not defined."""
+    from .agreement import qwk_observed
+
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    e = F.col(b) - F.col(a)
+    close = F.abs(e) <= step / 2 - 1e-4 + 1e-5 * F.abs(F.col(b))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), pearson(a, b).alias("pearson"), F.avg(e).alias("bias"), F.avg(close.cast("double")).alias("exact_agreement"))
+    kappa = qwk_observed(rows, a, b, by, step).drop("n")
+    return out.join(kappa, list(by), "left") if by else out.join(F.broadcast(kappa), F.lit(True), "left")
+
+
+def median_runs(df: DataFrame, key: str, run: str, total: str) -> DataFrame:
+    """(key, total, run_std, n_runs): the median of an essay's runs and their spread."""
+    return df.groupBy(key).agg(F.percentile(total, F.lit(0.5)).alias("total"), F.coalesce(F.stddev_samp(total), F.lit(0.0)).alias("run_std"), F.count(total).alias("n_runs"))
+
+
+def test_retest(median: DataFrame, tol: float = 0.25) -> DataFrame:
+    """(n_essays, mean_run_std, max_run_std, stable_share) over median_runs(); the figures are null if no essay has two runs."""
+    repeated = F.max("n_runs") > 1
+    return median.agg(
+        F.count("*").alias("n_essays"),
+        F.when(repeated, F.avg("run_std")).alias("mean_run_std"),
+        F.when(repeated, F.max("run_std")).alias("max_run_std"),
+        F.when(repeated, F.avg((F.col("run_std") <= tol).cast("double"))).alias("stable_share"),
+    )
+
+
+def bootstrap(df: DataFrame, key: str, columns: dict[str, Column], n: int = 1000, seed: str = "42", level: float = 0.95) -> DataFrame:
+    """(metric, estimate, low, high): percentile intervals of means over resamples.
+
+    Each row weighs a Poisson(1) count in each replicate, drawn from a hash of its key: the large-sample form of drawing with
+    replacement. Counts need no shuffle of rows: replicates are summed in map-side partial aggregates, and reruns agree.
+    """
+    u = lambda r: (F.pmod(F.xxhash64(F.lit(seed), key, r), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    steps, p = [], 0.36787944117144233
+    total = p
+    for k in range(1, 13):
+        steps.append(total)
+        p /= k
+        total += p
+    weighted = df.select(key, *(c.cast("double").alias(f"m_{m}") for m, c in columns.items()), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("r")).withColumn("u", u(F.col("r")))
+    weighted = weighted.withColumn("w", sum(((F.col("u") >= s).cast("int") for s in steps), F.lit(0))).where("w > 0")
+    means = weighted.groupBy("r").agg(*((F.sum(F.col("w") * F.col(f"m_{m}")) / F.sum(F.when(F.col(f"m_{m}").isNotNull(), F.col("w")))).alias(f"m_{m}") for m in columns))
+    tail = (1 - level) / 2
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"m_{m}").alias("x")) for m in columns)))
+    limits = means.select(rows.alias("s")).select("s.*").groupBy("metric").agg(F.percentile("x", F.lit(tail)).alias("low"), F.percentile("x", F.lit(1 - tail)).alias("high"))
+    point = df.agg(*(F.avg(c.cast("double")).alias(f"m_{m}") for m, c in columns.items())).select(rows.alias("s")).select("s.metric", F.col("s.x").alias("estimate"))
+    return point.join(F.broadcast(limits), "metric")
+
+
+def paired_delta(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, before, after, delta); fails where the two don't have the same keys."""
+    a, b = before.select(key, F.col(value).alias("before")), after.select(F.col(key).alias("_k"), F.col(value).alias("after"))
+    both = a.join(b, F.col(key) == F.col("_k"), "full_outer")
+    same = F.col(key).isNotNull() & F.col("_k").isNotNull()
+    checked = F.when(same, F.col("after") - F.col("before")).otherwise(F.raise_error(F.lit("the variants don't have the same keys")).cast("double"))
+    return both.select(key, "before", "after", checked.alias("delta"))

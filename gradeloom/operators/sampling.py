@@ -57,3 +57,66 @@ def anchors(scores: DataFrame, essay: str, total: str, per_level: int = 3) -> Da
     level = F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.rint("mean")))
     found = found.withColumn("level", level).withColumn("quality", F.round(F.col("sd") + F.abs(F.col("mean") - F.col("level")), 6))
     return top_per_group(found, "level", [F.col("quality"), F.col(essay)], per_level).select(essay, "level", "quality", "place")
+
+
+def ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
+    """df with 1..n in a global order, without a single-task window: ranges are sorted, counted, and numbered from their offsets."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    spread = _held(spread)
+    sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_b")  # one row a partition
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return spread.withColumn("_r", local).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_r")).drop("_p", "_b", "_r")
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """Partition numbers must not change between the two uses of df."""
+    from gradeloom.session import cut
+
+    return cut(df)
+
+
+def quantile_edges(n: int, bins: int) -> list[float]:
+    """Edges of right-closed quantile bins of the ranks 1..n."""
+    import numpy as np
+
+    return [float(1 + (n - 1) * q) for q in np.linspace(0, 1, bins + 1)] if n else []
+
+
+def quantile_bins(df: DataFrame, by: str, tie: str, bins: int, name: str = "bin") -> DataFrame:
+    """df with the number of the right-closed quantile bin of its rank by value; sizes differ from those of ntile."""
+    ranked = ordinal(df, [F.col(by), F.col(tie)], "_rank")
+    edges = quantile_edges(ranked.count(), bins)
+    below = sum(((F.col("_rank") > e).cast("int") for e in edges), F.lit(0))
+    return ranked.withColumn(name, F.greatest(F.lit(0), below - 1)).drop("_rank")
+
+
+def stratified_pilot(df: DataFrame, key: str, length: str, n: int, bins: int = 5, seed: str = "42") -> DataFrame:
+    """n // bins essays of each length bin (all if it has fewer), by hash order."""
+    binned = quantile_bins(df, length, key, bins)
+    return top_per_group(binned, "bin", [F.xxhash64(F.lit(seed), key), F.col(key)], n // bins)
+
+
+def uncertainty_sample(df: DataFrame, key: str, uncertainty: str, group: str, n: int) -> DataFrame:
+    """n essays: the most uncertain n // groups (one at least) of each group, then the most uncertain others."""
+    groups = max(1, df.select(group).distinct().count())
+    order = [F.col(uncertainty).desc(), F.col(key)]
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    first = ranked.where(F.col("_r") <= max(1, n // groups)).withColumn("_late", F.lit(0))
+    # the rest of the sample is among the first n rows of each group
+    rest = ranked.where((F.col("_r") > max(1, n // groups)) & (F.col("_r") <= n)).withColumn("_late", F.lit(1))
+    return first.unionByName(rest).orderBy("_late", *order).limit(max(n, groups)).drop("_r", "_late")
+
+
+def group_holdout(df: DataFrame, group: str, key: str, prompt: str, held: list[str], seed: str = "42", train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """hash_split() by group (the key where it is null), where every essay of a group with a held-out prompt goes to test."""
+    d = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.concat(F.lit("essay:"), F.col(key).cast("string"))))
+    out = d.where(F.col(prompt).isin(*held)).select("_g").distinct().withColumn("_held", F.lit(True))
+    split = hash_split(d, "_g", seed, train, validation).join(out, "_g", "left")
+    return split.withColumn("split", F.when(F.col("_held"), "test").otherwise(F.col("split"))).drop("_g", "_held")
+
+
+def batches(df: DataFrame, rater: str, key: str, size: int = 50, seed: str = "42") -> DataFrame:
+    """df with batch: each rater's essays in hash order, in runs of a size."""
+    place = F.row_number().over(Window.partitionBy(rater).orderBy(F.xxhash64(F.lit(seed), key), key))
+    return df.withColumn("batch", F.floor((place - 1) / size).cast("int"))

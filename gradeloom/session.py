@@ -44,3 +44,12 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         context._gradeloom_shipped = True
     return spark
+
+
+def cut(df):
+    """df read back from a checkpoint in the shared folder that the session names; a folder of its own only where none is named."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradeloom-cuts-"))
+    return df.checkpoint()
