@@ -6,10 +6,11 @@ from functools import reduce
 from operator import add
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .text import diacritic_ratio, ratio, segment_paragraphs, split_sentences
+from .text import cosine, diacritic_ratio, once, ratio, segment_paragraphs, split_sentences
 from .vietnamese import is_syllable, words
 
 # Function words.
@@ -63,11 +64,6 @@ CONFUSED = {
 CITATIONS = (r"\[\d+\]", r"(?U)\([A-Z\x{C0}-\x{1EF8}][\w.]+,?\s*\d{4}\)", r"(?iU)\b(theo|dẫn theo|trích|nguồn)\s*[:\-]?\s*[A-Z\x{C0}-\x{1EF8}]", r"(?iU)\b(tài liệu tham khảo|danh mục tài liệu)\b")
 
 
-def once(x: Column, f) -> Column:
-    """f of x, with x computed once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def occurrences(low: Column, phrases) -> Column:
     """How often the phrases occur as parts of a text, each counted without overlaps of its own."""
     return reduce(add, ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p) for p in phrases))
@@ -101,7 +97,7 @@ def surface(df: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("_t", "_w", "_s", "_p", "_l")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mtld(tokens: pd.Series) -> pd.Series:
     """Lexical diversity read forwards and backwards: mean length of runs that keep a type-token ratio over 0.72."""
 
@@ -226,8 +222,6 @@ def discourse(df: DataFrame, text: str = "text") -> DataFrame:
 
 def centroid_similarity(df: DataFrame, vector: str) -> DataFrame:
     """df with sim_centroid: cosine to the mean vector, which has one number a dimension and is broadcast."""
-    from .text import cosine
-
     dims = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centre = dims.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_c"))
     return df.join(F.broadcast(centre)).withColumn("sim_centroid", cosine(F.col(vector), F.col("_c"))).drop("_c")

@@ -11,8 +11,9 @@ from operator import add
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .text import fold
+from .text import fold, once
 
 # Exam names, and the phrases that tell exams apart.
 EXAMS = {f"de{z}{i}": f"De_{i}" for i in range(1, 6) for z in ("0", "", "_")}
@@ -50,7 +51,7 @@ def truth(c: Column, default: bool = False) -> Column:
 
 
 def flags_of_text(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def flags_of_map(c: Column) -> Column:
@@ -73,18 +74,21 @@ def exam_digit(c: Column) -> Column:
 
 def inferred_exam(text: Column, phrases: dict[str, tuple[str, ...]] = PHRASES) -> Column:
     """struct<exam, hits>: the exam with most of its phrases in a text; empty for none or a tie."""
-    body = F.coalesce(fold(text), F.lit(""))
-    score = {e: reduce(add, (F.contains(body, F.lit(p.lower())).cast("int") for p in ps)) for e, ps in phrases.items()}
-    best = F.greatest(*score.values())
-    winners = F.array_compact(F.array(*(F.when((s == best) & (s > 0), F.lit(e)) for e, s in score.items())))
-    return F.struct(F.when(F.size(winners) == 1, F.get(winners, F.lit(0))).otherwise("").alias("exam"), best.alias("hits"))
+    counts = lambda body: F.array(*(reduce(add, (F.contains(body, F.lit(p.lower())).cast("int") for p in ps)) for ps in phrases.values()))
+
+    def winner(score):
+        best = F.array_max(score)
+        names = F.array(*map(F.lit, phrases))
+        sole = (best > 0) & (F.size(F.filter(score, lambda s: s == best)) == 1)
+        return F.struct(F.when(sole, F.get(names, F.array_position(score, best).cast("int") - 1)).otherwise("").alias("exam"), best.alias("hits"))
+
+    return once(once(F.coalesce(fold(text), F.lit("")), counts), winner)
 
 
 def conflict_status(text: Column, declared: Column, policy: str = "quarantine", phrases=PHRASES) -> Column:
     """keep, or what the policy does where two phrases or more speak for another exam; short texts count as empty."""
-    found = inferred_exam(text, phrases)
-    strong = (found["exam"] != "") & (found["hits"] >= 2) & (found["exam"] != declared)
     action = {"quarantine": "quarantined", "correct": "corrected", "trust-source": "keep"}[policy]
+    strong = once(inferred_exam(text, phrases), lambda f: (f["exam"] != "") & (f["hits"] >= 2) & (f["exam"] != declared))
     return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < 20, "empty").when(strong, action).otherwise("keep")
 
 
@@ -152,7 +156,7 @@ def reason_counts(df: DataFrame, reasons: str) -> DataFrame:
     return each.select(F.trim(F.substring_index("r", "(", 1)).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def total_in_json(raw: pd.Series) -> pd.Series:
     """The total of the first JSON object that has a valid one, to quarters; null without. Nothing is clamped or guessed."""
     decoder = json.JSONDecoder()

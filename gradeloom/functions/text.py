@@ -31,6 +31,16 @@ MARKED = r"[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{1E00}-\x{1EFF}]"
 LETTER = r"\p{L}"
 
 
+def strip(c: Column) -> Column:
+    """c without blanks and line ends around it. transform() would hand F.trim itself the index as characters to trim."""
+    return F.trim(c, F.lit(" \t\n\r\f\x0b"))
+
+
+def once(x: Column, f) -> Column:
+    """f of x, with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip_invisible(c: Column) -> Column:
     """Entities, then tags, zero-width and control characters; line ends become LF."""
     c = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
@@ -55,8 +65,8 @@ def normalize_punct(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Runs of blanks become one, lines are stripped, three line ends or more become two."""
-    lines = F.transform(F.split(F.regexp_replace(c, r"[ \t\x{A0}]+", " "), "\n", -1), F.trim)
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    lines = F.transform(F.split(F.regexp_replace(c, r"[ \t\x{A0}]+", " "), "\n", -1), lambda x: strip(x))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def mask_urls(c: Column, mark: str = "<URL>") -> Column:
@@ -108,18 +118,18 @@ def tokens(c: Column) -> Column:
 
 def segment_paragraphs(c: Column) -> Column:
     """Parts between blank lines; if there is one only, lines of 15 characters or more; else the whole."""
-    strip = lambda a: F.filter(F.transform(a, F.trim), lambda x: x != "")
-    parts = strip(F.split(c, r"\n\s*\n", -1))
-    lines = F.filter(strip(F.split(c, "\n", -1)), lambda x: F.length(x) >= 15)
-    whole = F.when(F.trim(c) != "", F.array(F.trim(c))).otherwise(F.array().cast("array<string>"))
+    stripped = lambda a: F.filter(F.transform(a, lambda x: strip(x)), lambda x: x != "")
+    parts = stripped(F.split(c, r"\n\s*\n", -1))
+    lines = F.filter(stripped(F.split(c, "\n", -1)), lambda x: F.length(x) >= 15)
+    whole = F.when(strip(c) != "", F.array(strip(c))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(parts) > 1, parts).when(F.size(lines) > 0, lines).otherwise(whole)
 
 
 def split_sentences(c: Column) -> Column:
     """Parts behind closing punctuation and before a capital, accented letter, digit, quote or bracket; not behind initials."""
     glued = F.regexp_replace(c, r"(?U)\b([A-Z\x{C0}-\x{1EF8}])\.\s*", "$1.")
-    parts = F.split(F.trim(glued), r"(?<=[.!?…])\s+(?=[A-Z\x{C0}-\x{1EF8}0-9\"'(])", -1)
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    parts = F.split(strip(glued), r"(?<=[.!?…])\s+(?=[A-Z\x{C0}-\x{1EF8}0-9\"'(])", -1)
+    return F.filter(F.transform(parts, lambda x: strip(x)), lambda x: x != "")
 
 
 def keyword_coverage(text: Column, keywords: Column) -> Column:

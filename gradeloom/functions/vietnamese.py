@@ -8,6 +8,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Chat abbreviations and what they stand for.
 ABBREVIATIONS = {
@@ -63,18 +64,18 @@ def strip_tone(c: Column) -> Column:
     return F.translate(c, TONED, TONELESS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, for which there is no built-in function."""
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     """No diacritics at all."""
 

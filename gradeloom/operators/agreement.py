@@ -146,7 +146,7 @@ def rater_pairs(df: DataFrame, essay: str, rater: str, total: str, step: float =
     i, j = bins(F.col("a"), step), bins(F.col("b"), step)
     agg = both.groupBy(*by).agg(
         F.count("*").alias("n_common"), F.sum((i - j) ** 2).alias("d"), F.sum(i**2).alias("ii"), F.sum(j**2).alias("jj"), F.sum(i).alias("si"), F.sum(j).alias("sj"),
-        F.avg((F.abs(F.col("a") - F.col("b")) <= 4 * step).cast("double")).alias("adjacent"), pearson("a", "b").alias("pearson"),
+        F.avg((F.abs(F.col("a") - F.col("b")) <= 4 * step + 1e-9).cast("double")).alias("adjacent"), pearson("a", "b").alias("pearson"),
     )
     chance = F.col("n_common") * (F.col("ii") + F.col("jj")) - 2 * F.col("si") * F.col("sj")
     kappa = F.when(chance > 0, 1 - F.col("n_common") * F.col("d") / chance).otherwise(1.0)

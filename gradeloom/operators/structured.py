@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from gradeloom.functions.vietnamese import nfkc
 
@@ -48,7 +49,7 @@ def sections_of(text: str | None) -> dict[str, str]:
     return found
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(MapType(StringType(), StringType()))
 def sections(text: pd.Series) -> pd.Series:
     return text.map(sections_of)
 
