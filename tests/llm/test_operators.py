@@ -146,6 +146,18 @@ def test_passages(docs, empty):
     assert passages.near_passages(empty).count() == 0
 
 
+def test_passages_of_texts_that_repeat_themselves():
+    junk, other = np.tile(rng.integers(0, 1 << 32, 30), 9), np.tile(rng.integers(0, 1 << 32, 45), 4)
+    a, b = np.concatenate([junk[:90], other]), np.concatenate([other[7:60], junk[5:260]])
+    for x, y in ((a, b), (b, a), (np.full(60, 7), np.full(200, 7))):
+        got = list(passages.verbatim(x.astype(np.uint64), y.astype(np.uint64), 46))
+        assert got and all((y[s:e] == x[p:q]).all() and e - s >= 46 for s, e, p, q in got)
+        inside = {i for s, e, *_ in got for i in range(s, e)}
+        have = {x[i : i + 46].tobytes() for i in range(len(x) - 45)}
+        assert inside == {i + k for i in range(len(y) - 45) if y[i : i + 46].tobytes() in have for k in range(46)}
+    assert list(passages.verbatim(a.astype(np.uint64), b[:20].astype(np.uint64), 46)) == []
+
+
 def test_compact_windows():
     g = rng.integers(0, 1 << 62, 400).astype(np.uint64)
     row = np.repeat([0, 1], [250, 150])
