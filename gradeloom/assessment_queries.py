@@ -9,7 +9,7 @@ from gradeloom.functions import features, records
 from gradeloom.functions.features import CONNECTIVES, STOP_WORDS
 from gradeloom.functions.vietnamese import ABBREVIATIONS, TONED, TONELESS, count_abbreviations, strip_tone, syllable_pattern
 from gradeloom.operators import agreement, dedup, evaluation, models, retrieval, sampling, structured
-from gradeloom.plans import pipelines
+from gradeloom.plans import pipelines, reports
 from gradeloom.queries import ORACLES, QUERIES, RATINGS, query, ratings, read, rounded
 from gradeloom.streaming import submissions
 
@@ -393,3 +393,22 @@ def audit_tail(spark, sf_dir):
 @query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def hourly_events(spark, sf_dir):
     return submissions.hourly(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM orders" for c in _NUMERIC))
+def column_profile(spark, sf_dir):
+    return rounded(reports.profile(read(spark, sf_dir, "orders")), "min", "max", digits=4)
+
+
+@query("""SELECT count(*) AS n, sha256(count(*) || ':' || sum(('0x' || substr(sha256(doc_id || chr(31) || coalesce(text, '') || chr(31) || coalesce(source, '')), 1, 15))::BIGINT)) AS digest FROM documents""")
+def table_fingerprint(spark, sf_dir):
+    return reports.fingerprint(read(spark, sf_dir, "documents"), ["doc_id", "text", "source"])
+
+
+@query()
+def exam_split(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") % 41 / 4).alias("score"))
+    return sampling.exam_split(d, "doc_id", "lang", "score")

@@ -140,6 +140,13 @@ def keyword_coverage(text: Column, keywords: Column) -> Column:
     return ratio(F.size(F.filter(groups, hit)), F.size(groups))
 
 
+def missing_keywords(text: Column, keywords: Column) -> Column:
+    """The keyword groups of which no variant is in the text, each by its first variant."""
+    low = F.lower(text)
+    absent = lambda k: (F.trim(k) != "") & ~F.exists(F.split(k, r"\|"), lambda v: (F.trim(v) != "") & F.contains(low, F.lower(F.trim(v))))
+    return F.transform(F.filter(keywords, absent), lambda k: F.trim(F.element_at(F.split(k, r"\|"), 1)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -120,3 +120,32 @@ def batches(df: DataFrame, rater: str, key: str, size: int = 50, seed: str = "42
     """df with batch: each rater's essays in hash order, in runs of a size."""
     place = F.row_number().over(Window.partitionBy(rater).orderBy(F.xxhash64(F.lit(seed), key), key))
     return df.withColumn("batch", F.floor((place - 1) / size).cast("int"))
+
+
+def exam_split(df: DataFrame, key: str, exam: str, score: str, seed: str = "42", train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """df with split, for one essay a student: exact sizes per exam, the score bands of an exam spread over the parts.
+
+    Essays of a band are numbered in hash order, bands interleave by that number, and the parts are dealt along the line in
+    proportion: the j-th of n essays goes to a part when its share of j grows by one. Exams of three essays or more have one
+    validation and one test essay at least; of two essays one is for testing.
+    """
+    if not 0 < train < 1 or not 0 <= validation < 1 or train + validation >= 1:
+        raise ValueError("the shares must lie between 0 and 1")
+    mixed = F.xxhash64(F.lit(seed), key)
+    d = df.withColumn("_b", band(F.col(score)))
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(exam, "_b").orderBy(mixed, key)))
+    line = Window.partitionBy(exam)
+    d = d.withColumns({"_j": F.row_number().over(line.orderBy("_i", "_b", key)), "_n": F.count("*").over(line)})
+    n = F.col("_n")
+    part = lambda share: F.when(n >= 3, F.greatest(F.lit(1), F.rint(n * share).cast("long"))).otherwise(F.lit(0))
+    v, t = part(validation), part(1 - train - validation)
+    over = v + t >= n
+    v = F.when(over, F.when(n >= 3, 1).otherwise(0)).otherwise(v)
+    t = F.when(over | (n < 3), F.when(n >= 3, 1).otherwise(F.greatest(F.lit(0), n - 1))).otherwise(t)
+    d = d.withColumns({"_v": v.cast("long"), "_t": t.cast("long")})
+    d = d.withColumn("_h", F.col("_v") + F.col("_t"))
+    # whole-number division, so that the deal is exact
+    d = d.withColumns({"_k": F.expr("_j * _h div _n"), "_was": F.expr("(_j - 1) * _h div _n")})
+    is_test = F.expr("_k * _t div nullif(_h, 0) > (_k - 1) * _t div nullif(_h, 0)")
+    split = F.when(F.col("_k") == F.col("_was"), "train").when(is_test, "test").otherwise("validation")
+    return d.withColumn("split", split).drop("_b", "_i", "_j", "_n", "_v", "_t", "_h", "_k", "_was")

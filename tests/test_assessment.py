@@ -248,3 +248,30 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(90)
     got = spark.table("assessed").collect()
     assert len(got) == 1 and got[0].decision == "reject"
+
+
+def test_exam_split(spark):
+    d = spark.createDataFrame([(i, "a" if i < 100 else "b" if i < 103 else "c" if i < 105 else "d", float(i % 11)) for i in range(106)], "id int, exam string, score double")
+    got = sampling.exam_split(d, "id", "exam", "score").collect()
+    sizes = Counter((r.exam, r.split) for r in got)
+    assert [sizes["a", s] for s in ("train", "validation", "test")] == [70, 15, 15]
+    assert [sizes["b", s] for s in ("train", "validation", "test")] == [1, 1, 1] and sizes["c", "test"] == sizes["c", "train"] == 1 and sizes["d", "train"] == 1
+    low = Counter(r.split for r in got if r.exam == "a" and r.score <= 4)
+    assert low["validation"] >= 3 and low["test"] >= 3
+    with pytest.raises(ValueError):
+        sampling.exam_split(d, "id", "exam", "score", train=0.9, validation=0.2)
+
+
+def test_names_and_reports(spark, tmp_path):
+    from gradeloom.functions.pii import scrub_name
+    from gradeloom.functions.text import missing_keywords
+    from gradeloom.plans import reports
+
+    d = spark.createDataFrame([(0, "Bài của NGUYỄN_văn An và nguyen van an", "Nguyễn Văn An"), (1, None, "x"), (2, "y", None)], "id int, text string, name string")
+    assert column(d, scrub_name("text", "name")) == ["Bài của <TEN> và <TEN>", None, "y"]
+    assert column(d, missing_keywords(F.col("text"), F.array(F.lit("bài|essay"), F.lit("z|w"))))[0] == ["z"]
+    found = reports.bundle({"essays": d}, str(tmp_path / "out" / "r.zip"), "T <1>", ("essays", "gold"))
+    assert found["missing"] == ["gold"]
+    with zipfile.ZipFile(tmp_path / "out" / "r.zip") as z:
+        assert "T &lt;1&gt;" in z.read("report.html").decode() and json.loads(z.read("report.json"))["tables"]["essays"]["rows_shown"] == 3
+    assert reports.fingerprint(d, ["id", "text"]).first() == reports.fingerprint(d.orderBy(F.desc("id")), ["id", "text"]).first()
