@@ -275,3 +275,20 @@ def test_names_and_reports(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "out" / "r.zip") as z:
         assert "T &lt;1&gt;" in z.read("report.html").decode() and json.loads(z.read("report.json"))["tables"]["essays"]["rows_shown"] == 3
     assert reports.fingerprint(d, ["id", "text"]).first() == reports.fingerprint(d.orderBy(F.desc("id")), ["id", "text"]).first()
+
+
+def test_feedback(spark):
+    from gradeloom.functions.feedback import Criterion, feedback
+
+    d = spark.createDataFrame([(0, "Chúng ta bổ xung xyzq.", 2.0, 3.75, 1.0, 200.0, 40.0, 5.0, "EMPTY|ODD", True), (1, None, 4.0, 10.0, 0.0, 0.0, 0.0, 0.0, None, False)],
+                              "id int, text string, a double, total double, n_paragraphs double, n_words double, mean_sentence_len double, connective_variety double, flags string, review boolean")
+    c = Criterion("a", "Content", 4.0, {1.0: ("weak", "little"), 3.0: ("fair", "some"), 4.0: ("good", "all")}, {"mid": ["go deeper.", "give examples.", "third"]})
+    first, second = column(d, feedback([c], {"EMPTY": "the text is empty"}, F.col("text"), F.col("total"), F.col("flags"), F.col("review"), F.array(F.lit("cây|cối"))))
+    assert first.split("\n\n") == [
+        "**Total: 3.75/10**",
+        "- Content: 2/4 (weak) — little Advice: go deeper. give examples.",
+        "**Evidence:**\n- Suspect spellings: xyzq\n- Often confused: bổ xung -> bổ sung\n- Key points missing: cây\n- The text has no paragraphs; give each point its own.\n- Sentences are long on average; shorten them.",
+        "**Notes:**\n- the text is empty\n- ODD",
+        "> A teacher reviews this essay; the score is provisional.",
+    ]
+    assert second.split("\n\n")[:2] == ["**Total: 10/10**", "- Content: 4/4 (good) — all"] and second.endswith("asked for.")
