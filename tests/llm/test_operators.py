@@ -158,6 +158,64 @@ def test_passages_of_texts_that_repeat_themselves():
     assert list(passages.verbatim(a.astype(np.uint64), b[:20].astype(np.uint64), 46)) == []
 
 
+def longest_by_brute_force(a, b, least, similarity):
+    """The longest stretch of b that is similar to one of a and has its ends in it, or is least long; texts don't repeat."""
+    m = np.zeros((len(b) + 1, len(a) + 1), int)
+    m[1:, 1:] = np.cumsum(np.cumsum(b[:, None] == a, axis=0), axis=1)
+    p, q = np.triu_indices(len(a) + 1, least)
+    place = {x: i for i, x in enumerate(a.tolist())}
+    place = [place.get(x, -1) for x in b.tolist()]
+    for n in range(len(b), least - 1, -1):
+        for s in range(len(b) - n + 1):
+            both = m[s + n, q] - m[s, q] - m[s + n, p] + m[s, p]
+            ends = (p <= place[s]) & (place[s] < q) & (p <= place[s + n - 1]) & (place[s + n - 1] < q)
+            if ((both >= similarity * (n + q - p - both) - 1e-9) & (ends | (n == least))).any():
+                return n
+    return 0
+
+
+@pytest.mark.parametrize("edit", ["replace", "drop", "insert"])
+def test_one_edit_anywhere_in_short_passages(edit):
+    words = iter(rng.permutation(1 << 20).astype(np.uint64))
+    take, lost, short = lambda n: [next(words) for _ in range(n)], [], []
+    for n in (50, 55, 60, 75):
+        for at in range(n):
+            passage = take(n)
+            edited = passage[:at] + take(edit != "drop") + passage[at + (edit != "insert") :]
+            a, b = (passages.grams(np.array(take(7) + x + take(9)), 5) for x in (passage, edited))
+            got = [e - s for s, e, a_s, a_e, j in passages.passages_of(a, b, 46, 0.8)]
+            want = longest_by_brute_force(a, b, 46, 0.8)
+            if max(got, default=0) != want:
+                (short if got else lost).append((n, at, got, want))
+    assert not lost and not short
+
+
+def test_edits_at_random_places():
+    words = iter(rng.permutation(1 << 20).astype(np.uint64))
+    take, hits = lambda n: [next(words) for _ in range(n)], 0
+    for k in range(120):
+        passage = take(int(rng.integers(50, 110)))
+        edited = [y for x in passage for y in ([x], take(1), [], [x, *take(1)])[int(rng.choice(4, p=(0.97, 0.01, 0.01, 0.01)))]]
+        a, b = (passages.grams(np.array(take(3) + x + take(5)), 5) for x in (passage, edited))
+        got = list(passages.passages_of(a, b, 46, 0.8))
+        for s, e, a_s, a_e, j in got:
+            x, y = set(a[a_s:a_e].tolist()), set(b[s:e].tolist())
+            assert min(e - s, a_e - a_s) >= 46 and len(x & y) / len(x | y) == pytest.approx(j) and j >= 0.8
+        assert max((e - s for s, e, *_ in got), default=0) == longest_by_brute_force(a, b, 46, 0.8)
+        hits += bool(got)
+    assert 20 < hits < 120
+
+
+def test_near_passages_finds_short_edited_ones(spark):
+    rows = []
+    for k in range(120):
+        passage = prose(60).split()
+        passage_2 = passage[:20] + ["changed"] + passage[21:]
+        rows += [(2 * k, f"{prose(30)} {' '.join(passage)} {prose(25)}"), (2 * k + 1, f"{prose(12)} {' '.join(passage_2)} {prose(40)}")]
+    found = {(r.match_doc_id, r.doc_id) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((2 * k, 2 * k + 1) in found for k in range(120)) >= 117
+
+
 def test_compact_windows():
     g = rng.integers(0, 1 << 62, 400).astype(np.uint64)
     row = np.repeat([0, 1], [250, 150])
