@@ -1,10 +1,11 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 10).
 
 Words are lower-cased runs of letters, digits and non-ASCII bytes. A first pass counts, over all documents, in how many
-documents each n-gram of the benchmark occurs. The rarest half of an item's n-grams (SEEDS at least) are its seeds: the
-choice is relative, so an item that leaked into a third of all documents still has seeds. A second pass finds seeds in
-each whole text and aligns the item with the stretch around them, where it is read: texts are never shuffled. The local
-alignment (match 2, mismatch and gap -1) is scored against a full match of the item.
+documents each n-gram of the benchmark occurs. All that occur are seeds, common ones too: an edited or partial copy may
+hold no other. A second pass finds seeds in each whole text and aligns the item with the stretch around them, where it
+is read: texts are never shuffled. Stretches that hold too few of the item's words to reach the score aren't aligned.
+The local alignment (match 2, mismatch and gap -1) is scored against a full match of the item. A copy of which no n
+words in a row are left has no seed and isn't found.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more passes.
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import binary, chunks, grams, hashed_words, table
 
-N_GRAM, SEEDS = 3, 8
+N_GRAM = 3
 #: A copy reaches this share of the item's full score, in at least MIN_WORDS matched words (or the item's words, if fewer).
 MIN_RATIO, MIN_WORDS = 0.5, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -118,8 +119,10 @@ class Items:
             while e < len(item) and item[e] == item[k] and own[e] == own[k] and begin[e] - extra <= end:
                 end, e = begin[e] + m + extra, e + 1
             a, z = max(begin[k] - extra, heads[own[k]]), min(end, heads[own[k] + 1])
-            score, first, last = align(words_of, words[a:z])
-            if score >= max(min_ratio * MATCH * m, MATCH * min(MIN_WORDS, m) if m < 2 * MIN_WORDS else 0):
+            least = max(min_ratio * MATCH * m, MATCH * min(MIN_WORDS, m) if m < 2 * MIN_WORDS else 0)
+            # no alignment scores more than a match for each word that stands in the stretch
+            score, first, last = align(words_of, words[a:z]) if MATCH * np.isin(words_of, words[a:z]).sum() >= least else (-1, 0, 0)
+            if score >= least:
                 yield int(own[k]), int(item[k]), score / (MATCH * m), int(a - heads[own[k]] + first), int(a - heads[own[k]] + last)
             k = e
 
@@ -138,8 +141,8 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
         yield rows
 
 
-def with_seeds(docs: DataFrame, items: Items, seeds: int = SEEDS) -> Items:
-    """items with the rarest n-grams of each item as seeds, by their number of documents in all of docs."""
+def with_seeds(docs: DataFrame, items: Items) -> Items:
+    """items with the n-grams that occur in docs as seeds."""
 
     def counted(batches):
         total = np.zeros(len(items.known), np.int64)
@@ -158,12 +161,7 @@ def with_seeds(docs: DataFrame, items: Items, seeds: int = SEEDS) -> Items:
         for r in docs.select("text").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
             n[r.k] = r.n
     count = n[np.searchsorted(items.known, items.gram)] if len(n) else np.zeros(0, np.int64)
-    keep = np.zeros(len(items.gram), bool)
-    order = np.lexsort((items.gram, count, items.item))
-    cuts = np.searchsorted(items.item[order], np.arange(len(items.words) + 1))
-    for a, z in zip(cuts, cuts[1:]):
-        keep[order[a : a + max(seeds, (z - a + 1) // 2)][: z - a]] = True
-    items.use(keep)
+    items.use(count > 0)
     return items
 
 

@@ -286,6 +286,17 @@ def test_decontamination(spark, docs, empty):
     assert {r.doc_id for r in decontaminate.without_leaks(texts, bench).collect()} == {3, 4}
 
 
+def test_decontamination_of_edited_and_half_copies(spark):
+    items = [prose(30).split() for _ in range(40)]
+    copies = [w[: 16 + k % 4] if k % 2 else [x if (i + k) % 5 else f"changed{i}" for i, x in enumerate(w)] for k, w in enumerate(items)]
+    texts = [f"{prose(40)} {' '.join(c)} {prose(30)}" for c in copies]
+    want = {(k, j) for k, t in enumerate(texts) for j, w in enumerate(items) if decontaminate.align(*(decontaminate.hashed_words([x.encode()])[0] for x in (" ".join(w), t)))[0] >= 30}
+    assert {(k, k) for k in range(40)} <= want
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == want
+    assert decontaminate.without_leaks(df, bench).count() == 0
+
+
 def test_alignment():
     a, b = rng.integers(0, 6, 12).astype(np.uint64), rng.integers(0, 6, 40).astype(np.uint64)
     h = np.zeros((13, 41), int)
