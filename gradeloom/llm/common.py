@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,28 +16,54 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+_FOLDERS: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    A folder of our own only where neither is set and all runs in one process; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = getattr(spark.sparkContext, "_gradeloom_dir", None)
-        if folder is None:
-            folder = spark.sparkContext._gradeloom_dir = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        remove(spark, folder)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    The tables of an application share a folder, which goes when the driver's process ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove_at_exit, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -75,6 +103,14 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 # --- runs of bytes, by numpy -----------------------------------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -153,6 +189,19 @@ def hashed_words(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_hash(buf), start, end), row
 
 
+def long_words(text: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of one lower-cased text, read block by block: working memory follows the block."""
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + block, len(text))
+        while end < len(text) and not PUNCTUATION[text[end]]:
+            end += 1
+        buf, start, stop, _ = word_spans([text[at:end]], PUNCTUATION)
+        out.append((span_hash(prefix_hash(buf), start, stop), start + at, stop + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word windows of a sequence of word hashes."""
     size = max(len(words) - n + 1, 0)

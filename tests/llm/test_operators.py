@@ -212,8 +212,56 @@ def test_near_passages_finds_short_edited_ones(spark):
         passage = prose(60).split()
         passage_2 = passage[:20] + ["changed"] + passage[21:]
         rows += [(2 * k, f"{prose(30)} {' '.join(passage)} {prose(25)}"), (2 * k + 1, f"{prose(12)} {' '.join(passage_2)} {prose(40)}")]
-    found = {(r.match_doc_id, r.doc_id) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum((2 * k, 2 * k + 1) in found for k in range(120)) >= 117
+    found = {frozenset((r.match_doc_id, r.doc_id)) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(frozenset((2 * k, 2 * k + 1)) in found for k in range(120)) >= 117
+
+
+def test_alike_documents_of_a_poor_leader_are_linked(spark):
+    rows, lost = [], 0
+    for k in range(200):  # the smaller of three differs in four words, the others share 60 words
+        words = prose(60).split()
+        far = [f"other{i}" if i in set(rng.choice(60, 4, replace=False).tolist()) else w for i, w in enumerate(words)]
+        rows += [(3 * k, f"{prose(30)} {' '.join(far)} {prose(25)}")] + [(3 * k + i, f"{prose(12)} {' '.join(words)} {prose(40)}") for i in (1, 2)]
+    found = {frozenset((r.match_doc_id, r.doc_id)) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(frozenset((3 * k + 1, 3 * k + 2)) in found for k in range(200)) >= 196
+
+
+def test_passages_of_odd_rows(spark):
+    shared, long = prose(60), prose(20_000)
+    rows = [("a", f"{shared} {prose(30)}", 1), ("b", f"{prose(30)} {shared}", 2), ("b", f"{prose(9)} {shared} {prose(5)}", 3), (None, shared, 4), ("c", long, 5), ("d", f"{prose(40)} {long}", 6)]
+    df = spark.createDataFrame(rows + rows[:1] * 3, "doc_id string, text string, doc long")
+    got = passages.near_passages(df).collect()
+    assert {"a", "b", None} == {x for r in got if r.end_word - r.start_word < 1000 for x in (r.doc_id, r.match_doc_id)}
+    assert max(r.end_word - r.start_word for r in got if {r.doc_id, r.match_doc_id} == {"c", "d"}) == 20_000
+    assert sum("a" in (r.doc_id, r.match_doc_id) and "c" not in (r.doc_id, r.match_doc_id) for r in got) <= 3
+
+
+def test_windows_of_texts_longer_than_a_piece(spark):
+    n = (1 << 22) + 3000
+    g = passages.mix(np.arange(n, dtype=np.uint64))
+    g[-3000:] = g[:3000]
+    parts = list(passages._pieces(g, np.zeros(n, np.int64), np.arange(n)))
+    assert max(len(p[0]) for p in parts) <= passages.PIECE and parts[-1][2][-1] == n - 1
+    assert all(a[2][-1] - b[2][0] + 1 >= passages.OVERLAP for a, b in zip(parts, parts[1:]))
+    last = parts[-1]
+    _, c, _ = passages.compact_windows(last[0], last[1], 0)
+    assert (last[2][c] > n - 3000).sum() > 90
+
+
+def test_passages_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(passages, "_pieces", lambda g, row, place: ((g[i : i + 500], row[i : i + 500], place[i : i + 500]) for i in range(0, max(len(g) - 100, 1), 400)))
+    copy = prose(3000)
+    df = spark.createDataFrame([(1, copy), (2, f"{prose(77)} {copy}")], "doc_id long, text string").coalesce(1)
+    spans = [(r.start_word, r.end_word) for r in passages.near_passages(df).collect()]
+    assert sum(e - s for s, e in spans) >= 2990
+
+
+def test_members_of_one_leader_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SLOT", 3)
+    shared = prose(70)
+    df = spark.createDataFrame([(i, f"{prose(20)} {shared} {prose(20)}") for i in range(40)], "doc_id long, text string").repartition(5)
+    got = passages.near_passages(df).collect()
+    assert {x for r in got for x in (r.doc_id, r.match_doc_id)} == set(range(40)) and len(got) < 40 * 20
 
 
 def test_compact_windows():
