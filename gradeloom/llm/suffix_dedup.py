@@ -3,22 +3,24 @@
 A byte goes if some WINDOW-byte string over it also starts earlier in the corpus. Suffixes need sorting to depth WINDOW
 only, and only where a bucket holds more than one string:
 
-1. Initial buckets. Any WINDOW-byte string holds WINDOW - Q + 1 q-grams; the leftmost one of smallest hash is its anchor,
-   the same wherever the string stands. Consecutive strings with one anchor form a run. A run is one row: its anchor's
-   bucket, the hash of all its bytes, its place. There is one run in about (WINDOW - Q) / 2 bytes, so the rows of the one large
-   shuffle are a fraction of the text; strings with different anchors differ and are never compared.
+1. Initial q-gram buckets. Any WINDOW-byte string holds WINDOW - Q + 1 q-grams; the leftmost one of smallest hash is its
+   anchor, the same wherever the string stands. Consecutive strings with one anchor form a run. A run is one row: its
+   anchor's bucket, the hash of all its bytes, its place. There is one run in about (WINDOW - Q) / 2 bytes, so the rows
+   of the one large shuffle are a fraction of the text; strings with different anchors differ and are never compared.
 2. Buckets of one run are done: its strings stand nowhere else. In the others, equal runs are duplicates of the first one.
-3. What is left are first runs of buckets that hold several: their strings share an anchor but may differ around it. They
-   are refined by bucket identifiers at later offsets: a string's identifier to depth 2Q is that of its first Q bytes
-   with that of the next Q, and identifiers to depth 2Q, reused at offset WINDOW - 2Q, give depth WINDOW. Strings with one
-   final identifier are equal; all but the first are duplicates.
+3. What is left are first runs of buckets that hold several: their strings share an anchor but may differ around it.
+   Their bytes go to their bucket, and its strings are refined: a bucket identifier to depth d is the rank of the pair
+   of identifiers to depth d/2 at the string and at the later offset d/2, found by sorting these pairs. Identifiers of a
+   depth are computed once for all places that need them and reused by the next depth, from 8 bytes up to WINDOW.
+   Strings with one final identifier are equal; all but the first are duplicates.
 
-Identifiers are 64-bit hashes of the bytes they stand for, so no global ranking is needed. Rows that repeat within
-a task's chunk are judged there and dealt out at random, so a passage in a third of all documents sends one row a chunk to its bucket.
+Rows that repeat within a task's chunk are judged there and dealt out at random, so a passage in a third of all documents
+sends one row a chunk to its bucket. The strings of buckets of more than MANY runs go each to a bucket of its own bytes,
+again once a chunk, so no task refines such a bucket.
 
 Defined cases: null text is empty; texts shorter than WINDOW lose nothing; null doc_id sorts first; rows that repeat a
 doc_id with its text get equal results and don't count as each other's duplicates (a doc_id must not name two texts);
-empty tables give empty results; other columns are ignored.
+doc_ids that are no integers are numbered in their order; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import binary, mix, prefix_hash, span_hash, table, written
 
 WINDOW, Q = 100, 32
+#: Runs of a bucket that a task refines; bytes of runs that are refined at once.
+MANY, REFINED = 20_000, 2 << 20
 #: Bits for a place within a chunk, and bytes of a chunk.
 PLACE = np.uint64((1 << 22) - 1)
 CHUNK = 512 << 10
@@ -117,74 +122,157 @@ def runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, run long, doc long, place long")
 
 
-def _final_ids(text: bytes, at: np.ndarray) -> np.ndarray:
-    """Bucket identifiers to depth WINDOW of the strings that start at some places."""
-    h = prefix_hash(np.frombuffer(text, np.uint8))
-    q = lambda x: span_hash(h, x, x + Q)
-    two = lambda x: mix(q(x) * np.uint64(0xD6E8FEB86659FD93) + q(x + Q))
-    return mix(two(at) * np.uint64(0xA0761D6478BD642F) + two(at + WINDOW - 2 * Q))
+def bucket_ids(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Bucket identifiers, as ranks, to a depth of 8 bytes or more of the strings that start at some places."""
+    if depth == 8:
+        ids = np.zeros(len(at), np.uint64)
+        for i in range(8):
+            ids = ids << np.uint64(8) | text[at + i]
+    else:
+        half = 1 << (depth - 1).bit_length() - 1
+        places, back = np.unique(np.concatenate([at, at + depth - half]), return_inverse=True)
+        lower = bucket_ids(text, places, half)[back].astype(np.uint64)
+        ids = lower[: len(at)] << np.uint64(32) | lower[len(at) :]
+    return np.unique(ids, return_inverse=True)[1]
 
 
-def _places(packed: np.ndarray) -> np.ndarray:
-    """All strings of runs, in order, each once."""
-    lo, n = packed >> 8, (packed >> 1 & 127) + 1
-    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.unique(at)
+def _strings(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1 ... for each of several runs of n."""
+    return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def strings(texts: DataFrame) -> DataFrame:
-    """(id, doc, place) of the strings of texts(doc, text, places: array<long>): place holds start, known duplicate (1 bit)."""
+def _packed(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, place) of duplicate strings: neighbours as one row, up to 128 of them."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])[: len(doc)]
+    since = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0)) if len(doc) else at
+    lo = np.flatnonzero(since % 128 == 0)
+    n = np.diff(np.append(lo, len(doc)))
+    return doc[lo], at[lo] << 8 | (n - 1) << 1 | 1
+
+
+_RUN = "bucket long, doc long, place long, bytes binary"
+
+
+def open_runs(texts: DataFrame) -> DataFrame:
+    """(bucket, doc, place, bytes) of texts(doc, text, runs: array<struct<bucket, place, many>>); bytes: null for duplicates found on the way."""
 
     def run(batches):
+        names = [x.split()[0] for x in _RUN.split(", ")]
         for b in batches:
-            held, size = [], 0
+            held, strings, size = [], [], 0
 
             def out():
-                doc = np.concatenate([np.full(len(at), d) for d, at, _ in held])
-                at, key = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-                known = _later(key, doc, at)
-                key = np.where(known, _spread(doc, at), key)
-                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at << 1 | known)], names=["id", "doc", "place"])
-
-            for d, t, p in zip(b.column(0).to_pylist(), binary(b, "text"), b.column(2)):
-                at = _places(np.asarray(p.values))
-                held.append((d, at, _final_ids(t.as_py(), at)))
-                size += len(at)
-                if size > 200_000:
+                bucket, doc, place, data = (list(x) for x in zip(*held)) if held else ([], [], [], [])
+                if strings:
+                    buf = np.frombuffer(b"".join(x for _, _, x in strings), np.uint8)
+                    sizes = np.array([len(x) for _, _, x in strings])
+                    n = sizes - WINDOW + 1
+                    heads = np.cumsum(sizes) - sizes
+                    pos = _strings(heads, n)
+                    docs, starts = np.repeat(np.array([d for d, _, _ in strings], np.int64), n), _strings(np.array([a for _, a, _ in strings]), n)
+                    key = span_hash(prefix_hash(buf), pos, pos + WINDOW)
+                    known = _later(key, docs, starts)
+                    for d, p in zip(*_packed(docs[known], starts[known])):
+                        bucket.append(int(_spread(np.array([d]), np.array([p])).view(np.int64)[0]))
+                        doc.append(d)
+                        place.append(p)
+                        data.append(None)
+                    first = ~known
+                    raw = buf.tobytes()
+                    bucket += key[first].view(np.int64).tolist()
+                    doc += docs[first].tolist()
+                    place += (starts[first] << 8).tolist()
+                    data += [raw[i : i + WINDOW] for i in pos[first].tolist()]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((bucket, doc, place, data), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+
+            for d, t, runs_ in zip(b.column(0).to_pylist(), binary(b, "text"), b.column(2)):
+                text, runs_ = t.as_py(), runs_.values
+                for bucket, place, many in zip(*(runs_.field(i).to_pylist() for i in range(3))):
+                    lo = place >> 8
+                    data = text[lo : lo + (place >> 1 & 127) + WINDOW]
+                    if many:
+                        strings.append((d, lo, data))
+                    else:
+                        held.append((bucket, d, place, data))
+                    size += len(data) * (20 if many else 1)
+                if size > REFINED:
                     yield out()
-                    held, size = [], 0
-            if held:
+                    held, strings, size = [], [], 0
+            if held or strings:
                 yield out()
 
-    return texts.select("doc", "text", "places").mapInArrow(run, "id long, doc long, place long")
+    return texts.select("doc", "text", "runs").mapInArrow(run, _RUN)
+
+
+def _refined(batches):
+    """Rows as open_runs() gives them, sorted by bucket: (doc, place) of the strings that also start earlier."""
+
+    def judge(rows: pa.Table) -> pa.RecordBatch:
+        doc, place, data = (rows.column(i).to_pylist() for i in (1, 2, 3))
+        doc, place = np.array(doc, np.int64), np.array(place, np.int64)
+        known = np.array([x is None for x in data], bool)
+        buf = np.frombuffer(b"".join(x for x in data if x), np.uint8)
+        n = (place[~known] >> 1 & 127) + 1
+        at = _strings(np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1), n)
+        docs, starts = np.repeat(doc[~known], n), _strings(place[~known] >> 8, n)
+        later = _later(bucket_ids(buf, at, WINDOW), docs, starts) if len(at) else np.zeros(0, bool)
+        found = _packed(docs[later], starts[later])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(found, (doc[known], place[known]))], names=["doc", "place"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) > REFINED:
+            rows = pa.Table.from_batches(held)
+            bucket = np.asarray(rows.column(0))
+            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            for at in range(0, cut, 1 << 16):  # equal strings share a bucket, so a cut is moved to where one begins
+                lo, hi = (int(np.searchsorted(bucket, bucket[x])) if x < cut else cut for x in (at, at + (1 << 16)))
+                if lo < hi:
+                    yield judge(rows.slice(lo, hi - lo))
+            held = rows.slice(cut).to_batches()
+    if held:
+        yield judge(pa.Table.from_batches(held))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc, place) of docs(doc, text): runs of strings that also start earlier; place as in runs()."""
     known = (F.col("place") % 2) == 1
-    # strictly after the row before it in the same class; equal places are one document read twice
-    after = lambda key, *at: (F.lag(key).over(at[0]) == F.col(key)) & ~((F.lag("doc").over(at[0]) == F.col("doc")) & (F.lag("place").over(at[0]) == F.col("place")))
     by = Window.partitionBy("bucket").orderBy("run", "doc", "place")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # strictly after the row before it in the same class; equal places are one document read twice
+    same = lambda c: F.lag(c).over(by) == F.col(c)
     judged = runs(docs).select(
+        "bucket",
         "doc",
         "place",
-        (known | F.coalesce(after("run", by), F.lit(False))).alias("later"),
+        (known | F.coalesce(same("run") & ~(same("doc") & same("place")), F.lit(False))).alias("later"),
         (F.first("run").over(whole) != F.last("run").over(whole)).alias("several"),
+        (F.count("*").over(whole) > MANY).alias("many"),
     )
     judged = written(judged.where("later or several"))
-    open_ = judged.where("not later").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    found = strings(docs.join(open_, "doc").select("doc", "text", "places"))
-    by = Window.partitionBy("id").orderBy("doc", "place")
-    single = found.select("doc", "place", (((F.col("place") % 2) == 1) | F.coalesce(after("id", by), F.lit(False))).alias("later")).where("later")
-    return judged.where("later").select("doc", "place").unionByName(single.select("doc", F.shiftleft(F.shiftright("place", 1), 8).alias("place")))
+    open_ = judged.where("not later").groupBy("doc").agg(F.collect_list(F.struct("bucket", "place", "many")).alias("runs"))
+    found = open_runs(docs.join(open_, "doc").select("doc", "text", "runs"))
+    found = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined, "doc long, place long")
+    return judged.where("later").select("doc", "place").unionByName(found)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) as (doc_id, doc: long in the order of doc_id, text without nulls)."""
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), text)
+    ids = written(docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", F.monotonically_increasing_id().alias("doc")))
+    return docs.join(ids, "doc_id", "left").select("doc_id", F.coalesce("doc", F.lit(LEAST)).alias("doc"), text)
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, text) for every row of docs(doc_id, text); kept: the bytes that stay."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    places = duplicates(rows).groupBy("doc").agg(F.collect_list("place").alias("places"))
-    return rows.join(places, "doc", "left").select("doc", "text", "places")
+    """(doc_id, text, places) for every row of docs(doc_id, text); places as in runs(), null for none."""
+    rows = numbered(docs)
+    places = duplicates(rows.select("doc", "text")).groupBy("doc").agg(F.collect_list("place").alias("places"))
+    return rows.join(places, "doc", "left").select("doc_id", "text", "places")
 
 
 def spans_of(text: bytes, packed: np.ndarray) -> list[tuple[int, int]]:
@@ -215,14 +303,15 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
                     kept.append(text[at:s])
                     at = e
                 kept = b"".join([*kept, text[at:]])
-                row = (None if d == LEAST else d, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans] if with_text else None, kept if with_text else None)
+                row = (d, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans] if with_text else None, kept if with_text else None)
                 for c, x in zip(cols, row):
                     c.append(x)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary())
+            kinds = (b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    return removed(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return removed(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
