@@ -17,6 +17,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _FOLDERS: set[str] = set()
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
+def one_fact_each(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with facts(key, count, ...), one row a key without nulls; count: the key's rows.
+
+    At most HOT keys hold over 1/HOT of all rows each: those facts are broadcast, so a key in a third of all rows isn't
+    dealt to one task; the others are joined as usual.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * HOT > F.lit(total)
+    hot = F.broadcast(facts.where(often).drop(count))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~often).drop(count), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b: long), component being its smallest reachable node.
 
@@ -202,6 +216,14 @@ def long_words(text: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def words_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the words of texts; a text by itself is read block by block."""
+    if len(part) > 1:
+        return hashed_words(part)
+    words = long_words(part[0])[0]
+    return words, np.zeros(len(words), np.int64)
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word windows of a sequence of word hashes."""
     size = max(len(words) - n + 1, 0)
