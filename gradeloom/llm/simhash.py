@@ -6,14 +6,14 @@ Golay code, a segment and each of its one-bit neighbours decode to codewords, si
 at a distance of two or less have a common neighbour (or are neighbours), so they share one of these codewords. The key is the
 equal segment with the codeword's 12-bit index: up to 18 keys a fingerprint, which lose no link.
 
-Only distinct fingerprints are keyed: copies stand behind their smallest doc_id. Within a key, pairs are verified by
+Only distinct fingerprints are keyed: copies stand behind theirs. Within a key, pairs are verified by
 numpy in the task that has the key's rows and only the edges of a spanning forest leave it, so no group emits its pairs.
 Keys with many fingerprints are re-keyed exactly: two fingerprints differ in two bits or less just if they share a point
 of their 65-point balls of radius one, so every ball point links its group to the smallest member, as a plain grouping.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows get equal results each;
-an empty table gives an empty result; other columns are ignored. Rows without doc_id name no component: theirs is the
-smallest doc_id that shares their fingerprint's component, or null.
+an empty table gives an empty result; other columns are ignored; doc_id may be of any type that has an order. Rows
+without doc_id name no component: theirs is the smallest doc_id among the fingerprints of their component, or null.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary, components, table, written
+from .common import binary, components, free_name, one_fact_each, table, written
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: (lowest bit, bits) of the segments.
@@ -55,13 +55,19 @@ def _simhash(texts: pa.Array, n: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp: long, the fingerprint's bits) for every row of docs(doc_id, text)."""
+    """(doc_id, uid, fp: long, the fingerprint's bits) for every row of docs(doc_id, text); uid names a doc_id with its text."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_simhash(binary(b, "text")).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_simhash(binary(b, "text")).view(np.int64))], names=["doc_id", "uid", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", uid(docs).alias("uid"), "text").mapInArrow(run, f"doc_id {kind}, uid long, fp long")
+
+
+def uid(docs: DataFrame) -> Column:
+    """A doc_id, of any type, with its text as a number."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
 def _golay_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -187,21 +193,30 @@ def links(distinct: DataFrame) -> DataFrame:
     return few.unionByName(many)
 
 
+def grouped(fps: DataFrame) -> DataFrame:
+    """(fp, n: rows, component_id, kept: uid of the row that stays) of fps(doc_id, uid, fp), one row a fingerprint."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
+    distinct = written(fps.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
+    found = components(links(distinct.select("fp", F.col("fp").alias("node")))).withColumnRenamed("node", "fp")
+    named = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = named.groupBy("component").agg(F.min("first").alias("best"))
+    return written(named.join(best, "component").select("fp", "n", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("kept")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text)."""
     fps = written(fingerprints(docs))
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    groups = components(links(distinct))
-    named = distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return one_fact_each(fps.select("doc_id", "fp"), grouped(fps).drop("kept"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the component's doc_id. A component without doc_id keeps its rows."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """docs with one row of each component, that of its smallest doc_id (rows without doc_id last), with the same columns.
+
+    Rows that share a doc_id but not the text are judged by their texts; equal rows are one. Texts move once.
+    """
+    kept = grouped(written(fingerprints(docs))).select(F.col("kept").alias(free_name(docs, "uid"))).distinct()
+    (key,) = kept.columns
+    return docs.withColumn(key, uid(docs)).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
