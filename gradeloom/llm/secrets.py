@@ -3,11 +3,12 @@
 Every text is scanned in place for the base kinds (assign, access, hex) and for the looser kind "bare": long mixed
 tokens that no base match covers. Values of all kinds are hashed and counted over the whole corpus by distinct
 repositories and owners, with partial sums before each shuffle. A value that several owners hold is a widely copied
-example; one that stays with a single owner and looks live (mixed characters, high entropy, no placeholder) is a
-credential of that owner. Base spans always stay; a bare span is added only if its value is owner-specific and looks live.
+example; one that stays with fewer and looks live (mixed characters, high entropy, no placeholder) is a credential of
+its owners. Base spans always stay; a bare span is added only if its value is owner-specific and looks live.
 
 Defined cases: null text is empty and gives no span; null owner or repository counts as one of its own; repeated rows
-give equal results each; an empty table gives an empty result; other columns are ignored.
+give equal results each and count as documents of their own; an empty table gives an empty result; other columns are
+ignored, whatever their names; doc_id may be of any type.
 """
 
 from __future__ import annotations
@@ -94,51 +95,62 @@ def ownership(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame
     repos = found.withColumn("value_key", key).groupBy("value_key", "owner", "repo").agg(F.count("*").alias("n"), F.first("value").alias("value"))
     owners = repos.groupBy("value_key", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("r"), F.first("value").alias("value"))
     values = owners.groupBy("value_key").agg(F.sum("n").alias("n_docs"), F.sum("r").alias("n_repos"), F.count("*").alias("n_owners"), F.first("value").alias("value"))
-    verdict = F.when(F.col("n_owners") >= copied_owners, "widely_copied").when((F.col("n_owners") == 1) & live_looking(F.col("value")), "owner_specific").otherwise("unclear")
+    verdict = F.when(F.col("n_owners") >= copied_owners, "widely_copied").when(live_looking(F.col("value")), "owner_specific").otherwise("unclear")
     return values.select("value_key", "n_docs", "n_repos", "n_owners", verdict.alias("verdict"))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """docs with a column spans: base and bare matches. A bare match that touches a base match is left out."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def spans_of(text: Column) -> Column:
+    """struct<base, bare>: matches of a text without nulls. A bare match that touches a base match is left out."""
     base = F.array_sort(F.flatten(F.array(*(matches(text, k) for k in BASE))))
     apart = lambda bs, x: ~F.exists(bs, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
-    bare = bind(base, lambda bs: F.struct(bs.alias("base"), F.filter(matches(text, "bare"), lambda x: mixed(x) & apart(bs, x)).alias("bare")))
-    return docs.select("*", bare.alias("_spans"))
+    return bind(base, lambda bs: F.struct(bs.alias("base"), F.filter(matches(text, "bare"), lambda x: mixed(x) & apart(bs, x)).alias("bare")))
 
 
-def secret_scan(docs: DataFrame, repo: str | Column = "lang", owner: str | Column = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """For every row of docs(doc_id, text, repo, owner): base and added spans, and how far their values are spread.
+def scanned(docs: DataFrame, repo: str | Column, owner: str | Column) -> DataFrame:
+    """(row: all of docs' columns, uid, repo, owner, base, bare): names of docs can't clash. uid names a doc_id with its text."""
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("uid"), F.concat_ws("/", column(owner).cast("string"), column(repo).cast("string")).alias("repo"), column(owner).alias("owner"))
+    return d.withColumn("s", spans_of(F.coalesce("row.text", F.lit("")))).select("row", "uid", "repo", "owner", "s.base", "s.bare")
+
+
+def has_spans() -> Column:
+    return (F.size("base") > 0) | (F.size("bare") > 0)
 
-    base: array<struct<start, end, kind, value>> by start and kind; added: the same for bare spans; n_copied and n_owned:
-    spans whose value is widely copied, or owner-specific and live-looking.
+
+def judged(rows: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+    """(uid, added, owned, n_copied, n_owned) of the rows(uid, repo, owner, base, bare) that have spans.
+
+    added: bare spans of owner-specific, live-looking values; owned: all spans of such values; n_copied and n_owned count spans.
     """
-    column = lambda c: F.col(c) if isinstance(c, str) else c
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.concat_ws("/", column(owner), column(repo)).alias("repo"), column(owner).alias("owner"))
-    # texts are scanned once; what goes on has spans only
-    rows = written(scanned(rows).select("doc_id", F.xxhash64("text").alias("text_key"), "repo", "owner", "_spans.base", "_spans.bare"))
-    has = (F.size("base") > 0) | (F.size("bare") > 0)
-    # one line a distinct value of a document, so that counts are of documents
-    each = rows.where(has).select("repo", "owner", F.explode(F.array_distinct(F.transform(F.concat("base", "bare"), lambda s: s["value"]))).alias("value"))
+    rows = rows.where(has_spans())
+    # one line a distinct value of a row, so that counts are of documents
+    each = rows.select("repo", "owner", F.explode(F.array_distinct(F.transform(F.concat("base", "bare"), lambda s: s["value"]))).alias("value"))
     verdicts = ownership(each, copied_owners)
-    # what the values of a document were found to be, by position; equal rows (same id and text) share it
-    where = rows.where(has).dropDuplicates(["doc_id", "text_key"])
-    one = where.select("doc_id", "text_key", F.explode(F.concat("base", "bare")).alias("s"), F.lit(1).alias("one"))
-    judged = one.withColumn("value_key", F.sha2(F.col("s.value"), 256)).join(verdicts, "value_key")
+    # equal rows (same doc_id and text) share what was found
+    one = rows.dropDuplicates(["uid"]).select("uid", F.explode(F.concat("base", "bare")).alias("s"))
+    found = one.withColumn("value_key", F.sha2(F.col("s.value"), 256)).join(verdicts, "value_key")
     mine = F.col("verdict") == "owner_specific"
-    is_bare = F.col("s.kind") == KINDS.index("bare")
-    per_doc = judged.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_list(F.when(is_bare & mine, F.col("s")))).alias("added"),
-        F.sum((F.col("verdict") == "widely_copied").cast("long")).alias("n_copied"),
-        F.sum((mine).cast("long")).alias("n_owned"),
+    return found.groupBy("uid").agg(
+        F.array_sort(F.collect_list(F.when((F.col("s.kind") == KINDS.index("bare")) & mine, F.col("s")))).alias("added"),
         F.array_sort(F.collect_list(F.when(mine, F.col("s")))).alias("owned"),
+        F.sum((F.col("verdict") == "widely_copied").cast("long")).alias("n_copied"),
+        F.sum(mine.cast("long")).alias("n_owned"),
     )
-    per_doc = per_doc.select(F.col("doc_id").alias("j_id"), F.col("text_key").alias("j_key"), "added", "n_copied", "n_owned", "owned")
+
+
+def secret_scan(docs: DataFrame, repo: str | Column = "lang", owner: str | Column = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+    """For every row of docs(doc_id, text, repo, owner): base and added spans, and how far their values are spread.
+
+    base: array<struct<start, end, kind, value>> by start and kind; added: the same for bare spans; owned: spans of
+    owner-specific values; n_copied and n_owned: spans whose value is widely copied, or owner-specific and live-looking.
+    """
+    # texts are scanned once; what goes on has spans only
+    rows = written(scanned(docs, repo, owner).select(F.col("row.doc_id").alias("doc_id"), "uid", "repo", "owner", "base", "bare"))
+    found = rows.join(judged(rows, copied_owners), "uid", "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string>>")
     zero = F.lit(0).cast("long")
-    full = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("j_id")) & F.col("text_key").eqNullSafe(F.col("j_key")), "left")
-    return full.select("doc_id", "text_key", "base", F.coalesce("added", none).alias("added"), F.coalesce("owned", none).alias("owned"), F.coalesce("n_copied", zero).alias("n_copied"), F.coalesce("n_owned", zero).alias("n_owned"))
+    return found.select("doc_id", "base", *(F.coalesce(c, none).alias(c) for c in ("added", "owned")), *(F.coalesce(c, zero).alias(c) for c in ("n_copied", "n_owned")))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,23 +160,29 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"), "n_copied", "n_owned")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", repo: str | Column = "lang", owner: str | Column = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """docs with every span of an owner-specific, live-looking value replaced by mark, in the same columns.
 
-    Widely copied examples stay. n_chars, where there is such a column, follows the new text.
+    Widely copied examples stay. n_chars, where there is such a column, follows the new text. Only rows with spans are
+    joined with what was found; the others pass as they are, null texts among them. Repeated rows are masked alike, and
+    an empty table stays empty.
     """
-    spans = secret_scan(docs).where(F.size("owned") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("owned").alias("_owned"))
-    spans = spans.dropDuplicates(["_id", "_key"])
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key")), "left")
+    rows = written(scanned(docs, repo, owner))
+    found = rows.where(has_spans()).join(judged(rows, copied_owners).select("uid", "owned"), "uid", "left")
+    text = F.col("row.text")
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        gap = F.substr(F.col("text"), (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        gap = F.substr(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
         new = F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit(mark)).alias("out"))
         wider = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
         return F.when(s["start"] >= a["at"], new).otherwise(wider)
 
-    clean = F.aggregate("_owned", first, step, lambda a: F.concat(a["out"], F.substr(F.col("text"), (a["at"] + 1).cast("int"))))
-    text = F.when(F.col("_owned").isNull(), F.col("text")).otherwise(clean)
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_owned").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    clean = F.aggregate("owned", first, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    masked = found.select("row", F.when(F.size("owned") > 0, clean).otherwise(text).alias("masked"))
+    new = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        changed = F.length("masked") != F.length(text)
+        new["n_chars"] = F.when(changed, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    masked = masked.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return rows.where(~has_spans()).select("row.*").unionByName(masked)
