@@ -7,10 +7,12 @@ is read: texts are never shuffled. Stretches that hold too few of the item's wor
 The local alignment (match 2, mismatch and gap -1) is scored against a full match of the item. A copy of which no n
 words in a row are left has no seed and isn't found.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more passes.
+The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more passes, each of
+which is written before the next one, so the driver holds one block.
 
 Defined cases: null and empty texts match nothing; items without words match nothing; items of fewer words than an
-n-gram are seeds as a whole; repeated rows give results each; empty tables give empty results; other columns are ignored.
+n-gram are seeds as a whole; repeated rows give results each; ids keep their types and may be null; empty tables give
+empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import binary, chunks, grams, hashed_words, table
+from .common import binary, chunks, grams, hashed_words, table, words_of, written
 
 N_GRAM = 3
 #: A copy reaches this share of the item's full score, in at least MIN_WORDS matched words (or the item's words, if fewer).
 MIN_RATIO, MIN_WORDS = 0.5, 8
+#: Or as much as so many words that match, whatever the item's length.
+LONG_WORDS = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
 #: Words a copy may be longer than its item, as a share: the stretch around a seed that is aligned.
@@ -98,7 +103,7 @@ class Items:
 
     def matches(self, part: list[bytes], min_ratio: float):
         """(row, item, score ratio, first, last + 1 word) of copies in texts: the best alignment for each row and item."""
-        words, row = hashed_words(part)
+        words, row = words_of(part)
         if not len(self.known) or not len(words):
             return
         at, which = self.hits(words, row)
@@ -113,15 +118,15 @@ class Items:
         k = 0
         while k < len(item):
             # stretches of one text that touch are aligned together
-            words_of = self.words[item[k]]
-            m, extra = len(words_of), int(len(words_of) * SLACK) + 2
+            wanted = self.words[item[k]]
+            m, extra = len(wanted), int(len(wanted) * SLACK) + 2
             e, end = k + 1, begin[k] + m + extra
             while e < len(item) and item[e] == item[k] and own[e] == own[k] and begin[e] - extra <= end:
                 end, e = begin[e] + m + extra, e + 1
             a, z = max(begin[k] - extra, heads[own[k]]), min(end, heads[own[k] + 1])
-            least = max(min_ratio * MATCH * m, MATCH * min(MIN_WORDS, m) if m < 2 * MIN_WORDS else 0)
+            least = max(MATCH * min(min_ratio * m, LONG_WORDS), MATCH * min(MIN_WORDS, m) if m < 2 * MIN_WORDS else 0)
             # no alignment scores more than a match for each word that stands in the stretch
-            score, first, last = align(words_of, words[a:z]) if MATCH * np.isin(words_of, words[a:z]).sum() >= least else (-1, 0, 0)
+            score, first, last = align(wanted, words[a:z]) if MATCH * np.isin(wanted, words[a:z]).sum() >= least else (-1, 0, 0)
             if score >= least:
                 yield int(own[k]), int(item[k]), score / (MATCH * m), int(a - heads[own[k]] + first), int(a - heads[own[k]] + last)
             k = e
@@ -148,7 +153,7 @@ def with_seeds(docs: DataFrame, items: Items) -> Items:
         total = np.zeros(len(items.known), np.int64)
         for b in batches:
             for _, part in chunks(binary(b, "text"), lower=True):
-                words, row = hashed_words(part)
+                words, row = words_of(part)
                 at, which = items.hits(words, row)
                 pair = np.unique(row[at] * len(items.known) + which)
                 total += np.bincount(pair % len(items.known), minlength=len(items.known))
@@ -167,7 +172,11 @@ def with_seeds(docs: DataFrame, items: Items) -> Items:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of every copy of an item in a document: the best one for each pair."""
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, last_word long")
+    kinds = [docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType]
+    arrow = [to_arrow_type(k) for k in kinds] + [pa.float64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "item_id", "score", "first_word", "last_word"]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, [*(k.simpleString() for k in kinds), "double", "long", "long"]))
+    out = docs.sparkSession.createDataFrame([], schema)
     for rows in blocks(benchmark):
         items = with_seeds(docs, Items(rows))
 
@@ -175,18 +184,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_ratio: float = MIN_RATIO) -
             for b in batches:
                 ids, found = b.column(0), []
                 for first, part in chunks(binary(b, "text"), lower=True):
-                    found += [(ids[first + row].as_py(), items.ids[k], *rest) for row, k, *rest in items.matches(part, min_ratio)]
-                cols = list(zip(*found)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+                    best = {}
+                    for row, k, score, start, end in items.matches(part, min_ratio):
+                        best[row, k] = max(best.get((row, k), (-1.0,)), (score, -start, end))
+                    found += [(ids[first + row].as_py(), items.ids[k], score, -start, end) for (row, k), (score, start, end) in best.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 5, arrow)], names=names)
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out.schema))
-    best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct(F.col("score"), -F.col("first_word")))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+        # written block by block: the driver holds one block at a time
+        out = out.unionByName(written(docs.select("doc_id", "text").mapInArrow(run, schema)))
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """docs without the rows that hold a copy of an item, with the same columns: rows are dropped where they are read."""
-    for rows in blocks(benchmark):
+    for n, rows in enumerate(blocks(benchmark)):
+        if n:
+            docs = written(docs)
         items = with_seeds(docs, Items(rows))
 
         def run(batches, items=items):

@@ -10,7 +10,7 @@ with texts, so texts are not shuffled; scores cover whole texts of all rows.
 
 Defined cases: null labels are not learned from; contradictory labels are rows of their own; null and empty texts get
 the score of the bias; a table without labels gives every text the same score, 0.5 at most; repeated rows score alike;
-other columns are ignored.
+doc_id may be of any type, and rows without one are scored but not learned from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,9 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
         kept, w, bias = fit(examples)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(w, bias))], names=["place", "w"])
 
-    places = rows.select("toxic", F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(hashed, "toxic int, id long, places binary")
+    places = rows.select("toxic", F.xxhash64("doc_id").alias("id"), "text").mapInArrow(hashed, "toxic int, id long, places binary")
     # max_rows bounds what reaches this task
-    model = places.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "toxic", "places").select("toxic", "places").mapInArrow(fitted, "place long, w double").collect()
+    model = places.repartition(1).sortWithinPartitions("id", "toxic", "places").select("toxic", "places").mapInArrow(fitted, "place long, w double").collect()
     place, w = np.array([r.place for r in model], np.int64), np.array([r.w for r in model])
     return place[place >= 0], w[place >= 0], float(w[place < 0].sum())
 
@@ -126,7 +126,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts(binary(b, "text"), model))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
