@@ -10,7 +10,7 @@ from gradeloom.functions.features import CONNECTIVES, STOP_WORDS
 from gradeloom.functions.vietnamese import ABBREVIATIONS, TONED, TONELESS, count_abbreviations, strip_tone, syllable_pattern
 from gradeloom.operators import agreement, dedup, evaluation, models, retrieval, sampling, structured
 from gradeloom.plans import pipelines, reports
-from gradeloom.queries import ORACLES, QUERIES, RATINGS, query, ratings, read, rounded
+from gradeloom.queries import METRICS, ORACLES, QUERIES, RATINGS, query, ratings, read, rounded
 from gradeloom.streaming import submissions
 
 _WORDS = r"regexp_extract_all(t, '[a-zA-Z\x{C0}-\x{1EF9}]+')"
@@ -121,8 +121,8 @@ def exam_names(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, trim(coalesce(text, '')) AS t, lang, source, n_chars / 1000 AS score, count(*) OVER (PARTITION BY doc_id) AS copies FROM documents),
-x AS (SELECT *, list_filter([CASE WHEN copies > 1 THEN 'duplicate_id' END, CASE WHEN length(t) < 20 THEN 'short_text' END, CASE WHEN coalesce(lang, 'UNKNOWN') = 'UNKNOWN' THEN 'unknown_exam' END,
-  CASE WHEN NOT coalesce(source IN ('train', 'validation', 'test'), false) THEN 'bad_split' END, CASE WHEN NOT coalesce(score BETWEEN 0 AND 10, false) THEN 'bad_score' END], lambda x: x IS NOT NULL) AS r FROM d)
+x AS (SELECT *, list_filter([CASE WHEN copies > 1 THEN 'duplicate_essay_id' END, CASE WHEN length(t) < 20 THEN 'text_too_short' END, CASE WHEN coalesce(lang, 'UNKNOWN') = 'UNKNOWN' THEN 'unknown_exam' END,
+  CASE WHEN NOT coalesce(source IN ('train', 'validation', 'test'), false) THEN 'invalid_split' END, CASE WHEN NOT coalesce(score BETWEEN 0 AND 10, false) THEN 'invalid_or_missing_score' END], lambda x: x IS NOT NULL) AS r FROM d)
 SELECT doc_id, array_to_string(r, '|') AS reasons FROM x""")
 def rejections(spark, sf_dir):
     d = read(spark, sf_dir, "documents").withColumn("score", F.col("n_chars") / 1000)
@@ -231,12 +231,16 @@ def length_bias(spark, sf_dir):
     return rounded(evaluation.length_bias(lines, "essay_id", "length", "gold", "pred"))
 
 
-@query(f"""WITH {RATINGS}, e AS (SELECT 'total' AS criterion, split, gold AS a, pred AS b FROM ratings UNION ALL SELECT 'sure', split, confidence * 10, gold FROM ratings)
-SELECT criterion, split, count(*) AS n, round(avg(abs(a - b)), 6) AS mae, round(avg(b - a), 6) AS bias, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS pearson FROM e GROUP BY ALL HAVING count(*) >= 5""")
+_PAIRS = """e AS (SELECT 'total' AS criterion, split, gold, pred FROM ratings UNION ALL SELECT 'sure', split, confidence * 10, gold FROM ratings)"""
+_BINNED = "(SELECT criterion, split, round_even(gold / 0.25, 0) AS i, round_even(pred / 0.25, 0) AS j FROM e)"
+
+
+@query(f"""WITH {RATINGS}, {_PAIRS}, m AS (SELECT criterion, split, {METRICS} FROM e GROUP BY ALL HAVING count(*) >= 5),
+k AS (SELECT criterion, split, round(1 - count(*) * sum((i - j) ** 2) / (count(*) * (sum(i ** 2) + sum(j ** 2)) - 2 * sum(i) * sum(j)), 6) AS qwk FROM {_BINNED} GROUP BY ALL)
+SELECT m.*, k.qwk FROM m JOIN k USING (criterion, split)""")
 def criterion_metrics(spark, sf_dir):
     d = ratings(spark, sf_dir).withColumn("sure", F.col("confidence") * 10)
-    found = evaluation.per_criterion(d, {"total": ("gold", "pred"), "sure": ("sure", "gold")}, ("split",))
-    return rounded(found.select("criterion", "split", "n", "mae", "bias", "pearson"))
+    return rounded(evaluation.per_criterion(d, {"total": ("gold", "pred"), "sure": ("sure", "gold")}, ("split",)))
 
 
 @query(f"""WITH {RATINGS}, m AS (SELECT essay_id, median(gold) AS total, coalesce(stddev_samp(gold), 0) AS run_std, count(gold) AS n_runs FROM ratings GROUP BY essay_id)
@@ -245,10 +249,16 @@ def test_retest(spark, sf_dir):
     return rounded(evaluation.test_retest(evaluation.median_runs(ratings(spark, sf_dir), "essay_id", "rater_id", "gold")))
 
 
-@query(f"""WITH {RATINGS} SELECT exam, split, count(*) AS n, round(avg(abs(pred - gold)), 6) AS mae, round(sqrt(avg((pred - gold) ** 2)), 6) AS rmse, round(covar_pop(gold, pred) / (stddev_pop(gold) * stddev_pop(pred)), 6) AS pearson,
-round(avg(pred - gold), 6) AS bias, round(avg(CAST(abs(pred - gold) <= 0.1249::DOUBLE + 1e-5 * abs(pred) AS INT)), 6) AS exact_agreement FROM ratings GROUP BY exam, split""")
+@query(f"""WITH {RATINGS}, b AS (SELECT exam, split, round_even(gold / 0.25, 0) AS i, round_even(pred / 0.25, 0) AS j FROM ratings),
+l AS (SELECT DISTINCT exam, split, x FROM (SELECT exam, split, i AS x FROM b UNION ALL SELECT exam, split, j FROM b)),
+r AS (SELECT exam, split, x, CAST(dense_rank() OVER (PARTITION BY exam, split ORDER BY x) AS DOUBLE) AS k FROM l),
+p AS (SELECT b.exam, b.split, p.k AS x, q.k AS y FROM b JOIN r p ON p.exam = b.exam AND p.split = b.split AND p.x = b.i JOIN r q ON q.exam = b.exam AND q.split = b.split AND q.x = b.j),
+a AS (SELECT exam, split, CAST(count(*) AS DOUBLE) AS t, sum((x - y) ** 2) AS d, sum(x * x) AS xx, sum(y * y) AS yy, sum(x) AS sx, sum(y) AS sy FROM p GROUP BY ALL),
+q AS (SELECT exam, split, round(CASE WHEN t * xx > sx * sx AND t * yy > sy * sy THEN 1 - t * d / (t * (xx + yy) - 2 * sx * sy) END, 6) AS qwk FROM a),
+m AS (SELECT exam, split, count(*) AS n, round(avg(abs(pred - gold)), 6) AS mae, round(sqrt(avg((pred - gold) ** 2)), 6) AS rmse, round(covar_pop(gold, pred) / (stddev_pop(gold) * stddev_pop(pred)), 6) AS pearson,
+round(avg(pred - gold), 6) AS bias, round(avg(CAST(abs(pred - gold) <= 0.1249::DOUBLE + 1e-5 * abs(pred) AS INT)), 6) AS exact_agreement FROM ratings GROUP BY exam, split) SELECT m.*, q.qwk FROM m JOIN q USING (exam, split)""")
 def total_metrics(spark, sf_dir):
-    return rounded(evaluation.totals(ratings(spark, sf_dir), "gold", "pred", ("exam", "split"))).drop("qwk")
+    return rounded(evaluation.totals(ratings(spark, sf_dir), "gold", "pred", ("exam", "split")))
 
 
 @query()
@@ -266,30 +276,31 @@ def paired_delta(spark, sf_dir):
 
 
 _GRADED = f"""{RATINGS}, s AS (SELECT o_orderkey AS essay_id, 'text of an essay ' || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END AS text, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice % 10, 2) END AS rubric_total,
-  (o_orderkey % 5) / 4 AS section_coverage, o_custkey % 11 AS model, o_totalprice % 7 AS gold FROM orders)"""
+  (o_orderkey % 5) / 4 AS section_coverage, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey % 11 END AS model, o_totalprice % 7 AS gold FROM orders)"""
 
 
 def _graded(spark, sf_dir):
     o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
     return o.select(
         k.alias("essay_id"), F.concat(F.lit("text of an essay "), F.when(k % 11 == 0, "").otherwise(F.col("o_orderpriority"))).alias("text"), F.when(k % 7 != 0, F.round(F.col("o_totalprice") % 10, 2)).alias("rubric_total"),
-        ((k % 5) / 4).alias("section_coverage"), (F.col("o_custkey") % 11).alias("model"), (F.col("o_totalprice") % 7).alias("gold"),
+        ((k % 5) / 4).alias("section_coverage"), F.when(k % 13 != 0, F.col("o_custkey") % 11).alias("model"), (F.col("o_totalprice") % 7).alias("gold"),
     )
 
 
 @query(f"""WITH {_GRADED}, t AS (SELECT *, length(trim(text)) < 20 AS empty, section_coverage >= 0.6 AS enough FROM s),
-f AS (SELECT *, CASE WHEN empty THEN 0 ELSE greatest(0.0::DOUBLE, least(10.0::DOUBLE, round_even(CASE WHEN enough THEN 0.7::DOUBLE * rubric_total + (1 - 0.7::DOUBLE) * model ELSE model END / 0.25, 0) * 0.25)) END AS final_total,
-  list_filter([CASE WHEN rubric_total IS NULL THEN 'UNKNOWN_EXAM' END, CASE WHEN empty THEN 'EMPTY_OR_TOO_SHORT' END, CASE WHEN NOT empty AND NOT enough THEN 'LOW_SECTION_COVERAGE' END, CASE WHEN abs(model - rubric_total) >= 2 THEN 'MODEL_RUBRIC_DISAGREEMENT' END], lambda x: x IS NOT NULL) AS fs FROM t)
-SELECT essay_id, final_total, CASE WHEN empty THEN 'empty_rule' WHEN enough THEN 'hybrid_rubric_model' ELSE 'model_fallback' END AS mode, array_to_string(fs, '|') AS flags, len(fs) > 0 AS needs_review FROM f WHERE rubric_total IS NOT NULL""")
+r AS (SELECT *, CASE WHEN enough THEN 0.7::DOUBLE * rubric_total + (1 - 0.7::DOUBLE) * model ELSE model END AS raw FROM t),
+f AS (SELECT *, CASE WHEN empty THEN 0 WHEN raw IS NOT NULL THEN greatest(0.0::DOUBLE, least(10.0::DOUBLE, round_even(raw / 0.25, 0) * 0.25)) END AS final_total,
+  list_filter([CASE WHEN rubric_total IS NULL THEN 'UNKNOWN_EXAM' END, CASE WHEN empty THEN 'EMPTY_OR_TOO_SHORT' END, CASE WHEN NOT empty AND NOT enough THEN 'LOW_SECTION_COVERAGE' END, CASE WHEN NOT empty AND raw IS NULL THEN 'NO_SCORE' END, CASE WHEN abs(model - rubric_total) >= 2 THEN 'MODEL_RUBRIC_DISAGREEMENT' END], lambda x: x IS NOT NULL) AS fs FROM r)
+SELECT essay_id, final_total, CASE WHEN empty THEN 'empty_rule' WHEN enough THEN 'hybrid_rubric_model' ELSE 'model_fallback' END AS mode, array_to_string(fs, '|') AS flags, len(fs) > 0 AS needs_review FROM f""")
 def final_grades(spark, sf_dir):
-    d = structured.final_grades(_graded(spark, sf_dir).where("rubric_total is not null"), "text", "model")
+    d = structured.final_grades(_graded(spark, sf_dir), "text", "model")
     return d.select("essay_id", "final_total", "mode", "flags", "needs_review")
 
 
-@query(f"""WITH {_GRADED}, w AS (SELECT unnest(range(0, 11)) / 10 AS weight), x AS (SELECT weight, gold, CASE WHEN section_coverage >= 0.6 THEN weight * rubric_total + (1 - weight) * model ELSE model END AS raw FROM s, w WHERE rubric_total IS NOT NULL)
+@query(f"""WITH {_GRADED}, w AS (SELECT unnest(range(0, 11)) / 10 AS weight), x AS (SELECT weight, gold, CASE WHEN section_coverage >= 0.6 THEN weight * rubric_total + (1 - weight) * model ELSE model END AS raw FROM s, w WHERE model IS NOT NULL AND (rubric_total IS NOT NULL OR section_coverage < 0.6))
 SELECT weight, round(avg(abs(gold - greatest(0.0::DOUBLE, least(10.0::DOUBLE, round_even(raw / 0.25, 0) * 0.25)))), 6) AS mae, count(*) AS n FROM x GROUP BY weight""")
 def rubric_weights(spark, sf_dir):
-    d = _graded(spark, sf_dir).where("rubric_total is not null")
+    d = _graded(spark, sf_dir)
     return rounded(structured.calibrate_weight(d, "gold", "model", "rubric_total", "section_coverage"), "weight")
 
 

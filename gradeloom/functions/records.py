@@ -16,7 +16,13 @@ from pyspark.sql.types import DoubleType
 from .text import fold, once
 
 # Exam names, and the phrases that tell exams apart.
-EXAMS = {f"de{z}{i}": f"De_{i}" for i in range(1, 6) for z in ("0", "", "_")}
+EXAMS = {
+    "de01": "De_1", "de1": "De_1", "de_1": "De_1",
+    "de02": "De_2", "de2": "De_2", "de_2": "De_2",
+    "de03": "De_3", "de3": "De_3", "de_3": "De_3",
+    "de04": "De_4", "de4": "De_4", "de_4": "De_4",
+    "de05": "De_5", "de5": "De_5", "de_5": "De_5",
+}
 PHRASES = {
     "De_1": ("52 quân", "20 đường thẳng", "13 quân"),
     "De_2": ("10 quân, 12 quân", "14 quân", "20 đường thẳng"),
@@ -40,6 +46,10 @@ STAGES = {
 }
 
 
+# Fixed value: a total that is written as text.
+NUMBER = r"(?:10(?:\.0+)?|[0-9](?:\.\d+)?)"
+
+
 def first_of(*cs: Column) -> Column:
     """The first that is neither null nor empty, as a string."""
     return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in cs))
@@ -92,15 +102,15 @@ def conflict_status(text: Column, declared: Column, policy: str = "quarantine",
     return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < 20, "empty").when(strong, action).otherwise("keep")
 
 
-def rejections(df: DataFrame, key: str, text: str, exam: str, split: str, score: str, least: int = 20) -> DataFrame:
-    """df with reasons, joined by bars in order; every copy of a repeated key is rejected."""
+def rejections(df: DataFrame, key: str, text: str, exam: str, split: str, score: str, least: int = 20, splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """df with reasons (fixed values), joined by bars in order; every copy of a repeated key is rejected."""
     copies = F.count("*").over(Window.partitionBy(key))
     checks = {
-        "duplicate_id": copies > 1,
-        "short_text": F.length(F.trim(F.coalesce(text, F.lit("")))) < least,
+        "duplicate_essay_id": copies > 1,
+        "text_too_short": F.length(F.trim(F.coalesce(text, F.lit("")))) < least,
         "unknown_exam": F.coalesce(F.col(exam), F.lit("UNKNOWN")) == "UNKNOWN",
-        "bad_split": ~F.coalesce(F.col(split).isin("train", "validation", "test"), F.lit(False)),
-        "bad_score": ~F.coalesce(F.col(score).between(0, 10), F.lit(False)),
+        "invalid_split": ~F.coalesce(F.col(split).isin(*splits), F.lit(False)),
+        "invalid_or_missing_score": ~F.coalesce(F.col(score).between(0, 10), F.lit(False)),
     }
     return df.withColumn("reasons", F.array_join(F.array_compact(F.array(*(F.when(c, r) for r, c in checks.items()))), "|"))
 
@@ -164,7 +174,7 @@ def total_in_json(raw: pd.Series) -> pd.Series:
     def valid(x):
         if isinstance(x, str):
             x = x.strip().replace(",", ".")
-            if not re.fullmatch(r"(?:10(?:\.0+)?|\d(?:\.\d+)?)", x):
+            if not re.fullmatch(NUMBER, x):
                 return None
             x = float(x)
         number = isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)

@@ -23,11 +23,13 @@ DASHES, PLAIN_DASHES = "–—−‐‑", "-----"
 # Ranges of pictographs, and emoticons.
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F0FF}\x{2190}-\x{21FF}\x{FE00}-\x{FE0F}]"
 EMOTICON = r"(?U)(?<!\w)[:;=8][\-o*']?[)\](\[dDpP/\\:}{@|]+(?!\w)"
+# Addresses, tags and control characters.
 URL = r"https?://\S+|www\.\S+"
 TAG = r"<[^>]{1,80}>"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-#: Letters with a mark, as a range of code points: lower and upper case alternate in it.
-MARKED = r"[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{1E00}-\x{1EFF}]"
+# Vietnamese letters with a mark.
+VIETNAMESE = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
+MARKED = f"[{VIETNAMESE}{VIETNAMESE.upper()}]"
 LETTER = r"\p{L}"
 
 
@@ -69,6 +71,15 @@ def normalize_whitespace(c: Column) -> Column:
     return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
+def normalize_answer(c: Column) -> Column:
+    """A second normaliser, for answers: composed forms, no NUL, LF, single blanks, stripped lines, two line ends at most."""
+    from .vietnamese import nfc
+
+    c = F.regexp_replace(F.replace(nfc(c), F.lit("\0"), F.lit("")), r"\r\n?", "\n")
+    lines = F.transform(F.split(F.regexp_replace(c, r"[\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", "\n"), "\n", -1), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " ")))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+
+
 def mask_urls(c: Column, mark: str = "<URL>") -> Column:
     return F.regexp_replace(c, URL, mark)
 
@@ -107,7 +118,7 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 
 def diacritic_ratio(c: Column) -> Column:
-    """Letters with a mark among all letters."""
+    """Vietnamese letters with a mark among all letters."""
     return ratio(F.length(c) - F.length(F.regexp_replace(c, MARKED, "")), letters(c))
 
 
@@ -135,16 +146,21 @@ def split_sentences(c: Column) -> Column:
 def keyword_coverage(text: Column, keywords: Column) -> Column:
     """Share of keyword groups (variants between bars) of which some variant is in the text; 0 without keywords."""
     low = F.lower(text)
-    groups = F.filter(keywords, lambda k: F.trim(k) != "")
+    return ratio(keyword_hits(low, keywords), F.size(keywords))
+
+
+def keyword_hits(low: Column, keywords: Column) -> Column:
+    """How many keyword groups have a variant in a lower-case text; a group without variants never hits."""
     hit = lambda k: F.exists(F.split(k, r"\|"), lambda v: (F.trim(v) != "") & F.contains(low, F.lower(F.trim(v))))
-    return ratio(F.size(F.filter(groups, hit)), F.size(groups))
+    return F.size(F.filter(keywords, hit))
 
 
 def missing_keywords(text: Column, keywords: Column) -> Column:
-    """The keyword groups of which no variant is in the text, each by its first variant."""
+    """The keyword groups of which no variant is in the text, each by its first variant in lower case."""
     low = F.lower(text)
     absent = lambda k: (F.trim(k) != "") & ~F.exists(F.split(k, r"\|"), lambda v: (F.trim(v) != "") & F.contains(low, F.lower(F.trim(v))))
-    return F.transform(F.filter(keywords, absent), lambda k: F.trim(F.element_at(F.split(k, r"\|"), 1)))
+    first = lambda k: F.element_at(F.filter(F.transform(F.split(k, r"\|"), lambda v: F.lower(F.trim(v))), lambda v: v != ""), 1)
+    return F.transform(F.filter(keywords, lambda k: F.exists(F.split(k, r"\|"), lambda v: F.trim(v) != "") & absent(k)), first)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -70,8 +70,21 @@ def alpha_ordinal(df: DataFrame, item: str, value: str) -> DataFrame:
     return agg.join(F.broadcast(total)).select(F.round("t").cast("long").alias("n_pairable"), alpha.alias("alpha"))
 
 
-def resolve(df: DataFrame, essay: str, total: str, scale: float = 10.0, tol_ratio: float = 0.10) -> DataFrame:
-    """(essay, n_raters, gold_total, status, rater_range, rater_std): gold labels by the closest pair of scores."""
+def resolve(df: DataFrame, essay: str, total: str, scale: float = 10.0, tol_ratio: float = 0.10, method: str = "closest_pair", criteria: tuple[str, ...] = ()) -> DataFrame:
+    """(essay, n_raters, gold_total, status, rater_range, rater_std): gold labels by the closest pair of scores, or their median.
+
+    With criteria also needs_adjudication, and gold_<criterion> (mean) and range_<criterion> of each; an essay without a
+    total then takes the sum of each rater's criteria.
+    """
+    if method not in ("closest_pair", "median"):
+        raise ValueError(method)
+    if criteria:
+        summed = sum((F.coalesce(c, F.lit(0.0)) for c in criteria), F.lit(0.0))
+        d = df.withColumn("_any", F.max(F.col(total).isNotNull()).over(Window.partitionBy(essay)))
+        d = d.withColumn("_total", F.when(F.col("_any"), F.col(total)).otherwise(summed))
+        base = resolve(d.select(essay, F.col("_total").alias(total)), essay, total, scale, tol_ratio, method)
+        each = [x for c in criteria for x in (F.round(F.avg(c), 4).alias(f"gold_{c}"), F.coalesce(F.max(c) - F.min(c), F.lit(0.0)).alias(f"range_{c}"))]
+        return base.join(df.groupBy(essay).agg(*each), essay).withColumn("needs_adjudication", F.col("status") == "needs_adjudication")
     tol = tol_ratio * scale
     by = Window.partitionBy(essay).orderBy(total)
     gaps = df.select(essay, total).withColumn("gap", F.lead(total).over(by) - F.col(total))
@@ -82,6 +95,7 @@ def resolve(df: DataFrame, essay: str, total: str, scale: float = 10.0, tol_rati
         F.min(total).alias("lo"),
         F.max(total).alias("hi"),
         F.stddev_samp(total).alias("sd"),
+        F.median(total).alias("median"),
         F.min(F.when(F.col("gap").isNotNull(), F.struct(F.col("gap"), F.col(total).alias("at")))).alias("pair"),
     )
     spread = F.col("hi") - F.col("lo")
@@ -91,6 +105,8 @@ def resolve(df: DataFrame, essay: str, total: str, scale: float = 10.0, tol_rati
         .otherwise(F.when(F.col("pair.gap") <= tol, "closest_pair").otherwise("needs_adjudication"))
     )
     gold = F.when(F.col("n") <= 2, F.col("mean")).otherwise(F.col("pair.at") + F.col("pair.gap") / 2)
+    if method == "median":
+        gold, status = F.when(F.col("n") <= 2, F.col("mean")).otherwise(F.col("median")), F.when(F.col("n") > 2, "median").otherwise(status)
     return agg.where("n > 0").select(essay, "n_raters", F.round(gold, 4).alias("gold_total"), status.alias("status"), spread.alias("rater_range"), F.coalesce("sd", F.lit(0.0)).alias("rater_std"))
 
 
@@ -100,10 +116,10 @@ def disagreements(df: DataFrame, essay: str, total: str, tol: float) -> DataFram
     return agg.where((F.col("n_raters") >= 2) & (F.col("highest") - F.col("lowest") > tol)).withColumn("rater_range", F.col("highest") - F.col("lowest"))
 
 
-def rater_drift(df: DataFrame, anchors: DataFrame, essay: str, rater: str, total: str, gold: str) -> DataFrame:
-    """(rater, n, bias, mae) of scores against the gold labels of anchor essays."""
+def rater_drift(df: DataFrame, anchors: DataFrame, essay: str, rater: str, total: str, gold: str, batch: str | None = None) -> DataFrame:
+    """(rater, n, bias, mae) of scores against the gold labels of anchor essays, by batch as well where one is named."""
     error = F.col(total) - F.col(gold)
-    return df.join(anchors.select(F.col(essay).alias("_e"), gold), F.col(essay) == F.col("_e")).groupBy(rater).agg(F.count("*").alias("n"), F.avg(error).alias("bias"), F.avg(F.abs(error)).alias("mae"))
+    return df.join(anchors.select(F.col(essay).alias("_e"), gold), F.col(essay) == F.col("_e")).groupBy(rater, *([batch] if batch else [])).agg(F.count("*").alias("n"), F.avg(error).alias("bias"), F.avg(F.abs(error)).alias("mae"))
 
 
 def snap(x: Column, levels: list[float]) -> Column:
@@ -112,6 +128,12 @@ def snap(x: Column, levels: list[float]) -> Column:
     return F.when(x.isNotNull(), F.array_min(F.transform(at, lambda v: F.struct(F.abs(v - x).alias("d"), v.alias("v"))))["v"])
 
 
+def snapped_gold(df: DataFrame, levels: dict[str, list[float]], step: float = 0.25) -> DataFrame:
+    """df with gold_<criterion> at the nearest level of each criterion, and gold_total at the nearest step."""
+    d = df.withColumns({f"gold_{c}": snap(F.col(f"gold_{c}"), v) for c, v in levels.items() if v and f"gold_{c}" in df.columns})
+    return d.withColumn("gold_total", to_step(F.col("gold_total"), step))
+
+
 def to_step(x: Column, step: float = 0.25) -> Column:
     """Half-even rounding to a step."""
     return F.rint(x / step) * step
@@ -153,6 +175,28 @@ def rater_pairs(df: DataFrame, essay: str, rater: str, total: str, step: float =
     return agg.where(F.col("n_common") >= least).select(*by, "n_common", kappa.alias("qwk"), "adjacent", "pearson")
 
 
+def rater_matrix(df: DataFrame, essay: str, rater: str, total: str, raters: list) -> DataFrame:
+    """One row an essay and one column a rater, for display: mean scores, null where a rater has none."""
+    return df.groupBy(essay).pivot(rater, raters).agg(F.avg(total))
+
+
+def criteria_report(df: DataFrame, essay: str, rater: str, criteria: tuple[str, ...], step: float = 0.25) -> DataFrame:
+    """(criterion, n_raters, n_essays, n_double_scored, qwk_mean, qwk_min, adjacent_agreement, pearson_mean, krippendorff_alpha, icc_2k), one row a criterion."""
+    out = None
+    for c in (c for c in criteria if c in df.columns):
+        rows = df.where(F.col(c).isNotNull())
+        per = rows.groupBy(essay).agg(F.countDistinct(rater).alias("k"))
+        counts = per.agg(F.count("*").alias("n_essays"), F.count_if(F.col("k") >= 2).alias("n_double_scored")).join(F.broadcast(rows.agg(F.countDistinct(rater).alias("n_raters"))))
+        pairs = agreement_report(rater_pairs(df, essay, rater, c, step)).select(F.col("mean_qwk").alias("qwk_mean"), F.col("min_qwk").alias("qwk_min"), F.col("mean_adjacent").alias("adjacent_agreement"), F.col("mean_pearson").alias("pearson_mean"))
+        cells = rows.groupBy(essay, rater).agg(F.avg(c).alias("_x")).withColumn("_x", bins(F.col("_x"), step))
+        one = counts.join(pairs).join(alpha_ordinal(cells, essay, "_x").select(F.col("alpha").alias("krippendorff_alpha")), F.lit(True), "left").join(icc(df, essay, rater, c).select(F.col("icc").alias("icc_2k")), F.lit(True), "left")
+        one = one.select(F.lit(c).alias("criterion"), "n_raters", "n_essays", "n_double_scored", "qwk_mean", "qwk_min", "adjacent_agreement", "pearson_mean", "krippendorff_alpha", "icc_2k")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("none of the criteria is a column")
+    return out
+
+
 def agreement_report(pairs: DataFrame) -> DataFrame:
     """(n_pairs, mean_qwk, min_qwk, mean_adjacent, mean_pearson) over rater_pairs()."""
     return pairs.agg(F.count("*").alias("n_pairs"), F.avg("qwk").alias("mean_qwk"), F.min("qwk").alias("min_qwk"), F.avg("adjacent").alias("mean_adjacent"), F.avg("pearson").alias("mean_pearson"))
@@ -202,17 +246,25 @@ def usability(df: DataFrame, items: list[str]) -> DataFrame:
     )
 
 
-def self_consistency(df: DataFrame, key: str, criterion: str, run: str, score: str, level: str, levels: list[float], top: float) -> DataFrame:
+def self_consistency(df: DataFrame, key: str, criterion: str, run: str, score: str, level: str, levels: list[float], top: float, evidence: str | None = None, flags: str | None = None) -> DataFrame:
     """(key, criterion, score, level, n_runs, spread, confidence) over several runs of a judge.
 
     The median of the snapped scores, snapped; the most frequent level, the first seen of equal ones; the range over the
-    maximum as spread; confidence is one minus the mean spread of a key's criteria.
+    maximum as spread; confidence is one minus the mean spread of a key's criteria. A score that isn't a number is the
+    lowest level. evidence and flags name array columns: the first three pieces in order of run, and the sorted set of
+    all flags of a key. Runs are a handful, so their lists are bounded.
     """
-    rows = df.where(F.col(score).isNotNull()).select(key, criterion, run, snap(F.col(score), levels).alias("x"), F.nullif(level, F.lit("")).alias("l"))
-    per_level = rows.groupBy(key, criterion, "l").agg(F.count("*").alias("c"), F.min(run).alias("at"), F.collect_list("x").alias("xs"))
-    agg = per_level.groupBy(key, criterion).agg(F.flatten(F.collect_list("xs")).alias("xs"), F.max(F.when(F.col("l").isNotNull(), F.struct("c", (-F.col("at")).alias("first"), "l"))).alias("best"))
+    number = F.coalesce(F.col(score).cast("string").try_cast("double"), F.lit(float(min(levels))))
+    rows = df.where(F.col(score).isNotNull()).select(key, criterion, run, snap(number, levels).alias("x"), F.nullif(level, F.lit("")).alias("l"), *([F.col(evidence).alias("ev")] if evidence else []))
+    per_level = rows.groupBy(key, criterion, "l").agg(F.count("*").alias("c"), F.min(run).alias("at"), F.collect_list("x").alias("xs"), *([F.collect_list(F.struct(F.col(run).alias("at"), "ev")).alias("evs")] if evidence else []))
+    agg = per_level.groupBy(key, criterion).agg(F.flatten(F.collect_list("xs")).alias("xs"), F.max(F.when(F.col("l").isNotNull(), F.struct("c", (-F.col("at")).alias("first"), "l"))).alias("best"), *([F.array_sort(F.flatten(F.collect_list("evs"))).alias("evs")] if evidence else []))
     xs, n = F.array_sort("xs"), F.size("xs")
     middle = (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2
     spread = (F.array_max("xs") - F.array_min("xs")) / top
-    out = agg.select(key, criterion, snap(middle, levels).alias("score"), F.coalesce("best.l", F.lit("")).alias("level"), n.alias("n_runs"), spread.alias("spread"))
-    return out.withColumn("confidence", F.round(1 - F.avg("spread").over(Window.partitionBy(key)), 3))
+    shown = [F.slice(F.flatten(F.transform("evs", lambda e: F.coalesce(e["ev"], F.array().cast("array<string>")))), 1, 3).alias("evidence")] if evidence else []
+    out = agg.select(key, criterion, snap(middle, levels).alias("score"), F.coalesce("best.l", F.lit("")).alias("level"), n.alias("n_runs"), spread.alias("spread"), *shown)
+    out = out.withColumn("confidence", F.round(1 - F.avg("spread").over(Window.partitionBy(key)), 3))
+    if flags:
+        said = df.select(F.col(key).alias("_k"), F.explode_outer(flags).alias("f")).withColumn("f", F.nullif(F.trim("f"), F.lit(""))).groupBy("_k").agg(F.array_sort(F.collect_set("f")).alias("flags"))
+        out = out.join(said, F.col(key) == F.col("_k"), "left").drop("_k")
+    return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .agreement import bins, pearson, qwk
@@ -122,6 +123,71 @@ def totals(df: DataFrame, a: str, b: str, by: tuple[str, ...] = (), step: float
     return out.join(kappa, list(by), "left") if by else out.join(F.broadcast(kappa), F.lit(True), "left")
 
 
+def fixed_labels_qwk(df: DataFrame, a: str, b: str, by: tuple[str, ...] = (), top: float = 10.0, step: float = 0.25) -> DataFrame:
+    """(by..., n, qwk) over the labels 0, step ... top whether they occur or not: null where both sides have one label only, and outside them."""
+    from .agreement import qwk
+
+    rows = df.where(F.col(a).between(0, top) & F.col(b).between(0, top))
+    sides = rows.groupBy(*by).agg((F.min(F.least(F.rint(F.col(a) / step), F.rint(F.col(b) / step))) == F.max(F.greatest(F.rint(F.col(a) / step), F.rint(F.col(b) / step)))).alias("_one"))
+    out = qwk(rows, a, b, by, step)
+    both = out.join(sides, list(by)) if by else out.join(F.broadcast(sides))
+    return both.select(*by, "n", F.when(~F.col("_one"), F.col("qwk")).alias("qwk"))
+
+
+#: The experiments of an ablation: what each one uses. Fixed values.
+ABLATION = (
+    {"experiment_id": "A", "encoder": "tfidf", "uses": ("feature_model",)},
+    {"experiment_id": "B", "encoder": "phobert", "uses": ("feature_model",)},
+    {"experiment_id": "C", "encoder": "none", "uses": ("vistral",)},
+    {"experiment_id": "D", "encoder": "none", "uses": ("vistral", "anchors")},
+    {"experiment_id": "E", "encoder": "none", "uses": ("vistral", "anchors", "rag")},
+    {"experiment_id": "F", "encoder": "none", "uses": ("vistral", "qlora")},
+    {"experiment_id": "G", "encoder": "none", "uses": ("vistral", "qlora", "rag")},
+    {"experiment_id": "H", "encoder": "phobert", "uses": ("feature_model", "vistral", "qlora", "rag", "anchors", "self_consistency")},
+)
+PARTS = ("feature_model", "vistral", "qlora", "rag", "anchors", "self_consistency")
+
+
+def ablation_plan(spark: SparkSession, experiments: tuple[dict, ...] = ABLATION, seed: int = 42) -> DataFrame:
+    """(experiment_id, encoder, use_<part>..., use_rule_engine, seed), one row an experiment."""
+    rows = [(e["experiment_id"], e["encoder"], *(p in e["uses"] for p in PARTS), True, seed) for e in experiments]
+    return spark.createDataFrame(rows, "experiment_id string, encoder string, " + "".join(f"use_{p} boolean, " for p in PARTS) + "use_rule_engine boolean, seed int")
+
+
+def predictions(spark: SparkSession, folder: str, pattern: str = "pred_*.csv") -> DataFrame:
+    """Rows of all prediction files of a folder, with experiment_id from the file's name."""
+    d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("pathGlobFilter", pattern).csv(folder)
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return d.withColumn("experiment_id", F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), "^pred_", ""))
+
+
+def ablation_summary(pred: DataFrame, gold: DataFrame, key: str, pred_column: str, gold_column: str) -> DataFrame:
+    """metrics() of each experiment over the essays that have a label: one join and one pass for all of them."""
+    g = gold.select(F.col(key).cast("string").alias("_k"), F.col(gold_column).cast("double").alias("_g"))
+    both = pred.withColumn("_p", F.col(pred_column).cast("string").try_cast("double")).join(g, F.col(key).cast("string") == F.col("_k"))
+    return metrics(both, "_g", "_p", ("experiment_id",))
+
+
+def paired_interval(before: DataFrame, after: DataFrame, key: str, value: str, n: int = 1000) -> DataFrame:
+    """(metric, estimate, low, high): bootstrap() of the mean of paired_delta()."""
+    return bootstrap(paired_delta(before, after, key, value), key, {"delta": F.col("delta")}, n)
+
+
+def feedback_similarity(pred: DataFrame, gold: DataFrame, key: str, text: str, score) -> DataFrame:
+    """(n, precision, recall, f1): means over pairs of feedback texts, by a function that scores them in the tasks.
+
+    score: (candidates, references) -> three lists of numbers, such as a client of an embedding model.
+    """
+    both = pred.select(key, F.coalesce(F.col(text), F.lit("")).alias("a")).join(gold.select(key, F.coalesce(F.col(text), F.lit("")).alias("b")), key)
+
+    @F.pandas_udf("p double, r double, f double")
+    def scored(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        p, r, f = score(a.tolist(), b.tolist())
+        return pd.DataFrame({"p": p, "r": r, "f": f})
+
+    return both.select(scored("a", "b").alias("s")).agg(F.count("*").alias("n"), F.avg("s.p").alias("precision"), F.avg("s.r").alias("recall"), F.avg("s.f").alias("f1"))
+
+
 def median_runs(df: DataFrame, key: str, run: str, total: str) -> DataFrame:
     """(key, total, run_std, n_runs): the median of an essay's runs and their spread."""
     return df.groupBy(key).agg(F.percentile(total, F.lit(0.5)).alias("total"), F.coalesce(F.stddev_samp(total), F.lit(0.0)).alias("run_std"), F.count(total).alias("n_runs"))

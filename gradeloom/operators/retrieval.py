@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradeloom.functions.records import truth
+from gradeloom.session import cut
+
 
 def terms(text: Column) -> Column:
     """Words of two word characters or more, lower case, and pairs of neighbours."""
@@ -17,38 +21,120 @@ def counted(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def index(chunks: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(postings(term, id, w), idf(term, idf)): sublinear counts, smooth idf, vectors of length 1."""
+#: Terms of an index at most, the most frequent ones.
+MOST_TERMS = 50_000
+
+
+def approved_chunks(df: DataFrame, text: str, approved: str | None = None) -> DataFrame:
+    """Chunks that aren't blank and, by a column of any type, are approved: "false", "no" and 0 are not."""
+    d = df.where(F.trim(text) != "")
+    return d.where(truth(F.col(approved))) if approved else d
+
+
+def index(chunks: DataFrame, key: str, text: str, most: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(postings(term, id, w), idf(term, idf)): sublinear counts, smooth idf, vectors of length 1, the most frequent terms."""
     tf = counted(chunks.where(F.trim(text) != ""), key, text)
     n = chunks.where(F.trim(text) != "").agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.col("total").desc(), "term").limit(most)
     idf = df.join(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     return weighted(tf, idf).select("term", "id", "w"), idf
 
 
+def save_index(postings: DataFrame, idf: DataFrame, path: str) -> None:
+    for name, df in (("postings", postings), ("idf", idf)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What save_index() wrote."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf"))
+
+
 def weighted(tf: DataFrame, idf: DataFrame) -> DataFrame:
     raw = tf.join(idf, "term").withColumn("raw", (1 + F.ln("tf")) * F.col("idf"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, "id").withColumn("w", F.col("raw") / F.col("norm"))
 
 
-def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: str, chunk_text: str, k: int = 4) -> DataFrame:
-    """(key, chunk, score, place): the k best chunks of each query by cosine, positive ones only."""
-    postings, idf = index(chunks, chunk, chunk_text)
+#: Terms of a query that are looked up at first: their partial scores bound the k-th best one from below.
+FIRST = 8
+
+
+def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: str, chunk_text: str, k: int = 4, course: str | None = None, prompt: str | None = None, approved: str | None = None, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(key, chunk, score, place): the k best chunks of each query by cosine, positive ones only.
+
+    With course, only chunks of the query's course compete (all, if it has none); with prompt, only those of its prompt or
+    of none. Weights come from all chunks.
+
+    A frequent term would meet every chunk, so terms are taken in the order of what they can add at most: FIRST of them
+    give a k-th best partial score, and only chunks that hold a term from which on the rest can still reach that score are
+    scored in full. This loses none of the k best.
+    """
+    chunks = approved_chunks(chunks, chunk_text, approved)
+    postings, idf = indexed or index(chunks, chunk, chunk_text)
+    limits = [c for c in (course, prompt) if c]
+    if limits:
+        blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        postings = postings.join(chunks.select(F.col(chunk).alias("id"), *(blank(c).alias(f"c_{c}") for c in limits)), "id")
+    postings = cut(postings)
     q = weighted(counted(queries, key, text), idf).select("term", F.col("id").alias("q"), F.col("w").alias("qw"))
-    scores = q.join(postings, "term").groupBy("q", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score")).where("score > 0")
+    q = q.join(postings.groupBy("term").agg(F.max("w").alias("top")), "term").withColumn("most", F.col("qw") * F.col("top"))
+    order = Window.partitionBy("q").orderBy(F.col("most").desc(), "term")
+    q = q.withColumns({"rank": F.row_number().over(order), "rest": F.sum("most").over(order.rowsBetween(0, Window.unboundedFollowing))})
+    if limits:
+        q = q.join(queries.select(F.col(key).alias("q"), *(blank(c).alias(f"q_{c}") for c in limits)), "q")
+    q = cut(q)
+    fits = F.lit(True)
+    if course:
+        fits = fits & ((F.col(f"q_{course}") == "") | (F.col(f"q_{course}") == F.col(f"c_{course}")))
+    if prompt:
+        fits = fits & ((F.col(f"q_{prompt}") == "") | (F.col(f"c_{prompt}") == "") | (F.col(f"q_{prompt}") == F.col(f"c_{prompt}")))
+    partial = q.where(F.col("rank") <= FIRST).join(postings, "term").where(fits).groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    kth = partial.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("place") == k).select("q", F.col("score").alias("least"))
+    reach = q.join(kth, "q", "left").where(F.col("rest") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
+    likely = reach.join(postings, "term").where(fits).select("q", "id").distinct()
+    scores = likely.join(q.select("q", "term", "qw"), "q").join(postings.select("id", "term", "w"), ["id", "term"]).groupBy("q", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score")).where("score > 0")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
     top = scores.withColumn("place", place).where(F.col("place") <= k)
     return top.select(F.col("q").alias(key), F.col("id").alias(chunk), "score", "place")
 
 
-def filtered(hits: DataFrame, queries: DataFrame, key: str, chunks: DataFrame, chunk: str, course: str, prompt: str) -> DataFrame:
-    """hits whose chunk is of the query's course, and of its prompt or of none; weights still come from all chunks."""
-    q = queries.select(F.col(key).alias("_q"), F.col(course).alias("_qc"), F.col(prompt).alias("_qp"))
-    c = chunks.select(F.col(chunk).alias("_c"), F.col(course).alias("_cc"), F.col(prompt).alias("_cp"))
-    both = hits.join(q, F.col(key) == F.col("_q")).join(c, F.col(chunk) == F.col("_c"))
-    fits = (F.col("_qc") == F.col("_cc")) & (F.col("_cp").isNull() | (F.col("_cp") == "") | (F.col("_cp") == F.col("_qp")))
-    return both.where(fits).drop("_q", "_qc", "_qp", "_c", "_cc", "_cp")
+def context_audit(hits: DataFrame, key: str, chunks: DataFrame, chunk: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(key, rank, chunk, score, columns...): which chunks each context was made of, with what identifies them."""
+    c = chunks.select(F.col(chunk).alias("_c"), *columns)
+    return hits.join(c, F.col(chunk) == F.col("_c")).select(key, F.col("place").alias("rank"), chunk, "score", *columns)
+
+
+def packed(hits: DataFrame, key: str, chunks: DataFrame, chunk: str, text: str, queries: DataFrame, base: str, count, budget: int, policy: str = "skip") -> DataFrame:
+    """(key, context, n_passages, n_tokens, condition): passages by place under a budget of tokens of the whole prompt.
+
+    count: a function of a text that gives its tokens, which runs in the tasks; base: the column of the prompt without
+    passages. A passage that doesn't fit is left out; with the policy "break" none follows. condition: eligible,
+    base_prompt_too_long or no_retrieval_fit. A query has k hits at most, so its list is bounded.
+    """
+    if policy not in ("skip", "break"):
+        raise ValueError(policy)
+    c = chunks.select(F.col(chunk).alias("_c"), F.concat(F.lit("["), F.col(chunk).cast("string"), F.lit("] "), F.col(text)).alias("_t"))
+    lists = hits.join(c, F.col(chunk) == F.col("_c")).groupBy(F.col(key).alias("_k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_t"))), lambda s: s["_t"]).alias("ps"))
+    rows = queries.select(key, F.coalesce(base, F.lit("")).alias("_b")).join(lists, F.col(key) == F.col("_k"), "left")
+
+    @F.pandas_udf("context string, n_passages int, n_tokens int, condition string")
+    def fit(base: pd.Series, passages: pd.Series) -> pd.DataFrame:
+        out = []
+        for b, ps in zip(base, passages):
+            kept, used = [], count(b)
+            if used <= budget:
+                for p in ps if ps is not None else []:
+                    size = count("\n\n".join([b, *kept, p]))
+                    if size <= budget:
+                        kept, used = [*kept, p], size
+                    elif policy == "break":
+                        break
+            why = "eligible" if kept else "base_prompt_too_long" if count(b) > budget else "no_retrieval_fit"
+            out.append(("\n\n".join(kept), len(kept), used, why))
+        return pd.DataFrame(out, columns=["context", "n_passages", "n_tokens", "condition"])
+
+    return rows.select(key, fit("_b", "ps").alias("f")).select(key, "f.*")
 
 
 def context(hits: DataFrame, key: str, chunks: DataFrame, chunk: str, text: str, budget: int | None = None, policy: str = "skip") -> DataFrame:
@@ -96,9 +182,9 @@ def chunked(pages: DataFrame, document: str, page: str, text: str, size: int = 1
     from gradeloom.functions.text import normalize_whitespace
     from gradeloom.functions.vietnamese import nfc
 
-    cut = F.pandas_udf(lambda s: s.map(lambda x: windows(x, size, overlap, least)), "array<string>")
+    pieces = F.pandas_udf(lambda s: s.map(lambda x: windows(x, size, overlap, least)), "array<string>")
     body = pages.select(document, page, normalize_whitespace(nfc(F.coalesce(F.col(text), F.lit("")))).alias("_b")).where(F.length("_b") >= least)
-    each = body.select(document, page, F.posexplode(cut("_b")).alias("_i", "chunk"))
+    each = body.select(document, page, F.posexplode(pieces("_b")).alias("_i", "chunk"))
     number = F.row_number().over(Window.partitionBy(document).orderBy(page, "_i")) - 1
     return each.withColumn("piece", number).select(document, page, "piece", "chunk")
 

@@ -40,8 +40,49 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> Dat
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).withColumnRenamed("_r", "place")
 
 
+#: Essays of a batch in a scoring plan.
+BATCH = 50
+
+
+def scoring_plan(df: DataFrame, key: str, raters: list[str], rate: float = 0.25, anchors: list | None = None, anchor_rate: float = 0.05, seed: str = "42") -> DataFrame:
+    """(key, rater_id, role, batch): primary raters in turn over the essays in hash order, secondary ones for a share.
+
+    Each rater also gets the same number of anchors (batch -1), one at least, drawn without replacement.
+    """
+    if len(raters) < 2:
+        raise ValueError("a plan needs two raters at least")
+    mixed = F.xxhash64(F.lit(seed), key)
+    d = ordinal(df.select(key), [mixed, F.col(key)], "_k").withColumn("_k", F.col("_k") - 1)
+    names, n = F.array(*map(F.lit, raters)), len(raters)
+    at = (F.col("_k") % n).cast("int")
+    other = ((at + 1 + F.pmod(F.xxhash64(F.lit(seed + "b"), key), F.lit(n - 1)).cast("int")) % n).cast("int")
+    row = lambda at, role: F.struct(F.get(names, at).alias("rater_id"), F.lit(role).alias("role"))
+    both = F.array_compact(F.array(row(at, "primary"), F.when(unit_hash(seed, F.col(key)) < rate, row(other, "secondary"))))
+    plan = d.select(key, F.explode(both).alias("r"), F.floor(F.col("_k") / BATCH).cast("int").alias("batch")).select(key, "r.*", "batch")
+    if anchors:
+        each = min(max(1, int(df.count() * anchor_rate / n)), len(anchors))
+        rows = df.sparkSession.createDataFrame([(a, r) for a in anchors for r in raters], f"{key} {df.schema[key].dataType.simpleString()}, rater_id string")
+        drawn = top_per_group(rows, "rater_id", [F.xxhash64(F.lit(seed), "rater_id", key), F.col(key)], each)
+        plan = plan.unionByName(drawn.select(key, "rater_id", F.lit("anchor").alias("role"), F.lit(-1).alias("batch")))
+    return plan
+
+
+def forms(plan: DataFrame, key: str, criteria: list[str]) -> DataFrame:
+    """An empty scoring form for each row of a plan: score and evidence of each criterion, total, flag, note, duration."""
+    blank = lambda c: F.lit("").alias(c)
+    number = lambda c: F.lit(None).cast("double").alias(c)
+    return plan.select(key, "rater_id", *(x for c in criteria for x in (number(c), blank(f"{c}__evidence"))), number("total"), blank("flag"), blank("note"), number("duration_sec"))
+
+
+def form_of(plan: DataFrame, key: str, criteria: list[str], rater: str) -> DataFrame:
+    """The form of one rater; write forms() partitioned by rater_id to have all of them."""
+    return forms(plan.where(F.col("rater_id") == rater), key, criteria)
+
+
 def double_scoring(df: DataFrame, key: str, raters: int, rate: float = 0.25, seed: str = "42") -> DataFrame:
     """(key, rater, part): a first rater for each essay, and another one for a share of them."""
+    if raters < 2:
+        raise ValueError("a plan needs two raters at least")
     u = F.xxhash64(F.lit(seed), key)
     first = F.pmod(u, F.lit(raters)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(seed + "b"), key), F.lit(raters - 1)).cast("int"), F.lit(raters))
@@ -116,6 +157,20 @@ def group_holdout(df: DataFrame, group: str, key: str, prompt: str, held: list[s
     return split.withColumn("split", F.when(F.col("_held"), "test").otherwise(F.col("split"))).drop("_g", "_held")
 
 
+def tail_split(df: DataFrame, order: list[Column], share: float = 0.2, least: int = 10) -> DataFrame:
+    """df with split: the last rows in an order are for testing, a share of all rows and so many at least."""
+    d = ordinal(df, order, "_at")
+    n = df.count()
+    return d.withColumn("split", F.when(F.col("_at") > n - max(least, int(n * share)), "test").otherwise("train")).drop("_at")
+
+
+def keyword_map(df: DataFrame, prompt: str, keywords: str, order: str) -> DataFrame:
+    """(prompt, keywords: array): those of a prompt's first row, split at semicolons; prompts without any are left out."""
+    first = df.groupBy(prompt).agg(F.min_by(F.coalesce(keywords, F.lit("")), order).alias("_k"))
+    parts = F.filter(F.transform(F.split("_k", ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return first.select(prompt, parts.alias("keywords")).where(F.size("keywords") > 0)
+
+
 def batches(df: DataFrame, rater: str, key: str, size: int = 50, seed: str = "42") -> DataFrame:
     """df with batch: each rater's essays in hash order, in runs of a size."""
     place = F.row_number().over(Window.partitionBy(rater).orderBy(F.xxhash64(F.lit(seed), key), key))

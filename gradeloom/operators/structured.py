@@ -14,6 +14,7 @@ from pyspark.sql.types import MapType, StringType
 from gradeloom.functions.vietnamese import nfkc
 
 #: Heads of answers ("Câu 2 b)") and of their parts ("b)").
+# The patterns of heads and parts.
 HEAD = re.compile(r"(?im)^\s*(?:câu|cau)\s*([1-9])\s*(?:[.\-:]?\s*([a-d]))?\s*[).:\-]?\s*")
 PART = re.compile(r"(?im)(?:^|\n)\s*([a-d])\s*[).:\-]\s*")
 
@@ -67,6 +68,7 @@ def formula_text(x: str) -> str:
 
 def atoms(expected: str) -> list[str]:
     """Numbers and edges of two characters or more in an expected answer; else all of it."""
+    # fixed value: the pattern
     found = [a for a in re.findall(r"\d+(?:[.,]\d+)?|\d+!|[a-z]&[a-z]", formula_text(expected)) if len(a) >= 2]
     return list(dict.fromkeys(found)) or [formula_text(expected)]
 
@@ -104,6 +106,11 @@ def item_scores(df: DataFrame, key: str, text: str, items: list[Item]) -> DataFr
     return rows.select(key, "i.*", "n_sections")
 
 
+def clamped(x: Column, top: float = 10.0) -> Column:
+    """x between 0 and top; null stays null, which least() and greatest() would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(top), x)))
+
+
 def rubric_totals(scored: DataFrame, key: str) -> DataFrame:
     """(key, rubric_total, section_coverage)."""
     local = (F.col("location") != "whole_answer_fallback").cast("double")
@@ -111,19 +118,23 @@ def rubric_totals(scored: DataFrame, key: str) -> DataFrame:
 
 
 def final_grades(df: DataFrame, text: str, model: str, weight: float = 0.70, least: float = 0.60, step: float = 0.25) -> DataFrame:
-    """df (with rubric_total and section_coverage, null where the exam is unknown) with final_total, mode, flags, needs_review."""
+    """df (with rubric_total and section_coverage, null where the exam is unknown) with final_total, mode, flags, needs_review.
+
+    Without a score to go by, final_total is null and the row has the flag NO_SCORE.
+    """
     if not 0 <= weight <= 1:
         raise ValueError("the weight of the rubric lies between 0 and 1")
     c = F.col
     empty = F.length(F.trim(F.coalesce(text, F.lit("")))) < 20
     enough = F.coalesce(c("section_coverage"), F.lit(0.0)) >= least
     raw = F.when(enough, weight * c("rubric_total") + (1 - weight) * c(model)).otherwise(c(model))
-    final = F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.rint(raw / step) * step)))
+    final = F.when(empty, 0.0).otherwise(clamped(F.rint(raw / step) * step))
     mode = F.when(empty, "empty_rule").when(enough, "hybrid_rubric_model").otherwise("model_fallback")
     flags = {
         "UNKNOWN_EXAM": c("rubric_total").isNull(),
         "EMPTY_OR_TOO_SHORT": empty,
         "LOW_SECTION_COVERAGE": ~empty & ~enough,
+        "NO_SCORE": ~empty & raw.isNull(),
         "MODEL_RUBRIC_DISAGREEMENT": F.coalesce(F.abs(c(model) - c("rubric_total")) >= 2.0, F.lit(False)),
     }
     found = F.array_join(F.array_compact(F.array(*(F.when(v, k) for k, v in flags.items()))), "|")
@@ -131,11 +142,15 @@ def final_grades(df: DataFrame, text: str, model: str, weight: float = 0.70, lea
 
 
 def calibrate_weight(df: DataFrame, gold: str, model: str, rubric: str, coverage: str, least: float = 0.60, step: float = 0.25) -> DataFrame:
-    """(weight, mae, n): mean error of each weight 0, 0.1 … 1 over validation rows; the best one is the first by (mae, weight)."""
+    """(weight, mae, n): mean error of each weight 0, 0.1 … 1 over validation rows; the best one is the first by (mae, weight).
+
+    Rows without a score to go by count for no weight, so that all weights are judged on the same rows.
+    """
     grid = F.explode(F.array(*(F.lit(i / 10) for i in range(11)))).alias("weight")
-    each = df.where(F.col(gold).isNotNull()).select("*", grid)
+    usable = F.col(model).isNotNull() & (F.col(rubric).isNotNull() | ~F.coalesce(F.col(coverage) >= least, F.lit(False)))
+    each = df.where(F.col(gold).isNotNull() & usable).select("*", grid)
     raw = F.when(F.coalesce(F.col(coverage) >= least, F.lit(False)), F.col("weight") * F.col(rubric) + (1 - F.col("weight")) * F.col(model)).otherwise(F.col(model))
-    final = F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.rint(raw / step) * step))
+    final = clamped(F.rint(raw / step) * step)
     return each.groupBy("weight").agg(F.avg(F.abs(F.col(gold) - final)).alias("mae"), F.count("*").alias("n"))
 
 

@@ -125,7 +125,7 @@ def snapped_levels(spark, sf_dir):
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
-_METRICS = """count(*) AS n, round(avg(abs(gold - pred)), 6) AS mae, round(sqrt(avg((gold - pred) ** 2)), 6) AS rmse,
+METRICS = """count(*) AS n, round(avg(abs(gold - pred)), 6) AS mae, round(sqrt(avg((gold - pred) ** 2)), 6) AS rmse,
 round(avg(CAST(round_even(gold / 0.25, 0) = round_even(pred / 0.25, 0) AS INT)), 6) AS exact_agreement,
 round(avg(CAST(abs(gold - pred) <= 1 AS INT)), 6) AS adjacent_agreement,
 round((avg(pred) - avg(gold)) / sqrt((var_samp(gold) + var_samp(pred)) / 2), 6) AS smd, round(avg(pred - gold), 6) AS bias,
@@ -135,12 +135,12 @@ _KAPPA = """b AS (SELECT exam, round_even(gold / 0.25, 0) AS i, round_even(pred
 k AS (SELECT exam, round(1 - count(*) * sum((i - j) ** 2) / (count(*) * (sum(i ** 2) + sum(j ** 2)) - 2 * sum(i) * sum(j)), 6) AS qwk FROM b GROUP BY exam)"""
 
 
-@query(f"WITH {RATINGS}, {_KAPPA}, m AS (SELECT exam, {_METRICS} FROM ratings GROUP BY exam) SELECT m.*, k.qwk FROM m JOIN k USING (exam)")
+@query(f"WITH {RATINGS}, {_KAPPA}, m AS (SELECT exam, {METRICS} FROM ratings GROUP BY exam) SELECT m.*, k.qwk FROM m JOIN k USING (exam)")
 def score_metrics(spark, sf_dir):
     return rounded(evaluation.metrics(ratings(spark, sf_dir), "gold", "pred", ("exam",)))
 
 
-@query(f"""WITH {RATINGS}, {_KAPPA}, m AS (SELECT exam, {_METRICS} FROM ratings GROUP BY exam HAVING count(*) >= 10)
+@query(f"""WITH {RATINGS}, {_KAPPA}, m AS (SELECT exam, {METRICS} FROM ratings GROUP BY exam HAVING count(*) >= 10)
 SELECT exam, n, qwk, mae, smd, bias, abs(smd) > 0.25 AS warn_bias, mae > min(mae) OVER () + 0.5 AS warn_mae FROM m JOIN k USING (exam)""")
 def fairness_by_group(spark, sf_dir):
     return rounded(evaluation.fairness(ratings(spark, sf_dir), "exam", "gold", "pred"))
@@ -212,7 +212,9 @@ def double_scoring_plan(spark, sf_dir):
 
 # --- text ------------------------------------------------------------------------------------------------------------
 
-_DIA = r"length(regexp_replace(t, '[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{1E00}-\x{1EFF}]', '', 'g'))"
+# written from the list of letters, not from the pattern that the query uses
+_VN = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
+_DIA = f"length(translate(t, '{_VN}{_VN.upper()}', ''))"
 _LET = r"(length(t) - length(regexp_replace(t, '\pL', '', 'g')))"
 
 
@@ -250,15 +252,17 @@ def exact_duplicates(spark, sf_dir):
     return dedup.exact_groups(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(r"""WITH d AS (SELECT doc_id, source, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') AS ws, sha1(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS f FROM documents),
-k AS (SELECT min(doc_id) AS doc_id FROM d GROUP BY source, f),
+@query(r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN source END AS source, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') AS ws, sha1(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS f FROM documents),
+k AS (SELECT min(doc_id) AS doc_id, source, f FROM d GROUP BY source, f),
 s AS (SELECT DISTINCT d.doc_id, d.source, array_to_string(ws[i:i + 4], ' ') AS h FROM d JOIN k USING (doc_id), LATERAL (SELECT unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i) WHERE len(ws) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, a.source, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL)
+p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, a.source, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.source IS NOT DISTINCT FROM b.source AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT id_a, id_b, source, round(c / (x.n + y.n - c), 4) AS jaccard, round(c / x.n, 4) AS containment_a, round(c / y.n, 4) AS containment_b
-FROM p JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE c / (x.n + y.n - c) >= 0.5""")
+FROM p JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE c / (x.n + y.n - c) >= 0.5
+UNION ALL SELECT k.doc_id, d.doc_id, d.source, 1, 1, 1 FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.f = k.f AND d.doc_id > k.doc_id""")
 def near_duplicate_pairs(spark, sf_dir):
-    return dedup.near_pairs(read(spark, sf_dir, "documents"), "doc_id", "text", ("source",))
+    d = read(spark, sf_dir, "documents").withColumn("source", F.when(F.col("doc_id") % 5 != 0, F.col("source")))
+    return dedup.with_copies(dedup.near_pairs(d, "doc_id", "text", ("source",)), d, "doc_id", "text", ("source",))
 
 
 @query("""SELECT doc_id, round((CASE WHEN contains(t, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'der') OR contains(t, 'die') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'ciones') THEN 1 ELSE 0 END) / 3, 6) AS coverage
@@ -296,25 +300,38 @@ def retrieve_passages(spark, sf_dir):
     return retrieval.search(turns, "turn_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+@query(ORACLES["retrieve_passages"].replace("FROM benchmark WHERE trim(text) <> ''", "FROM benchmark WHERE trim(text) <> '' AND item_id % 7 <> 0").replace("FROM s WHERE score > 0", "FROM s WHERE score > 0 AND item_id % 3 = turn_id % 3 AND (item_id % 2 = 1 OR turn_id % 5 = 0 OR item_id % 4 = turn_id % 4)"))
+def retrieve_of_course(spark, sf_dir):
+    """Chunks of the query's course, and of its prompt or of none, compete; chunks that aren't approved are in no index."""
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    turns = turns.withColumns({"course": (F.col("turn_id") % 3).cast("string"), "prompt": F.when(F.col("turn_id") % 5 != 0, (F.col("turn_id") % 4).cast("string"))})
+    item = F.col("item_id")
+    chunks = read(spark, sf_dir, "benchmark").withColumns({"course": (item % 3).cast("string"), "prompt": F.when(item % 2 == 0, (item % 4).cast("string")), "approved": F.when(item % 7 != 0, "true").otherwise("no")})
+    return retrieval.search(turns, "turn_id", "text", chunks, "item_id", "text", course="course", prompt="prompt", approved="approved")
+
+
 # --- rules, joins, reports -------------------------------------------------------------------------------------------
 
 RULES = [
-    {"id": "R1", "when": "confidence < 0.4", "action": "review", "flag": "LOW_CONFIDENCE"},
+    {"id": "R1", "when": "confidence < 0.4", "action": "review", "flag": "LOW_CONFIDENCE", "reason": "not sure"},
     {"id": "R2", "when": "pred - gold > 0.5 and exam == 'R'", "action": "subtract", "value": 0.5, "flag": "TOO_HIGH"},
     {"id": "R3", "when": "exam in ['A', 'R'] and not (gold >= 9)", "action": "cap_total", "value_expr": "gold + 1"},
     {"id": "R4", "when": "missing_name > 1", "action": "set_total", "value": 0},
+    {"id": "R5", "when": "open('x')", "action": "set_total", "value": 0},
+    {"id": "R6", "when": "confidence > 0.9", "action": "set_total", "value": 12},
+    {"id": "R7", "action": "set_total", "value": 0},
 ]
 
 
 @query(f"""WITH {RATINGS}, a AS (SELECT *, confidence < 0.4::DOUBLE AS r1, pred - gold > 0.5::DOUBLE AND exam = 'R' AS r2, exam IN ('A', 'R') AND NOT gold >= 9 AS r3 FROM ratings),
 b AS (SELECT *, CASE WHEN r2 THEN greatest(0.0::DOUBLE, pred - 0.5::DOUBLE) ELSE pred END AS t FROM a)
-SELECT essay_id, rater_id, gold, pred, least(10.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN r3 THEN least(t, gold + 1) ELSE t END)) AS final_total,
+SELECT essay_id, rater_id, gold, pred, CASE WHEN confidence > 0.9::DOUBLE THEN 12.0 WHEN r3 THEN least(t, gold + 1) ELSE t END AS final_total,
        array_to_string(list_filter([CASE WHEN r1 THEN 'LOW_CONFIDENCE' END, CASE WHEN r2 THEN 'TOO_HIGH' END], lambda x: x IS NOT NULL), '|') AS flags,
-       array_to_string(list_filter([CASE WHEN r1 THEN 'R1' END, CASE WHEN r2 THEN 'R2' END, CASE WHEN r3 THEN 'R3' END], lambda x: x IS NOT NULL), '|') AS applied_rules,
-       'R4: missing_name is not defined' AS skipped_rules, r1 AS needs_review FROM b""")
+       array_to_string(list_filter([CASE WHEN r1 THEN 'R1' END, CASE WHEN r2 THEN 'R2' END, CASE WHEN r3 THEN 'R3' END, CASE WHEN confidence > 0.9::DOUBLE THEN 'R6' END], lambda x: x IS NOT NULL), '|') AS applied_rules,
+       'R4: missing_name is not defined; R5: not allowed' AS skipped_rules, r1 AS needs_review, CASE WHEN r1 THEN 'R4: missing_name is not defined; R5: not allowed; not sure' ELSE '' END AS review_reason FROM b""")
 def scoring_rules(spark, sf_dir):
     found = apply_rules(ratings(spark, sf_dir), RULES, "pred")
-    return found.select("essay_id", "rater_id", "gold", "pred", "final_total", "flags", "applied_rules", "skipped_rules", "needs_review")
+    return found.select("essay_id", "rater_id", "gold", "pred", "final_total", "flags", "applied_rules", "skipped_rules", "needs_review", "review_reason")
 
 
 @query("""SELECT source, lang, count(*) AS n_docs, count(l.doc_id) AS n_labelled, sum(quality) AS n_good, round(avg(n_chars), 6) AS mean_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source, lang""")

@@ -205,7 +205,7 @@ def test_cleaning(spark):
     table = spark.createDataFrame([("1", good, "De 1", "val", "7"), ("2", good, "De 2", "train", "x"), ("3", good, "De 3", "train", "9"), ("4", "", "?", "train", "9")], "id string, text string, exam string, part string, score string")
     parts = pipelines.prepare(table, "id", "text", "exam", "part", "score")
     assert {r.id: r.training_eligible for r in parts["essays"].collect()} == {"1": False, "3": True}
-    assert {r.id: r.reasons for r in parts["rejected"].collect()} == {"2": "bad_score", "4": "short_text|unknown_exam"}
+    assert {r.id: r.reasons for r in parts["rejected"].collect()} == {"2": "invalid_or_missing_score", "4": "text_too_short|unknown_exam"}
 
 
 def test_document_files(spark, tmp_path):
