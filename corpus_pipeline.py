@@ -1,4 +1,9 @@
-"""A training-data pipeline over the table documents; each stage works on all that its predecessor kept."""
+"""A training-data pipeline over the table documents; each stage works on all that its predecessor kept.
+
+Defined cases of every stage: null and empty texts stay, but for those that a near-duplicate group drops (all of them are
+one group, fingerprint zero); an empty table stays empty; further columns, whatever their names, are handed on by all
+stages but the last. Equal rows are scored alike, and near-duplicate removal leaves one of them.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,27 @@ from gradeloom.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among docs, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones among docs, doesn't reject; without labels all of them."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group: that of the smallest doc_id, rows without one last."""
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
+    """Documents without a copy of a benchmark item; an item without words is in no document."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, owner-specific live-looking credentials masked in their texts."""
+    """All documents, owner-specific live-looking credentials masked in their texts; a null text stays null."""
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document; null sources are a source of their own, null texts have size 0."""
     return mixing.mix_sources(docs)
 
 
@@ -41,7 +46,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: A learned classifier and fingerprints aren't SQL: the tests compare run() with a plain version.
+#: A learned classifier and fingerprints aren't SQL: tests/llm/test_pipeline.py compares run() with a plain version.
 ORACLE_SQL = None
 
 
