@@ -19,8 +19,9 @@ sends one row a chunk to its bucket. The strings of buckets of more than MANY ru
 again once a chunk, so no task refines such a bucket.
 
 Defined cases: null text is empty; texts shorter than WINDOW lose nothing; null doc_id sorts first; rows that repeat a
-doc_id with its text get equal results and don't count as each other's duplicates (a doc_id must not name two texts);
-doc_ids that are no integers are numbered in their order; empty tables give empty results; other columns are ignored.
+doc_id with its text get equal results and don't count as each other's duplicates; of several texts of one doc_id that of
+the smaller hash is the earlier one; doc_ids may be of any type that has an order; empty tables give empty results;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -260,12 +261,19 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) as (doc_id, doc: long in the order of doc_id, text without nulls)."""
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
-        return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), text)
-    ids = written(docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", F.monotonically_increasing_id().alias("doc")))
-    return docs.join(ids, "doc_id", "left").select("doc_id", F.coalesce("doc", F.lit(LEAST)).alias("doc"), text)
+    """docs(doc_id, text) as (doc_id, doc: long in the order of doc_id, text without nulls); doc names one text.
+
+    Integers stand for themselves; where they aren't, or an id has several texts, rows are numbered by doc_id, then by a
+    hash of the text.
+    """
+    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    uid = F.xxhash64("text")
+    several = d.groupBy("doc_id").agg((F.min(uid) != F.max(uid)).alias("several")).where("several")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType) and several.isEmpty():
+        return d.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), "text")
+    ids = d.select("doc_id", uid.alias("uid")).distinct().repartitionByRange(F.col("doc_id").asc_nulls_first(), "uid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "uid")
+    ids = written(ids.select(F.col("doc_id").alias("i_id"), F.col("uid").alias("i_uid"), F.monotonically_increasing_id().alias("doc")))
+    return d.join(ids, F.col("doc_id").eqNullSafe(F.col("i_id")) & (uid == F.col("i_uid"))).select("doc_id", "doc", "text")
 
 
 def removed(docs: DataFrame) -> DataFrame:
