@@ -225,9 +225,18 @@ def quantile_bins(spark, sf_dir):
     return sampling.quantile_bins(read(spark, sf_dir, "customer"), "c_acctbal", "c_custkey", 4).select("c_custkey", "bin")
 
 
-@query()
+_BIN = "CAST(CASE WHEN r > 1 + (n - 1) * 0.75::DOUBLE THEN 3 WHEN r > 1 + (n - 1) * 0.5::DOUBLE THEN 2 WHEN r > 1 + (n - 1) * 0.25::DOUBLE THEN 1 ELSE 0 END AS INT)"
+
+
+@query(f"""WITH {RATINGS}, e AS (SELECT essay_id, avg(gold) AS gold, avg(pred) AS pred, count(*) AS length FROM ratings GROUP BY essay_id),
+r AS (SELECT *, row_number() OVER (ORDER BY length, essay_id) AS r, count(*) OVER () AS n FROM e), ratings2 AS (SELECT {_BIN} AS length_bin, gold, pred FROM r),
+b AS (SELECT length_bin, round_even(round(gold / 0.25, 9), 0) AS i, round_even(round(pred / 0.25, 9), 0) AS j FROM ratings2),
+k AS (SELECT length_bin, round(1 - count(*) * sum((i - j) ** 2) / (count(*) * (sum(i ** 2) + sum(j ** 2)) - 2 * sum(i) * sum(j)), 6) AS qwk FROM b GROUP BY length_bin),
+m AS (SELECT length_bin, count(*) AS n, round(avg(abs(gold - pred)), 6) AS mae, round((avg(pred) - avg(gold)) / sqrt((var_samp(gold) + var_samp(pred)) / 2), 6) AS smd, round(avg(pred - gold), 6) AS bias FROM ratings2 GROUP BY length_bin HAVING count(*) >= 10)
+SELECT length_bin, n, qwk, mae, smd, bias, abs(smd) > 0.25 AS warn_bias, mae > min(mae) OVER () + 0.5 AS warn_mae FROM m JOIN k USING (length_bin)""")
 def length_bias(spark, sf_dir):
-    lines = ratings(spark, sf_dir).groupBy("essay_id").agg(F.avg("gold").alias("gold"), F.avg("pred").alias("pred"), F.count("*").alias("length"))
+    # sums in another order must not fall to another side of a bin's edge
+    lines = ratings(spark, sf_dir).groupBy("essay_id").agg(F.round(F.avg("gold"), 9).alias("gold"), F.round(F.avg("pred"), 9).alias("pred"), F.count("*").alias("length"))
     return rounded(evaluation.length_bias(lines, "essay_id", "length", "gold", "pred"))
 
 
@@ -342,7 +351,12 @@ def group_holdout(spark, sf_dir):
     return sampling.group_holdout(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderpriority", ["1-URGENT"]).select("o_orderkey", "split")
 
 
-@query()
+_U = "('0x' || substr(sha256('{0}:' || {1}), 1, 12))::BIGINT / pow(16.0::DOUBLE, 12)".format
+
+
+@query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars NULLS FIRST, doc_id) AS r, count(*) OVER () AS n FROM documents),
+b AS (SELECT doc_id, CAST(greatest(0, {" + ".join(f"CAST(r > 1 + (n - 1) * {q / 5}::DOUBLE AS INT)" for q in range(6))} - 1) AS INT) AS bin FROM r)
+SELECT doc_id, bin, CAST(row_number() OVER (PARTITION BY bin ORDER BY {_U(42, "doc_id")}, doc_id) AS INT) AS place FROM b QUALIFY place <= 10""")
 def stratified_pilot(spark, sf_dir):
     return sampling.stratified_pilot(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 50).select("doc_id", "bin", "place")
 

@@ -255,16 +255,17 @@ def self_consistency(df: DataFrame, key: str, criterion: str, run: str, score: s
     all flags of a key. Runs are a handful, so their lists are bounded.
     """
     number = F.coalesce(F.col(score).cast("string").try_cast("double"), F.lit(float(min(levels))))
-    rows = df.where(F.col(score).isNotNull()).select(key, criterion, run, snap(number, levels).alias("x"), F.nullif(level, F.lit("")).alias("l"), *([F.col(evidence).alias("ev")] if evidence else []))
-    per_level = rows.groupBy(key, criterion, "l").agg(F.count("*").alias("c"), F.min(run).alias("at"), F.collect_list("x").alias("xs"), *([F.collect_list(F.struct(F.col(run).alias("at"), "ev")).alias("evs")] if evidence else []))
-    agg = per_level.groupBy(key, criterion).agg(F.flatten(F.collect_list("xs")).alias("xs"), F.max(F.when(F.col("l").isNotNull(), F.struct("c", (-F.col("at")).alias("first"), "l"))).alias("best"), *([F.array_sort(F.flatten(F.collect_list("evs"))).alias("evs")] if evidence else []))
-    xs, n = F.array_sort("xs"), F.size("xs")
+    rows = df.where(F.col(score).isNotNull()).select(key, criterion, F.col(run).alias("_at"), snap(number, levels).alias("_x"), F.nullif(level, F.lit("")).alias("_l"), *([F.col(evidence).alias("_ev")] if evidence else []))
+    per_level = rows.groupBy(key, criterion, "_l").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.collect_list("_x").alias("_xs"), *([F.collect_list(F.struct("_at", "_ev")).alias("_evs")] if evidence else []))
+    best = F.max(F.when(F.col("_l").isNotNull(), F.struct("_n", (-F.col("_first")).alias("first"), "_l"))).alias("_best")
+    agg = per_level.groupBy(key, criterion).agg(F.flatten(F.collect_list("_xs")).alias("_xs"), best, *([F.array_sort(F.flatten(F.collect_list("_evs"))).alias("_evs")] if evidence else []))
+    xs, n = F.array_sort("_xs"), F.size("_xs")
     middle = (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2
-    spread = (F.array_max("xs") - F.array_min("xs")) / top
-    shown = [F.slice(F.flatten(F.transform("evs", lambda e: F.coalesce(e["ev"], F.array().cast("array<string>")))), 1, 3).alias("evidence")] if evidence else []
-    out = agg.select(key, criterion, snap(middle, levels).alias("score"), F.coalesce("best.l", F.lit("")).alias("level"), n.alias("n_runs"), spread.alias("spread"), *shown)
+    spread = (F.array_max("_xs") - F.array_min("_xs")) / top
+    shown = [F.slice(F.flatten(F.transform("_evs", lambda e: F.coalesce(e["_ev"], F.array().cast("array<string>")))), 1, 3).alias("evidence")] if evidence else []
+    out = agg.select(key, criterion, snap(middle, levels).alias("score"), F.coalesce("_best._l", F.lit("")).alias("level"), n.alias("n_runs"), spread.alias("spread"), *shown)
     out = out.withColumn("confidence", F.round(1 - F.avg("spread").over(Window.partitionBy(key)), 3))
     if flags:
-        said = df.select(F.col(key).alias("_k"), F.explode_outer(flags).alias("f")).withColumn("f", F.nullif(F.trim("f"), F.lit(""))).groupBy("_k").agg(F.array_sort(F.collect_set("f")).alias("flags"))
+        said = df.select(F.col(key).alias("_k"), F.explode_outer(flags).alias("_f")).withColumn("_f", F.nullif(F.trim("_f"), F.lit(""))).groupBy("_k").agg(F.array_sort(F.collect_set("_f")).alias("flags"))
         out = out.join(said, F.col(key) == F.col("_k"), "left").drop("_k")
     return out

@@ -51,18 +51,18 @@ def scoring_plan(df: DataFrame, key: str, raters: list[str], rate: float = 0.25,
     """
     if len(raters) < 2:
         raise ValueError("a plan needs two raters at least")
-    mixed = F.xxhash64(F.lit(seed), key)
+    mixed = unit_hash(f"{seed}a", F.col(key))
     d = ordinal(df.select(key), [mixed, F.col(key)], "_k").withColumn("_k", F.col("_k") - 1)
     names, n = F.array(*map(F.lit, raters)), len(raters)
     at = (F.col("_k") % n).cast("int")
-    other = ((at + 1 + F.pmod(F.xxhash64(F.lit(seed + "b"), key), F.lit(n - 1)).cast("int")) % n).cast("int")
+    other = ((at + 1 + F.floor(unit_hash(f"{seed}b", F.col(key)) * (n - 1)).cast("int")) % n).cast("int")
     row = lambda at, role: F.struct(F.get(names, at).alias("rater_id"), F.lit(role).alias("role"))
     both = F.array_compact(F.array(row(at, "primary"), F.when(unit_hash(seed, F.col(key)) < rate, row(other, "secondary"))))
     plan = d.select(key, F.explode(both).alias("r"), F.floor(F.col("_k") / BATCH).cast("int").alias("batch")).select(key, "r.*", "batch")
     if anchors:
         each = min(max(1, int(df.count() * anchor_rate / n)), len(anchors))
         rows = df.sparkSession.createDataFrame([(a, r) for a in anchors for r in raters], f"{key} {df.schema[key].dataType.simpleString()}, rater_id string")
-        drawn = top_per_group(rows, "rater_id", [F.xxhash64(F.lit(seed), "rater_id", key), F.col(key)], each)
+        drawn = top_per_group(rows, "rater_id", [unit_hash(seed, F.concat_ws(":", "rater_id", F.col(key).cast("string"))), F.col(key)], each)
         plan = plan.unionByName(drawn.select(key, "rater_id", F.lit("anchor").alias("role"), F.lit(-1).alias("batch")))
     return plan
 
@@ -83,9 +83,8 @@ def double_scoring(df: DataFrame, key: str, raters: int, rate: float = 0.25, see
     """(key, rater, part): a first rater for each essay, and another one for a share of them."""
     if raters < 2:
         raise ValueError("a plan needs two raters at least")
-    u = F.xxhash64(F.lit(seed), key)
-    first = F.pmod(u, F.lit(raters)).cast("int")
-    second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(seed + "b"), key), F.lit(raters - 1)).cast("int"), F.lit(raters))
+    first = F.floor(unit_hash(f"{seed}a", F.col(key)) * raters).cast("int")
+    second = F.pmod(first + 1 + F.floor(unit_hash(f"{seed}b", F.col(key)) * (raters - 1)).cast("int"), F.lit(raters))
     primary = df.select(key, first.alias("rater"), F.lit("primary").alias("part"))
     other = df.where(unit_hash(seed, F.col(key)) < rate).select(key, second.alias("rater"), F.lit("secondary").alias("part"))
     return primary.unionByName(other)
@@ -135,7 +134,7 @@ def quantile_bins(df: DataFrame, by: str, tie: str, bins: int, name: str = "bin"
 def stratified_pilot(df: DataFrame, key: str, length: str, n: int, bins: int = 5, seed: str = "42") -> DataFrame:
     """n // bins essays of each length bin (all if it has fewer), by hash order."""
     binned = quantile_bins(df, length, key, bins)
-    return top_per_group(binned, "bin", [F.xxhash64(F.lit(seed), key), F.col(key)], n // bins)
+    return top_per_group(binned, "bin", [unit_hash(seed, F.col(key)), F.col(key)], n // bins)
 
 
 def uncertainty_sample(df: DataFrame, key: str, uncertainty: str, group: str, n: int) -> DataFrame:

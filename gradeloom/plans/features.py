@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -12,6 +13,7 @@ from gradeloom.functions import features, text
 from gradeloom.functions.vietnamese import words
 from gradeloom.operators.dedup import prompt_copy
 from gradeloom.plans.pipelines import normalized
+from gradeloom.session import cut
 
 # The features of each criterion.
 FEATURE_GROUPS = {
@@ -87,22 +89,16 @@ def tfidf_encoder(components: int = 64, buckets: int = 1 << 15) -> Callable[[Dat
         svd = RowMatrix(rows).computeSVD(min(components, buckets))
         basis = df.sparkSession.sparkContext.broadcast(svd.V.toArray())  # buckets times components numbers
 
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def project(index, value):
-            import numpy as np
-            import pandas as pd
+        def project(v):
+            x = v.values @ basis.value[v.indices] if len(v.indices) else np.zeros(basis.value.shape[1])
+            norm = np.linalg.norm(x)
+            return (x / norm if norm else x).tolist()
 
-            out = []
-            for i, v in zip(index, value):
-                x = np.asarray(v) @ basis.value[np.asarray(i, dtype=int)] if len(i) else np.zeros(basis.value.shape[1])
-                norm = np.linalg.norm(x)
-                out.append((x / norm if norm else x).tolist())
-            return pd.Series(out)
+        to_vector = F.udf(project, ArrayType(DoubleType()))  # a sparse vector has no built-in product
 
         def encode(d: DataFrame, c: str, name: str) -> DataFrame:
-            x = idf.transform(counts.transform(grams(d, c)))
-            parts = F.udf(lambda v: (v.indices.tolist(), v.values.tolist()), "struct<i:array<int>,v:array<double>>")
-            return x.withColumn("_p", parts("_x")).withColumn(name, project("_p.i", "_p.v")).drop("_g", "_tf", "_x", "_p")
+            # cut, as a Python function can't be planned on top of the library's own ones
+            return cut(idf.transform(counts.transform(grams(d, c))).drop("_g", "_tf")).withColumn(name, to_vector("_x")).drop("_x")
 
         return encode
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from gradeloom.operators import models
 from gradeloom.operators.agreement import snap
 from gradeloom.plans.features import Encoder, build_features
 from gradeloom.plans.rules import apply_rules, weighted_total
+from gradeloom.session import cut
 from gradeloom.sources.rubrics import Rubric
 
 #: Columns of a feature table that aren't numbers to learn from.
@@ -60,8 +62,6 @@ class FunctionBackend:
         """Nothing is learned."""
 
     def predict(self, essays: DataFrame) -> DataFrame:
-        import pandas as pd
-
         names, call = self.criteria, self.call
 
         @F.pandas_udf(", ".join(f"`{c}` double" for c in names))
@@ -149,12 +149,14 @@ class Grader:
         numeric = {"double", "float", "int", "bigint"}
         self.names = [c for c, t in x.dtypes if t in numeric and c not in NOT_FEATURES and c not in self._labels(gold) and c not in self._other(df)]
         labels = gold.select(F.col(self.key).alias("_g"), *(F.col(n) for n in self._labels(gold)))
-        rows = x.select(self.key, *self.names).join(labels, F.col(self.key) == F.col("_g")).drop("_g")
+        # read by every criterion's model
+        rows = cut(x.select(self.key, *self.names).join(labels, F.col(self.key) == F.col("_g")).drop("_g"))
         self.scorer = RubricScorer(self.rubric, self.bags, self.trees, self.algorithm).fit(rows, self.key, self.names)
         for b in self.backends.values():
             b.fit(df, gold)
         if val is not None and val_gold is not None and self.backends:
-            sources, parts = self._sources(self.features(val), val)
+            sources, parts = self._sources(cut(self.features(val)), val)
+            sources = cut(sources)
             for c in self.rubric.criteria:
                 label = next((n for n in (c.key, f"gold_{c.key}") if n in val_gold.columns), None)
                 own = [s for s in parts if c.key in parts[s]]
@@ -192,7 +194,7 @@ class Grader:
     def score(self, df: DataFrame, with_feedback: bool = True, messages: dict[str, str] | None = None) -> DataFrame:
         """(key, total, total_before_rules, confidence, needs_human_review, review_reason, flags, applied_rules, <criterion>, <criterion>__level ..., feedback)."""
         r, c = self.rubric, F.col
-        x = self.features(df)
+        x = cut(self.features(df))
         sources, parts = self._sources(x, df)
         d, confidences, gaps, stds = sources, [], [], []
         scored = [k for k in r.criteria if any(k.key in p for p in parts.values())]

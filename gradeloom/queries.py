@@ -205,7 +205,11 @@ def first_ranks(spark, sf_dir):
     return sampling.first_rank(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_acctbal", "c_custkey", "c_mktsegment")
 
 
-@query()
+_UNIT = "('0x' || substr(sha256('{0}:' || doc_id), 1, 12))::BIGINT / pow(16.0::DOUBLE, 12)".format
+
+
+@query(f"""WITH r AS (SELECT doc_id, CAST(floor({_UNIT("42a")} * 5) AS INT) AS first, CAST(floor({_UNIT("42b")} * 4) AS INT) AS step, {_UNIT("42")} AS u FROM documents)
+SELECT doc_id, first AS rater, 'primary' AS part FROM r UNION ALL SELECT doc_id, (first + 1 + step) % 5, 'secondary' FROM r WHERE u < 0.25::DOUBLE""")
 def double_scoring_plan(spark, sf_dir):
     return sampling.double_scoring(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5)
 
