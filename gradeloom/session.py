@@ -47,9 +47,17 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def cut(df):
-    """df read back from a checkpoint in the shared folder that the session names; a folder of its own only where none is named."""
+    """df read back from a checkpoint in the shared folder that the session names.
+
+    A folder of its own only where none is named and all runs in one process; on a cluster that is an error.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradeloom-cuts-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="gradeloom-cuts-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
