@@ -6,8 +6,10 @@ host by labels, and every path prefix of its URL by segments. An equality join o
 from <= fetched < until finds the entries active at fetch time; a capture is blocked when the most specific active entry
 (host before domain, longer prefix before shorter) is one of a block list, an allow list winning a tie.
 
-Keys of a hot domain meet a few intervals only, so the join's output stays near its input; neither side is broadcast by
-hint, and Spark's adaptive execution splits what is skewed.
+A key such as a top-level domain may come with a third of all captures. Keys are counted first; one that holds over
+1/HOT of all lookups (at most HOT keys) is split into as many parts as its share asks for, and its intervals go to each.
+
+Equal captures are looked up once.
 
 Defined cases: null or unparsable URLs and null times match nothing; events without value or time are dropped; events at
 the same time apply in the order remove, add; repeated events change nothing; repeated captures get results each; empty
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOT = 1000
 FIRST_DAY, DAYS = "2020-01-01", 1461
 
 
@@ -63,7 +66,15 @@ def url_filter(captures: DataFrame, events: DataFrame) -> DataFrame:
     looked = rows.select("page_id", "_row", "fetched_at", F.explode(keys(F.col("url"))).alias("k")).select("page_id", "_row", "fetched_at", "k.*")
     live = intervals(events).withColumnsRenamed({"kind": "e_kind", "value": "e_value"})
     active = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_until").isNull() | (F.col("fetched_at") < F.col("valid_until")))
-    hits = looked.join(live, (F.col("value") == F.col("e_value")) & (F.col("kind") == F.col("e_kind")) & active)
+    # at most HOT keys, each with the number of its parts
+    counts = looked.groupBy("value").agg(F.count("*").alias("n"))
+    sums = counts.agg(F.sum("n").alias("total"))
+    hot = counts.join(F.broadcast(sums)).where(F.col("n") * HOT > F.col("total")).select(F.col("value").alias("h_value"), F.ceil(F.col("n") * HOT / F.col("total")).cast("int").alias("parts"))
+    hot = F.broadcast(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    looked = looked.join(hot, F.col("value") == F.col("h_value"), "left").withColumn("part", F.pmod(F.col("_row"), parts)).drop("h_value", "parts")
+    live = live.join(hot, F.col("e_value") == F.col("h_value"), "left").withColumn("e_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("h_value", "parts")
+    hits = looked.join(live, (F.col("value") == F.col("e_value")) & (F.col("kind") == F.col("e_kind")) & (F.col("part") == F.col("e_part")) & active)
     strength = F.col("rank") * 4 + (F.col("kind") == "host").cast("int") * 2 + (F.col("policy") == "allow").cast("int")
     per = hits.groupBy("page_id", "_row").agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.max_by("policy", strength).alias("policy"))
     per = per.withColumnsRenamed({"page_id": "p_id", "_row": "p_row"})
