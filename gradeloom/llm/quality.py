@@ -3,7 +3,8 @@
 Base counts stay inside a row: no text is shuffled. For the method, a line's key is the hash of its normalised form
 (lower case, runs of white space and digits folded); documents of a host that hold it are counted after each document's
 own repeats are dropped, with partial sums before the shuffle. Lines of more documents than the limit are removed from
-every document of that host, and a document that loses too large a share of its words is rejected as depleted.
+every document of that host (without_frequent_lines() gives the texts), and a document that loses too large a share of
+its words is rejected as depleted.
 
 Defined cases: null text has no words and fails the base rules; a null host is a host of its own; repeated rows count
 as documents of their own; a line without words has no key; empty tables give empty results; other columns are ignored.
@@ -11,7 +12,7 @@ as documents of their own; a line without words has no key; empty tables give em
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, table, words
@@ -73,27 +74,47 @@ def line_words(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("n")))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_limit: int = MIN_LIMIT, limit_share: float = LIMIT_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """Base counts, n_removed_words (words of removed lines) and the verdicts for every row of docs(doc_id, text, host)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col(host).alias("host"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+def frequent_lines(rows: DataFrame, min_limit: int = MIN_LIMIT, limit_share: float = LIMIT_SHARE) -> DataFrame:
+    """(f_host, f_line): keys of the lines of rows(host, text) that more documents of a host hold than the limit."""
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
     once = rows.select("host", F.explode(F.array_distinct(F.transform(line_words(F.col("text")), lambda x: x["line"]))).alias("line"))
     # most lines occur once: sums before the limit drop them, and only lines at least at the smallest limit go on
     frequent = once.groupBy("host", "line").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > min_limit)
     limit = F.greatest(F.lit(min_limit), F.ceil(F.col("host_docs") * limit_share))
     frequent = frequent.alias("l").join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host"))).where(F.col("line_docs") > limit)
-    frequent = frequent.select(F.col("l.host").alias("f_host"), F.col("line").alias("f_line"))
-    lines = rows.select("doc_id", "host", "text_key", F.inline(line_words(F.col("text"))))
+    return frequent.select(F.col("l.host").alias("f_host"), F.col("line").alias("f_line"))
+
+
+def without_frequent_lines(docs: DataFrame, host: str = "source", min_limit: int = MIN_LIMIT, limit_share: float = LIMIT_SHARE) -> DataFrame:
+    """docs with the frequent lines of its host taken out of each text, in the same columns; null texts stay null.
+
+    The keys of a document's frequent lines are gathered and joined with it once.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col(host), F.col("text")).alias("uid"), F.col(host).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    lines = row.select("uid", "host", F.explode(F.array_distinct(F.transform(line_words(F.col("text")), lambda x: x["line"]))).alias("line"))
+    frequent = frequent_lines(row, min_limit, limit_share)
+    hits = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")), "left_semi")
+    gone = hits.groupBy("uid").agg(F.collect_set("line").alias("gone"))
+    keep = lambda x: ~x.rlike(WORD) | ~F.array_contains("gone", F.xxhash64(normalised(x)))
+    left = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), keep), "\n"))
+    return row.join(gone, "uid", "left").select(*(left.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def quality_rules(docs: DataFrame, host: str = "source", min_limit: int = MIN_LIMIT, limit_share: float = LIMIT_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """Base counts, n_removed_words (words of removed lines) and the verdicts for every row of docs(doc_id, text, host)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col(host).alias("host"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    frequent = frequent_lines(rows, min_limit, limit_share)
+    lines = rows.select("doc_id", "host", "text_key", F.posexplode(line_words(F.col("text"))).alias("pos", "l")).select("doc_id", "host", "text_key", "pos", "l.*")
     hits = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")), "left_semi")
+    # equal rows share one sum, in which each line counts once
+    hits = hits.groupBy("doc_id", "host", "text_key", "pos").agg(F.first("n").alias("n"))
     removed = hits.groupBy("doc_id", "host", "text_key").agg(F.sum("n").alias("removed"))
     removed = removed.select(F.col("doc_id").alias("r_id"), F.col("host").alias("r_host"), F.col("text_key").alias("r_key"), "removed")
     base = base_counts(F.col("text"))
     scored = rows.select("doc_id", "host", "text_key", *(c.alias(k) for k, c in base.items())).select("doc_id", "host", "text_key", "counts.*", "n_symbols", "n_dup_lines")
-    # rows with equal keys share one sum, which counts each of them
-    scored = scored.withColumn("copies", F.count("*").over(Window.partitionBy("doc_id", "text_key", "host")))
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")) & F.col("host").eqNullSafe(F.col("r_host"))
-    full = scored.join(removed, same, "left").withColumn("n_removed_words", F.coalesce((F.col("removed") / F.col("copies")).cast("long"), F.lit(0).cast("long")))
+    full = scored.join(removed, same, "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     full = full.withColumn("base_failed", failed).withColumn("depleted", (left.cast("double") < F.col("n_words") * F.lit(min_left)) | (left <= 0))

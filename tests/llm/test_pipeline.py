@@ -359,3 +359,13 @@ def test_several_texts_of_one_id(spark):
     df = spark.createDataFrame([(1, t, 0), (1, f"{t} {prose(5)}", 0), (None, t, 0), (None, prose(30), 0)], "doc_id long, text string, doc long")
     got = suffix_dedup.suffix_dedup(df).collect()
     assert sorted(r.n_removed > 0 for r in got) == [False, False, True, True] and sum(r.n_bytes for r in got) == sum(len(x.text) for x in df.collect())
+
+
+def test_texts_without_frequent_lines(spark):
+    from gradeloom.llm import quality
+
+    rows = [(i, f"{prose(6)}\nShared  LINE {i}\n\n{prose(5)}", "h" if i % 2 else None, "x") for i in range(12)] + [(20, None, "h", "x"), (21, "shared line 9", "other", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, gone string")
+    got = {r.doc_id: r.text for r in quality.without_frequent_lines(df, min_limit=3, limit_share=0.0).collect()}
+    assert got == {i: t if t is None or h == "other" else "\n".join(x for x in t.split("\n") if not x.startswith("Shared")) for i, t, h, _ in rows}
+    assert quality.without_frequent_lines(df.where("false")).columns == df.columns
