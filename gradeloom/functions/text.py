@@ -29,7 +29,7 @@ TAG = r"<[^>]{1,80}>"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 # Vietnamese letters with a mark.
 VIETNAMESE = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
-MARKED = f"[{VIETNAMESE}{VIETNAMESE.upper()}]"
+MARKED = VIETNAMESE + VIETNAMESE.upper()
 LETTER = r"\p{L}"
 
 
@@ -110,7 +110,7 @@ def fingerprint(c: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, LETTER, ""))
+    return F.regexp_count(c, F.lit(LETTER))
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -119,7 +119,11 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 def diacritic_ratio(c: Column) -> Column:
     """Vietnamese letters with a mark among all letters."""
-    return ratio(F.length(c) - F.length(F.regexp_replace(c, MARKED, "")), letters(c))
+    return ratio(marked(c), letters(c))
+
+
+def marked(c: Column) -> Column:
+    return F.length(c) - F.length(F.translate(c, MARKED, ""))
 
 
 def tokens(c: Column) -> Column:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.session import cut
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -93,9 +95,11 @@ def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
     """A workbook's sheet, its first row the names; all columns are strings. A workbook has a million rows at most."""
     data = spark.read.format("binaryFile").load(path).select("content")
     cells = F.udf(lambda b: xlsx_rows(bytes(b), sheet), "array<array<string>>")("content")
-    head = data.select(F.get(cells, F.lit(0)).alias("h")).first().h or []
-    body = data.select(F.explode(F.slice(cells, 2, 2_000_000)).alias("r"))
-    return body.select(*(F.get("r", F.lit(i)).alias(n or f"column_{i}") for i, n in enumerate(head)))
+    # parsed once: a workbook is read by one task, and its rows are used twice
+    rows = cut(data.select(F.posexplode(cells).alias("at", "r")))
+    head = rows.where("at = 0").first()
+    head = head.r if head else []
+    return rows.where("at > 0").select(*(F.get("r", F.lit(i)).alias(n or f"column_{i}") for i, n in enumerate(head)))
 
 
 def dataset_member(names: list[str]) -> str:

@@ -15,7 +15,7 @@ from gradeloom.operators import agreement, dedup, evaluation, joins, retrieval,
 from gradeloom.plans import features, reports, workflow
 from gradeloom.plans.grader import FunctionBackend, Grader, level_name, summary
 from gradeloom.plans.rules import UnsafeExpression, apply_rules, check_rules
-from gradeloom.sources import documents, rubrics, simulated, tables
+from gradeloom.sources import documents, platform, rubrics, simulated, tables
 
 SF = "/root/testdata/sf0.001"
 HERE = [k for k, f in queries.QUERIES.items() if f.__module__ == grading_queries.__name__]
@@ -436,3 +436,33 @@ def test_scoring_plan(spark):
     assert plan.where("role = 'anchor'").count() == 2
     with pytest.raises(ValueError):
         sampling.scoring_plan(df, "k", ["a"])
+
+
+def test_report_bundle_has_office_files(spark, tmp_path):
+    reports.bundle({"a": spark.createDataFrame([(1, "x & y", None)], "id long, t string, z double"), "b": spark.range(2)}, f"{tmp_path}/r.zip", "Title")
+    with zipfile.ZipFile(f"{tmp_path}/r.zip") as z:
+        book, doc = z.read("report.xlsx"), z.read("report.docx")
+    assert documents.xlsx_rows(book)[1][:2] == ["1", "x & y"] and [r[0] for r in documents.xlsx_rows(book, 2)] == ["id", "0", "1"]
+    assert documents.docx_text(doc).split("\n")[0] == "Title" and "1 | x & y | " in documents.docx_text(doc)
+
+
+def test_learning_platform(spark):
+    sent = []
+
+    def send(function, params):
+        if function.endswith("assignments"):
+            return {"courses": [{"id": params["courseids[0]"], "assignments": [{"id": 5, "name": "one"}]}]}
+        if function.endswith("submissions"):
+            return {"assignments": [{"assignmentid": 5, "submissions": [{"userid": 7, "status": "submitted", "plugins": [{"editorfields": [{"text": "<p>Bài &amp; ý</p>"}]}, {}]}, {"userid": 8}]}]}
+        sent.append(params["userid"])
+        return {"exception": "x", "message": "no such user"} if params["userid"] == 8 else None
+
+    assert platform.assignments(spark, send, 3).first().name == "one"
+    assert [(r.user_id, r.text.strip()) for r in platform.submissions(spark, send, 5).orderBy("user_id").collect()] == [(7, "Bài & ý"), (8, "")]
+    grades = spark.createDataFrame([(8, 5.0, None, True), (7, 6.0, "ok", True)], "user_id long, grade double, feedback string, approved boolean")
+    assert [(r["user_id"], r["ok"], r["error"]) for r in platform.push_grades(send, grades, 5)] == [(7, True, ""), (8, False, "no such user")]
+    with pytest.raises(PermissionError):
+        platform.push_grades(send, grades.withColumn("approved", F.col("user_id") == 7), 5)
+    assert sent == [7, 8]
+    with pytest.raises(RuntimeError):
+        platform.assignments(spark, lambda f, p: {"errorcode": "denied"}, 1)
