@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -46,18 +49,53 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df):
-    """df read back from a checkpoint in the shared folder that the session names.
+_FOLDERS: set[str] = set()
 
-    A folder of its own only where none is named and all runs in one process; on a cluster that is an error.
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    A folder of our own only where neither is set and all runs in one process; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="gradeloom-cuts-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
+    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
+    return folder
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        remove(spark, folder)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    The tables of an application share a folder, which goes when the driver's process ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove_at_exit, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df read back from a reliable checkpoint in the shared folder; for small tables, and where plans must not grow."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
