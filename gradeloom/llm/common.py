@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.session import shared_dir, written  # noqa: F401  (the operators take written() from here)
+
 #: What separates words everywhere in this subpackage, and what words are (Java, RE2 and Python read both alike).
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_FOLDERS: set[str] = set()
 HOT = 1000
 
 
@@ -24,49 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
-
-    A folder of our own only where neither is set and all runs in one process; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in any store that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_at_exit(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone by then
-        remove(spark, folder)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
-
-    The tables of an application share a folder, which goes when the driver's process ends.
-    """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
-    if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_remove_at_exit, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for the small tables of loops."""
     shared_dir(df.sparkSession)
