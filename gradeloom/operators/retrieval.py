@@ -91,9 +91,13 @@ def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: st
         fits = fits & ((F.col(f"q_{prompt}") == "") | (F.col(f"c_{prompt}") == "") | (F.col(f"q_{prompt}") == F.col(f"c_{prompt}")))
     partial = q.where(F.col("rank") <= FIRST).join(postings, "term").where(fits).groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
     kth = partial.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("place") == k).select("q", F.col("score").alias("least"))
-    reach = q.join(kth, "q", "left").where(F.col("rest") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
-    likely = reach.join(postings, "term").where(fits).select("q", "id").distinct()
-    scores = likely.join(q.select("q", "term", "qw"), "q").join(postings.select("id", "term", "w"), ["id", "term"]).groupBy("q", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score")).where("score > 0")
+    split = q.join(kth, "q", "left").withColumn("reaches", F.col("rest") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
+    # what the reaching terms give, and, for the chunks that hold one, what the frequent rest adds
+    part = F.sum(F.col("qw") * F.col("w")).alias("part")
+    first = split.where("reaches").join(postings, "term").where(fits).groupBy("q", "id").agg(part)
+    others = split.where("not reaches").select("q", "term", "qw")
+    more = first.select("q", "id").join(others, "q").join(postings.select("id", "term", "w"), ["id", "term"]).groupBy("q", "id").agg(part)
+    scores = first.unionByName(more).groupBy("q", "id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
     top = scores.withColumn("place", place).where(F.col("place") <= k)
     return top.select(F.col("q").alias(key), F.col("id").alias(chunk), "score", "place")
