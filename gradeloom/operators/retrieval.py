@@ -58,6 +58,23 @@ def weighted(tf: DataFrame, idf: DataFrame) -> DataFrame:
 
 #: Terms of a query that are looked up at first: their partial scores bound the k-th best one from below.
 FIRST = 8
+#: Postings of an index that queries are simply joined with.
+SMALL = 200_000
+
+
+def _reaching(q: DataFrame, postings: DataFrame, fits: Column, part: Column, k: int) -> DataFrame:
+    """(q, id, part): all that the terms of q add to chunks which can be among the k best of a query, in one or two parts."""
+    q = q.join(postings.groupBy("term").agg(F.max("w").alias("top")), "term").withColumn("most", F.col("qw") * F.col("top"))
+    order = Window.partitionBy("q").orderBy(F.col("most").desc(), "term")
+    q = cut(q.withColumns({"rank": F.row_number().over(order), "rest": F.sum("most").over(order.rowsBetween(0, Window.unboundedFollowing))}))
+    partial = q.where(F.col("rank") <= FIRST).join(postings, "term").where(fits).groupBy("q", "id").agg(part)
+    kth = partial.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.col("part").desc()))).where(F.col("place") == k).select("q", F.col("part").alias("least"))
+    split = q.join(kth, "q", "left").withColumn("reaches", F.col("rest") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
+    # what the reaching terms give, and, for the chunks that hold one, what the frequent rest adds
+    first = split.where("reaches").join(postings, "term").where(fits).groupBy("q", "id").agg(part)
+    others = split.where("not reaches").select("q", "term", "qw")
+    more = first.select("q", "id").join(others, "q").join(postings.select("id", "term", "w"), ["id", "term"]).groupBy("q", "id").agg(part)
+    return first.unionByName(more)
 
 
 def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: str, chunk_text: str, k: int = 4, course: str | None = None, prompt: str | None = None, approved: str | None = None, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -68,7 +85,7 @@ def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: st
 
     A frequent term would meet every chunk, so terms are taken in the order of what they can add at most: FIRST of them
     give a k-th best partial score, and only chunks that hold a term from which on the rest can still reach that score are
-    scored in full. This loses none of the k best.
+    scored in full. This loses none of the k best. A small index is joined as it is, which gives the same.
     """
     chunks = approved_chunks(chunks, chunk_text, approved)
     postings, idf = indexed or index(chunks, chunk, chunk_text)
@@ -76,28 +93,19 @@ def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: st
     if limits:
         blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
         postings = postings.join(chunks.select(F.col(chunk).alias("id"), *(blank(c).alias(f"c_{c}") for c in limits)), "id")
-    postings = cut(postings)
+    small = postings.limit(SMALL + 1).count() <= SMALL
+    postings = postings if small else cut(postings)
     q = weighted(counted(queries, key, text), idf).select("term", F.col("id").alias("q"), F.col("w").alias("qw"))
-    q = q.join(postings.groupBy("term").agg(F.max("w").alias("top")), "term").withColumn("most", F.col("qw") * F.col("top"))
-    order = Window.partitionBy("q").orderBy(F.col("most").desc(), "term")
-    q = q.withColumns({"rank": F.row_number().over(order), "rest": F.sum("most").over(order.rowsBetween(0, Window.unboundedFollowing))})
     if limits:
         q = q.join(queries.select(F.col(key).alias("q"), *(blank(c).alias(f"q_{c}") for c in limits)), "q")
-    q = cut(q)
     fits = F.lit(True)
     if course:
         fits = fits & ((F.col(f"q_{course}") == "") | (F.col(f"q_{course}") == F.col(f"c_{course}")))
     if prompt:
         fits = fits & ((F.col(f"q_{prompt}") == "") | (F.col(f"c_{prompt}") == "") | (F.col(f"q_{prompt}") == F.col(f"c_{prompt}")))
-    partial = q.where(F.col("rank") <= FIRST).join(postings, "term").where(fits).groupBy("q", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    kth = partial.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))).where(F.col("place") == k).select("q", F.col("score").alias("least"))
-    split = q.join(kth, "q", "left").withColumn("reaches", F.col("rest") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
-    # what the reaching terms give, and, for the chunks that hold one, what the frequent rest adds
     part = F.sum(F.col("qw") * F.col("w")).alias("part")
-    first = split.where("reaches").join(postings, "term").where(fits).groupBy("q", "id").agg(part)
-    others = split.where("not reaches").select("q", "term", "qw")
-    more = first.select("q", "id").join(others, "q").join(postings.select("id", "term", "w"), ["id", "term"]).groupBy("q", "id").agg(part)
-    scores = first.unionByName(more).groupBy("q", "id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    scores = q.join(postings, "term").where(fits).groupBy("q", "id").agg(part) if small else _reaching(q, postings, fits, part, k)
+    scores = scores.groupBy("q", "id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
     top = scores.withColumn("place", place).where(F.col("place") <= k)
     return top.select(F.col("q").alias(key), F.col("id").alias(chunk), "score", "place")

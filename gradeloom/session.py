@@ -68,16 +68,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in any store that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_at_exit(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone by then
-        remove(spark, folder)
+def _remove_at_exit(files, path) -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone by then
+        files.delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -89,7 +82,9 @@ def written(df: DataFrame) -> DataFrame:
     folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
-        atexit.register(_remove_at_exit, spark, folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        # both outlive the session
+        atexit.register(_remove_at_exit, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

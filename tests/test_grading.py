@@ -29,6 +29,12 @@ def con():
     return c
 
 
+@pytest.mark.parametrize("name", ["retrieve_of_course", "retrieve_passages"])
+def test_large_index_is_searched_alike(spark, con, monkeypatch, name):
+    monkeypatch.setattr(retrieval, "SMALL", 0)
+    test_same_as_sql(spark, con, name)
+
+
 @pytest.mark.parametrize("name", HERE)
 def test_same_as_sql(spark, con, name):
     want, got = con.execute(queries.ORACLES[name]).df(), queries.QUERIES[name](spark, SF).toPandas()
@@ -287,8 +293,10 @@ def test_token_budget(spark):
     assert retrieval.context_audit(hits, "k", chunks, "c", ("text",)).count() == 3
 
 
-def test_retrieval_loses_none_of_the_best(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_retrieval_loses_none_of_the_best(spark, monkeypatch, small):
     monkeypatch.setattr(retrieval, "FIRST", 1)
+    monkeypatch.setattr(retrieval, "SMALL", small)
     import random
 
     r = random.Random(4)
