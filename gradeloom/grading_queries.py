@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from gradeloom.functions import features as lists
 from gradeloom.functions import pii, prompts, records, text
 from gradeloom.operators import agreement, dedup, evaluation, joins, sampling
 from gradeloom.plans import features, workflow
@@ -16,7 +17,7 @@ from gradeloom.queries import METRICS, RATINGS, query, ratings, read, rounded
 from gradeloom.sources.rubrics import Rubric, load_rubric
 
 #: The rubric of these queries; its SQL below was written from the file.
-RUBRIC = Path(__file__).resolve().parent.parent / "rubrics" / "example.yaml"
+RUBRIC = Path(__file__).resolve().parent.parent / "rubrics" / "example.json"
 
 
 @cache
@@ -72,6 +73,28 @@ def essay_features(spark, sf_dir):
     return rounded(found.select("essay_id", "n_chars", "n_words", "mean_word_len", "n_numbers", "ttr", "keyword_hits", "keyword_total", "keyword_coverage", "dup_ratio", "teencode_rate", "sim_prompt", "sim_reference"))
 
 
+def _sum_of(phrases) -> str:
+    """Occurrences of phrases in l, each without overlaps of its own."""
+    return " + ".join("(length(l) - length(replace(l, '{0}', ''))) / {1}".format(p.replace("'", "''"), len(p)) for p in phrases)
+
+
+_FAMILIES = {k: _sum_of(v) for k, v in lists.CONNECTIVES.items()}
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS l FROM documents),
+w AS (SELECT *, len(regexp_extract_all(t, '[a-zA-Z\x{{C0}}-\x{{1EF9}}]+')) AS n, {", ".join(f"{v} AS conn_{k}" for k, v in _FAMILIES.items())} FROM d),
+r AS (SELECT *, greatest(1, n) / 100 AS per FROM w)
+SELECT doc_id, {", ".join(f"round(conn_{k}, 6) AS conn_{k}" for k in _FAMILIES)}, round(({" + ".join(f"conn_{k}" for k in _FAMILIES)}) / per, 6) AS connective_density,
+  CAST({" + ".join(f"CAST(conn_{k} > 0 AS INT)" for k in _FAMILIES)} AS DOUBLE) AS connective_variety, round(({_sum_of(lists.ARGUMENT)}) / per, 6) AS argument_marker_density, round(({_sum_of(lists.STOCK)}) / per, 6) AS cliche_density,
+  round(({_sum_of(lists.MACHINE)}) / per, 6) AS ai_style_score, round(({_sum_of(lists.CONFUSED)}) / greatest(1, n / 100), 6) AS confusion_rate, round(CASE WHEN n > 0 THEN ({_sum_of(lists.INFORMAL)}) / n ELSE 0 END, 6) AS informal_rate,
+  round((len(regexp_extract_all(t, '[\x20\x09-\x0D][,.;:!?]')) + len(regexp_extract_all(t, '[,.;:][^\x20\x09-\x0D0-9]'))) / greatest(1, length(t) / 100), 6) AS punct_error_rate FROM r""")
+def marker_rates(spark, sf_dir):
+    """The rates of error and discourse features that don't depend on sentences."""
+    d = lists.discourse(lists.errors(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    names = [*(f"conn_{k}" for k in lists.CONNECTIVES), "connective_density", "connective_variety", "argument_marker_density", "cliche_density", "ai_style_score", "confusion_rate", "informal_rate", "punct_error_rate"]
+    return rounded(d.select("doc_id", *names))
+
+
 # --- labels ----------------------------------------------------------------------------------------------------------
 
 

@@ -103,8 +103,13 @@ def _parsed(path: Path) -> dict[str, Any]:
     text = path.read_text(encoding="utf-8")
     if path.suffix.lower() == ".json":
         return json.loads(text)
-    import yaml
-
+    try:
+        import yaml
+    except ImportError as e:  # JSON is YAML, too
+        try:
+            return json.loads(text)
+        except ValueError:
+            raise RuntimeError(f"{path.name}: a YAML library is needed, or the rubric as JSON") from e
     return yaml.safe_load(text) or {}
 
 

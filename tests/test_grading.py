@@ -170,11 +170,9 @@ def rubric():
 
 
 def exam_rubrics(folder: Path):
-    import yaml
-
     for e in range(1, 6):
         criteria = [{"key": f"cau_{1 + i // 4}{'abcd'[i % 4]}", "name": f"item {i}", "weight": 0.1, "max_score": 1.0, "description": f"Đáp số chuẩn: {1000 * e + 37 * i}", "levels": [{"name": "đúng", "score": 1.0}, {"name": "sai", "score": 0.0}]} for i in range(10)]
-        (folder / f"exam_de_{e}.yaml").write_text(yaml.safe_dump({"rubric_id": f"exam_{e}", "name": f"Exam {e}", "criteria": criteria}, allow_unicode=True), encoding="utf-8")
+        (folder / f"exam_de_{e}.yaml").write_text(json.dumps({"rubric_id": f"exam_{e}", "name": f"Exam {e}", "criteria": criteria}, ensure_ascii=False), encoding="utf-8")
     return rubrics.load_rubrics(folder)
 
 
@@ -189,10 +187,17 @@ def test_rubric(tmp_path, rubric):
     (tmp_path / "exam_de_5.yaml").unlink()
     with pytest.raises(FileNotFoundError, match="De_5"):
         rubrics.load_rubrics(tmp_path)
-    assert rubrics.load_rubric("example.yaml", Path(__file__).parent.parent / "rubrics").rubric_id == "example_v1"
+    assert rubrics.load_rubric("example.json", Path(__file__).parent.parent / "rubrics").rubric_id == "example_v1"
     assert "| full | 4 |" in rubrics.handbook(rubric)
 
 
+def test_yaml_rubric(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "r.yaml").write_text("rubric_id: r\ncriteria:\n  - {key: a, weight: 1, max_score: 2, levels: [{name: x, score: 2}]}\nrules:\n  - {id: q, when: 'a < 1', action: review}\n")
+    found = rubrics.load_rubric(tmp_path / "r.yaml")
+    assert (found.keys, found.weights, found.rules[0]["id"], found.scale_max) == (["a"], {"a": (2.0, 1.0)}, "q", 10.0)
+
+
 @pytest.mark.parametrize("criterion, want", [({"answers": [1, 2]}, "1 | 2"), ({"scoring": {"answer": "x"}}, "x"), ({"description": "A. Đáp số  chuẩn : 12 "}, "12"), ({"description": " all "}, "all")])
 def test_expected_answer(criterion, want):
     assert rubrics.expected_answer(criterion) == want
