@@ -255,7 +255,7 @@ def total_records(spark, sf_dir):
 @query("""WITH r AS (SELECT doc_id, lang, source, n_chars, doc_id % 5 AS k, coalesce(text, '') AS t FROM documents), a AS (SELECT CASE WHEN k = 0 THEN 'id' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS essay_id, 'De_' || (1 + doc_id % 5) AS exam_id,
   CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'validation' WHEN 2 THEN 'test' WHEN 3 THEN 'excluded_duplicate' ELSE 'unassigned' END AS split, CASE WHEN k = 3 THEN NULL ELSE n_chars % 12 * 1.0 END AS gold_total, k, doc_id FROM r)
 SELECT essay_id, exam_id, split, CAST(gold_total AS DOUBLE) AS gold_total, CASE WHEN k = 2 THEN 'B' ELSE '' END AS grade_band, CASE k WHEN 1 THEN true ELSE split = 'train' AND gold_total IS NOT NULL END AS training_eligible,
-  CASE WHEN k = 2 THEN doc_id % 2 = 0 ELSE split IN ('train', 'validation', 'test') AND gold_total IS NOT NULL END AS viegrader_ready, CASE k WHEN 0 THEN 'a|b' WHEN 1 THEN 'x|y' WHEN 2 THEN 'p' ELSE '' END AS flags FROM a""")
+  CASE WHEN k = 2 THEN doc_id % 2 = 0 ELSE split IN ('train', 'validation', 'test') AND gold_total IS NOT NULL END AS ready, CASE k WHEN 0 THEN 'a|b' WHEN 1 THEN 'x|y' WHEN 2 THEN 'p' ELSE '' END AS flags FROM a""")
 def adapted_records(spark, sf_dir):
     """Records of several shapes, as JSON, read as essays."""
     k, key = F.col("doc_id") % 5, F.col("doc_id").cast("string")
@@ -272,4 +272,4 @@ def adapted_records(spark, sf_dir):
     for i, s in enumerate(shapes):
         value = F.when(k == i, F.to_json(s)).otherwise(value)
     d = workflow.adapted(read(spark, sf_dir, "documents").select(value.alias("value")))
-    return d.select("essay_id", "exam_id", "split", "gold_total", "grade_band", "training_eligible", "viegrader_ready", F.array_join("flags", "|").alias("flags"))
+    return d.select("essay_id", "exam_id", "split", "gold_total", "grade_band", "training_eligible", "ready", F.array_join("flags", "|").alias("flags"))

@@ -28,14 +28,15 @@ NAMES = {
     "score": ("score_10", "gold_total", "total", "score"),
     "label": ("score_10", "gold_total", "total"),
     "eligible": ("training_eligible", "train_eligible"),
-    "ready": ("viegrader_ready", "viegrader_execution_ready", "execution_ready", "ready_for_viegrader", "ready"),
 }
+#: Fields that say whether a record is ready, whatever stands beside the word.
+READY = "(^|_)ready(_|$)"
 SPLITS = ("train", "validation", "test", "excluded_duplicate", "excluded_conflict")
 
 
 def adapted(raw: DataFrame, order: Column | None = None, prefix: str = "IT04") -> DataFrame:
     """Records as essays: raw(value: a JSON object as text) -> essay_id, text, exam_id, split, gold_total, grade_band,
-    training_eligible, viegrader_ready, flags (array).
+    training_eligible, ready, flags (array).
 
     Of each field the first name with a value counts, labels.* before the top level. A score that isn't a number is
     null. Without an id, records are numbered by their place in order. What isn't stated of eligibility follows from
@@ -53,7 +54,11 @@ def adapted(raw: DataFrame, order: Column | None = None, prefix: str = "IT04") -
     score = first(*(f"labels.{n}" for n in NAMES["label"]), *NAMES["score"]).try_cast("double")
     split = F.lower(F.coalesce(first(*NAMES["split"]), F.lit("unassigned")))
     split = F.when(split.isin("val", "dev"), "validation").otherwise(split)
-    stated = lambda names, other, default: records.truth(first(*names, f"eligibility.{other}"), False) if default is None else F.coalesce(F.when(first(*names, f"eligibility.{other}").isNotNull(), records.truth(first(*names, f"eligibility.{other}"))), default)
+    stated = lambda x, default: F.when(x.isNotNull(), records.truth(x)).otherwise(default)
+    fields = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    value_of = lambda m, test: F.get(F.map_values(F.map_filter(m, lambda k, v: test(k) & (F.coalesce(v, F.lit("")) != ""))), F.lit(0))
+    eligible = first(*NAMES["eligible"], "eligibility.training")
+    ready = F.coalesce(value_of(fields(F.col("value")), lambda k: k.rlike(READY)), value_of(fields(at("eligibility")), lambda k: k != "training"))
     flags, kind = at("flags"), F.substring(F.coalesce(at("flags"), F.lit("")), 1, 1)
     listed = F.array_sort(F.coalesce(F.from_json(flags, "array<string>"), F.array().cast("array<string>")))
     mapped = records.flags_of_map(F.coalesce(F.from_json(flags, "map<string,string>"), F.create_map().cast("map<string,string>")))
@@ -66,8 +71,8 @@ def adapted(raw: DataFrame, order: Column | None = None, prefix: str = "IT04") -
         "split",
         "gold_total",
         F.coalesce(first("labels.grade_band", "grade_band"), F.lit("")).alias("grade_band"),
-        stated(NAMES["eligible"], "training", known & (F.col("split") == "train")).alias("training_eligible"),
-        stated(NAMES["ready"], "viegrader", known & F.col("split").isin("train", "validation", "test")).alias("viegrader_ready"),
+        stated(eligible, known & (F.col("split") == "train")).alias("training_eligible"),
+        stated(ready, known & F.col("split").isin("train", "validation", "test")).alias("ready"),
         F.when(kind == "[", listed).when(kind == "{", mapped).otherwise(records.flags_of_text(flags)).alias("flags"),
     )
 
@@ -80,14 +85,14 @@ def prepared(essays: DataFrame, rubrics: Mapping[str, Rubric], least: int = 20,
     """
     spark = essays.sparkSession
     d = records.rejections(essays, "essay_id", "text", "exam_id", "split", "gold_total", least, SPLITS)
-    idle = ~(F.col("training_eligible") | F.col("viegrader_ready"))
+    idle = ~(F.col("training_eligible") | F.col("ready"))
     d = d.withColumn("reasons", F.when((F.col("reasons") == "") & idle, "not_eligible_or_ready").otherwise(F.col("reasons")))
     d = cut(d.withColumn("flags", F.array_join("flags", "|")))
     good = records.guarded(joins.lookup(d.where("reasons = ''"), exam_table(spark, rubrics), "exam_id"))
     c = F.col
     return {
-        "essays": good.select("essay_id", "text", "exam_id", c("exam_id").alias("prompt_id"), "prompt_text", "answer_key", c("rubric_id").alias("rubric_file"), F.lit(course).alias("course_id"), c("essay_id").alias("student_hash"), F.lit("keep").alias("dataset_status"), "split", "training_eligible", "viegrader_ready", "flags"),
-        "gold": good.select("essay_id", "gold_total", "grade_band", "exam_id", "split", "training_eligible", "viegrader_ready", "flags", F.lit("").alias("teacher_feedback"), F.lit("total_only").alias("label_granularity"), F.lit("standardized_gradebook").alias("label_source")),
+        "essays": good.select("essay_id", "text", "exam_id", c("exam_id").alias("prompt_id"), "prompt_text", "answer_key", c("rubric_id").alias("rubric_file"), F.lit(course).alias("course_id"), c("essay_id").alias("student_hash"), F.lit("keep").alias("dataset_status"), "split", "training_eligible", "ready", "flags"),
+        "gold": good.select("essay_id", "gold_total", "grade_band", "exam_id", "split", "training_eligible", "ready", "flags", F.lit("").alias("teacher_feedback"), F.lit("total_only").alias("label_granularity"), F.lit("standardized_gradebook").alias("label_source")),
         "rejected": d.where("reasons <> ''").select("essay_id", "exam_id", "split", "reasons", "flags"),
     }
 
@@ -115,7 +120,7 @@ def model_text(df: DataFrame) -> Column:
 
 def graded(essays: DataFrame, model: models.TextRidge, rubrics: Mapping[str, Rubric], weight: float = 0.70, least: float = 0.60) -> tuple[DataFrame, DataFrame]:
     """(scores, items) of the essays that are ready: model and rubric totals, the final total, its mode and flags."""
-    d = essays.where(records.truth(F.col("viegrader_ready"))) if "viegrader_ready" in essays.columns else essays
+    d = essays.where(records.truth(F.col("ready"))) if "ready" in essays.columns else essays
     d = d.withColumn("exam_id", records.exam_name(F.col("exam_id"))).withColumn("_m", model_text(d))
     predicted = model.scores(d, "essay_id", "_m", None).select(F.col("essay_id").alias("_p"), F.col("total").alias("_raw"))
     items, totals = rubric_scores(d, rubrics)
@@ -166,7 +171,7 @@ def run_all(spark: SparkSession, raw: DataFrame, rubrics: Mapping[str, Rubric],
     essays_in = cut(adapted(raw))
     parts = prepared(essays_in, rubrics)
     essays, gold = cut(parts["essays"]), cut(parts["gold"])
-    data = {"created_at": now, "n_input": essays_in.count(), "n_prepared": essays.count(), "n_ready": essays.where("viegrader_ready").count(), "n_training_eligible": essays.where("training_eligible").count(), "n_rejected": parts["rejected"].count()}
+    data = {"created_at": now, "n_input": essays_in.count(), "n_prepared": essays.count(), "n_ready": essays.where("ready").count(), "n_training_eligible": essays.where("training_eligible").count(), "n_rejected": parts["rejected"].count()}
     data |= {"by_split": rows_of(essays.groupBy("split").count()), "by_exam": rows_of(essays.groupBy("exam_id").count()), "scores": rows_of(score_summary(gold, "split")), "issues": rows_of(records.reason_counts(parts["rejected"], "reasons"))}
     if not data["n_prepared"]:
         raise ValueError("no record is left after the checks")
