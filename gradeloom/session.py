@@ -73,19 +73,21 @@ def _remove_at_exit(files, path) -> None:
         files.delete(path, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
-
-    The tables of an application share a folder, which goes when the driver's process ends.
-    """
-    spark = df.sparkSession
+def app_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it goes when the driver's process ends."""
     folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         # both outlive the session
         atexit.register(_remove_at_exit, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+    spark = df.sparkSession
+    path = f"{app_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
