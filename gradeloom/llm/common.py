@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.session import shared_dir, written  # noqa: F401  (the operators take written() from here)
+from gradeloom.session import app_folder, shared_dir, written  # noqa: F401  (the operators take them from here)
 
 #: What separates words everywhere in this subpackage, and what words are (Java, RE2 and Python read both alike).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,7 +31,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
-def one_fact_each(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+def one_fact_each(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str) -> DataFrame:
     """rows joined with facts(key, count, ...), one row a key without nulls; count: the key's rows.
 
     At most HOT keys hold over 1/HOT of all rows each: those facts are broadcast, so a key in a third of all rows isn't
@@ -40,7 +40,7 @@ def one_fact_each(rows: DataFrame, facts: DataFrame, key: str, count: str) -> Da
     total = facts.agg(F.sum(count)).first()[0] or 0
     often = F.col(count) * HOT > F.lit(total)
     hot = F.broadcast(facts.where(often).drop(count))
-    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~often).drop(count), key)
+    rest = rows.join(hot.select(*[key] if isinstance(key, str) else key), key, "left_anti").join(facts.where(~often).drop(count), key)
     return rows.join(hot, key).unionByName(rest)
 
 
