@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import features, records
 from gradeloom.functions.features import CONNECTIVES, STOP_WORDS
+from gradeloom.functions.text import VIETNAMESE
 from gradeloom.functions.vietnamese import ABBREVIATIONS, TONED, TONELESS, count_abbreviations, strip_tone, syllable_pattern
 from gradeloom.operators import agreement, dedup, evaluation, models, retrieval, sampling, structured
 from gradeloom.plans import pipelines, reports
@@ -22,19 +23,71 @@ _quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)  #
 # --- features --------------------------------------------------------------------------------------------------------
 
 
-@query()
+# Sentences and paragraphs in SQL. RE2 has neither Unicode word bounds nor looking ahead: initials are glued in two passes,
+# as neighbours share the character between them, and a control character marks where sentences end.
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_EDGE = r"(^|[^\p{L}\p{M}\p{N}_])"
+_CAPITAL = r"A-Z\x{C0}-\x{1EF8}"
+_GLUE = lambda x: rf"regexp_replace({x}, '{_EDGE}([{_CAPITAL}])\.[\s\x{{0B}}\x{{A0}}]+', '\1\2.', 'g')"
+_TIDY = lambda xs: f"list_filter(list_transform({xs}, lambda x: trim(x, {_BLANKS})), lambda x: x <> '')"
+_SENTENCES = _TIDY(rf"""string_split(regexp_replace(trim({_GLUE(_GLUE("t"))}, {_BLANKS}), '([.!?…])[\x20\x09-\x0D]+([{_CAPITAL}0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1))""")
+_PARTS = f"""{_D}, parts AS (SELECT *, {_WORDS} AS ws, {_SENTENCES} AS ss, {_TIDY(r"regexp_split_to_array(t, '\n[\x20\x09-\x0D]*\n')")} AS ps,
+  list_filter({_TIDY("string_split(t, chr(10))")}, lambda x: length(x) >= 15) AS ls FROM d),
+p AS (SELECT *, CASE WHEN len(ps) > 1 THEN ps WHEN len(ls) > 0 THEN ls WHEN trim(t, {_BLANKS}) <> '' THEN [trim(t, {_BLANKS})] ELSE [] END AS paragraphs FROM parts)"""
+_SHARE = lambda x, n: f"round(CASE WHEN {n} > 0 THEN {x} / {n} ELSE 0 END, 6)"
+
+
+@query(rf"""WITH {_PARTS}, l AS (SELECT *, list_transform(ss, lambda s: CAST(len(regexp_extract_all(s, '[a-zA-Z\x{{C0}}-\x{{1EF9}}]+')) AS DOUBLE)) AS n FROM p)
+SELECT doc_id, CAST(length(t) AS DOUBLE) AS n_chars, CAST(len(ws) AS DOUBLE) AS n_words, CAST(len(ss) AS DOUBLE) AS n_sentences, CAST(len(paragraphs) AS DOUBLE) AS n_paragraphs,
+  round(coalesce(list_avg(n), 0), 6) AS mean_sentence_len, round(coalesce(list_stddev_pop(n), 0), 6) AS std_sentence_len, coalesce(list_max(n), 0.0::DOUBLE) AS max_sentence_len,
+  {_SHARE("len(list_filter(n, lambda x: x > 40))", "len(ss)")} AS pct_long_sentences, {_SHARE("len(list_filter(n, lambda x: x < 5))", "len(ss)")} AS pct_short_sentences,
+  {_SHARE("list_sum(list_transform(ws, lambda w: length(w)))", "len(ws)")} AS mean_word_len, {_SHARE("len(ws)", "len(paragraphs)")} AS words_per_paragraph, {_SHARE("len(ss)", "len(paragraphs)")} AS sentences_per_paragraph,
+  CAST(len(regexp_extract_all(t, '[0-9]+(?:[.,][0-9]+)*')) AS DOUBLE) AS n_numbers,
+  {_SHARE(f"(length(t) - length(translate(t, '{VIETNAMESE}{VIETNAMESE.upper()}', '')))", "(length(t) - length(regexp_replace(t, '\\pL', '', 'g')))")} AS diacritic_ratio FROM l""")
 def surface_features(spark, sf_dir):
-    return features.surface(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return rounded(features.surface(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
-@query()
+def _sum_of(phrases) -> str:
+    """Occurrences of phrases in low, each without overlaps of its own."""
+    return " + ".join("(length(low) - length(replace(low, '{0}', ''))) / {1}".format(p.replace("'", "''"), len(p)) for p in phrases)
+
+
+_BAD = rf"list_filter(list_filter(ws, lambda w: NOT regexp_matches(w, '^\p{{Lu}}')), lambda w: NOT regexp_matches(translate(lower(w), '{TONED}', '{TONELESS}'), '{syllable_pattern()}'))"
+
+
+@query(rf"""WITH {_PARTS}, c AS (SELECT *, lower(t) AS low, len({_BAD}) AS bad FROM p)
+SELECT doc_id, {_SHARE("bad", "len(ws)")} AS spell_error_rate, CAST(bad AS DOUBLE) AS n_spell_errors, round(({_sum_of(features.CONFUSED)}) / greatest(1, len(ws) / 100), 6) AS confusion_rate, {_SHARE(f"({_sum_of(features.INFORMAL)})", "len(ws)")} AS informal_rate,
+  {_SHARE(r"len(list_filter(ss, lambda s: regexp_matches(s, '^\p{Ll}')))", "len(ss)")} AS no_capital_sentence_rate, {_SHARE("""len(list_filter(ss, lambda s: regexp_matches(s, '[^.!?…"'')]$')))""", "len(ss)")} AS no_end_punct_rate,
+  round((len(regexp_extract_all(t, '[\x20\x09-\x0D][,.;:!?]')) + len(regexp_extract_all(t, '[,.;:][^\x20\x09-\x0D0-9]'))) / greatest(1, length(t) / 100), 6) AS punct_error_rate FROM c""")
 def error_features(spark, sf_dir):
-    return features.errors(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return rounded(features.errors(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
-@query()
+_SETS = lambda xs: rf"list_transform({xs}, lambda s: list_distinct(list_filter(regexp_extract_all(lower(s), '[a-zA-Z\x{{C0}}-\x{{1EF9}}]+'), lambda w: NOT list_contains([{_quoted(STOP_WORDS)}], w))))"
+_NEIGHBOURS = lambda x: f"list_transform(list_filter(list_zip({x}[1:len({x}) - 1], {x}[2:]), lambda z: len(z[1]) > 0 AND len(z[2]) > 0), lambda z: len(list_intersect(z[1], z[2])) / (len(z[1]) + len(z[2]) - len(list_intersect(z[1], z[2]))))"
+_ANY = lambda x, phrases: "(" + " OR ".join(f"contains({x}, '{p}')" for p in phrases) + ")"
+_CITED = " OR ".join(f"regexp_matches(t, '{p}')" for p in (
+    r"\[[0-9]+\]", rf"\([{_CAPITAL}][\p{{L}}\p{{M}}\p{{N}}_.]+,?\s*[0-9]{{4}}\)",
+    rf"(?i){_EDGE}(theo|dẫn theo|trích|nguồn)\s*[:\-]?\s*[{_CAPITAL}]", rf"(?i){_EDGE}(tài liệu tham khảo|danh mục tài liệu)($|[^\p{{L}}\p{{M}}\p{{N}}_])",
+))
+
+
+@query(rf"""WITH {_PARTS}, s AS (SELECT *, {_SETS("ss")} AS sets, {_SETS("paragraphs")} AS psets, lower(t) AS low, greatest(1, len(ws)) / 100 AS per FROM p),
+o AS (SELECT *, {_NEIGHBOURS("sets")} AS so, {_NEIGHBOURS("psets")} AS po, {", ".join(f"{_sum_of(v)} AS conn_{k}" for k, v in CONNECTIVES.items())},
+  CAST(coalesce({_ANY("lower(paragraphs[1])", CONNECTIVES["trinh_tu"][:4])}, false) OR len(paragraphs) >= 3 AS DOUBLE) AS has_intro, CAST(coalesce({_ANY("lower(paragraphs[-1])", CONNECTIVES["ket_luan"])}, false) AS DOUBLE) AS has_conclusion FROM s)
+SELECT doc_id, {", ".join(f"round(conn_{k}, 6) AS conn_{k}" for k in CONNECTIVES)}, has_intro, has_conclusion, round(({" + ".join(f"conn_{k}" for k in CONNECTIVES)}) / per, 6) AS connective_density,
+  CAST({" + ".join(f"CAST(conn_{k} > 0 AS INT)" for k in CONNECTIVES)} AS DOUBLE) AS connective_variety, round(({_sum_of(features.ARGUMENT)}) / per, 6) AS argument_marker_density, round(({_sum_of(features.STOCK)}) / per, 6) AS cliche_density,
+  round(({_sum_of(features.MACHINE)}) / per, 6) AS ai_style_score, CAST({_CITED} AS DOUBLE) AS has_citation, round(coalesce(list_avg(so), 0), 6) AS sentence_overlap_mean, round(coalesce(list_min(so), 0), 6) AS sentence_overlap_min,
+  round(coalesce(list_avg(po), 0), 6) AS paragraph_overlap_mean, round((has_intro + has_conclusion + least(1.0::DOUBLE, len(paragraphs) / 4)) / 3, 6) AS structure_score FROM o""")
 def discourse_features(spark, sf_dir):
-    return features.discourse(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return rounded(features.discourse(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
+@query(f"""WITH {_D}, c AS (SELECT doc_id, lower(t) AS low FROM d)
+SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN contains(low, '{a}') THEN '{a} -> {b}' END" for a, b in features.CONFUSED.items())}], lambda x: x IS NOT NULL), '; ') AS confusions FROM c""")
+def confusion_evidence(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(features.confusions(F.coalesce("text", F.lit(""))), "; ").alias("confusions"))
 
 
 @query()
@@ -73,8 +126,8 @@ _FAMILY = lambda k: " + ".join(f"(length(t) - length(replace(t, '{p}', ''))) / {
 
 @query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, {", ".join(f"{_FAMILY(k)} AS conn_{k}" for k in CONNECTIVES)} FROM d""")
 def connectives(spark, sf_dir):
-    low = F.lower(F.coalesce("text", F.lit("")))
-    return read(spark, sf_dir, "documents").select("doc_id", *(features.occurrences(low, v).alias(f"conn_{k}") for k, v in CONNECTIVES.items()))
+    d = features.with_markers(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", *(F.col(f"_hits.conn_{k}").alias(f"conn_{k}") for k in CONNECTIVES))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT i, avg(x) AS m FROM v GROUP BY i)

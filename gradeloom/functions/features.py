@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .phrases import phrase_counts, phrases_found
 from .text import cosine, diacritic_ratio, once, ratio, segment_paragraphs, split_sentences
 from .vietnamese import is_syllable, words
 
@@ -64,9 +65,13 @@ CONFUSED = {
 CITATIONS = (r"\[\d+\]", r"(?U)\([A-Z\x{C0}-\x{1EF8}][\w.]+,?\s*\d{4}\)", r"(?iU)\b(theo|dẫn theo|trích|nguồn)\s*[:\-]?\s*[A-Z\x{C0}-\x{1EF8}]", r"(?iU)\b(tài liệu tham khảo|danh mục tài liệu)\b")
 
 
-def occurrences(low: Column, phrases) -> Column:
-    """How often the phrases occur as parts of a text, each counted without overlaps of its own."""
-    return reduce(add, ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p) for p in phrases))
+#: The lists that features count, by the name of their count; one pass over a text counts them all.
+MARKERS = {f"conn_{k}": v for k, v in CONNECTIVES.items()} | {"argument": ARGUMENT, "stock": STOCK, "machine": MACHINE, "confused": list(CONFUSED), "informal": INFORMAL}
+
+
+def with_markers(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with _hits, a struct with the counts of MARKERS in a text in lower case; unchanged where df has it."""
+    return df if "_hits" in df.columns else df.withColumn("_hits", phrase_counts(F.lower(F.coalesce(F.col(text), F.lit(""))), MARKERS))
 
 
 def _mean(a: Column) -> Column:
@@ -136,7 +141,7 @@ def lexical(df: DataFrame, key: str, text: str = "text", terms: tuple[str, ...]
         F.max("c").alias("top"),
         F.sum(F.when(F.length("w") >= 7, F.col("c")).otherwise(0)).alias("long"),
     )
-    hits = occurrences(F.lower("_t"), [t.lower() for t in terms]) if terms else F.lit(0.0)
+    hits = phrase_counts(F.lower("_t"), {"n": [t.lower() for t in terms]})["n"] if terms else F.lit(0.0)
     joined = d.select(F.col(key).alias("_k"), hits.alias("_h")).join(agg, F.col("_k") == F.col(key), "left")
     c, zero = F.col, lambda x: F.coalesce(x, F.lit(0.0))
     return joined.select(
@@ -165,24 +170,24 @@ def spell_errors(text: Column, limit: int = 30) -> Column:
 
 def confusions(text: Column) -> Column:
     """'wrong -> right' for each pair of the table that a text has."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(a)), F.lit(f"{a} -> {b}")) for a, b in CONFUSED.items())))
+    pairs = F.array(*(F.lit(f"{a} -> {b}") for a, b in CONFUSED.items()))
+    return F.transform(phrases_found(F.lower(text), list(CONFUSED)), lambda i: F.get(pairs, i))
 
 
 def errors(df: DataFrame, text: str = "text") -> DataFrame:
     """df with rates of suspect spellings, confusions, informal words, sentence ends and spaces at punctuation."""
     c = F.col
-    d = _text(df, text).withColumns({"_n": F.size(words(c("_t"))), "_b": F.size(suspects(c("_t"))), "_low": F.lower("_t"), "_s": split_sentences(c("_t"))})
+    d = with_markers(_text(df, text), text).withColumns({"_n": F.size(words(c("_t"))), "_b": F.size(suspects(c("_t"))), "_s": split_sentences(c("_t"))})
     some = lambda p: F.size(F.filter("_s", lambda s: s.rlike(p)))
     spaces = F.regexp_count("_t", F.lit(r"\s[,.;:!?]")) + F.regexp_count("_t", F.lit(r"[,.;:][^\s\d]"))
     out = d.withColumns({
         "spell_error_rate": ratio(c("_b"), c("_n")), "n_spell_errors": c("_b").cast("double"),
-        "confusion_rate": occurrences(c("_low"), CONFUSED) / F.greatest(F.lit(1.0), c("_n") / 100),
-        "informal_rate": ratio(occurrences(c("_low"), INFORMAL), c("_n")),
+        "confusion_rate": c("_hits.confused") / F.greatest(F.lit(1.0), c("_n") / 100),
+        "informal_rate": ratio(c("_hits.informal"), c("_n")),
         "no_capital_sentence_rate": ratio(some(r"^\p{Ll}"), F.size("_s")), "no_end_punct_rate": ratio(some(r"[^.!?…\"')]$"), F.size("_s")),
         "punct_error_rate": spaces / F.greatest(F.lit(1.0), F.length("_t") / 100),
     })
-    return out.drop("_t", "_n", "_b", "_low", "_s")
+    return out.drop("_t", "_n", "_b", "_s", *({"_hits"} - set(df.columns)))
 
 
 def _overlaps(parts: Column) -> Column:
@@ -200,8 +205,8 @@ def _overlaps(parts: Column) -> Column:
 def discourse(df: DataFrame, text: str = "text") -> DataFrame:
     """df with densities of connectives and marks, overlaps of neighbours, and signs of structure."""
     c, per = F.col, lambda x: x / (F.greatest(F.lit(1), F.col("_n")) / 100)
-    d = _text(df, text).withColumns({"_low": F.lower("_t"), "_n": F.size(words(c("_t"))), "_p": segment_paragraphs(c("_t")), "_s": split_sentences(c("_t"))})
-    d = d.withColumns({f"conn_{k}": occurrences(c("_low"), v) for k, v in CONNECTIVES.items()}).withColumns({"_so": _overlaps(c("_s")), "_po": _overlaps(c("_p"))})
+    d = with_markers(_text(df, text), text).withColumns({"_n": F.size(words(c("_t"))), "_p": segment_paragraphs(c("_t")), "_s": split_sentences(c("_t"))})
+    d = d.withColumns({f"conn_{k}": c(f"_hits.conn_{k}") for k in CONNECTIVES}).withColumns({"_so": _overlaps(c("_s")), "_po": _overlaps(c("_p"))})
     families = [c(f"conn_{k}") for k in CONNECTIVES]
     has = lambda at, phrases: reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(at, F.lit(""))), F.lit(p)) for p in phrases))
     d = d.withColumns({
@@ -210,14 +215,14 @@ def discourse(df: DataFrame, text: str = "text") -> DataFrame:
     })
     out = d.withColumns({
         "connective_density": per(reduce(add, families)), "connective_variety": reduce(add, ((f > 0).cast("double") for f in families)),
-        "argument_marker_density": per(occurrences(c("_low"), ARGUMENT)), "cliche_density": per(occurrences(c("_low"), STOCK)),
-        "ai_style_score": per(occurrences(c("_low"), MACHINE)),
+        "argument_marker_density": per(c("_hits.argument")), "cliche_density": per(c("_hits.stock")),
+        "ai_style_score": per(c("_hits.machine")),
         "has_citation": reduce(lambda a, b: a | b, (c("_t").rlike(p) for p in CITATIONS)).cast("double"),
         "sentence_overlap_mean": _mean(c("_so")), "sentence_overlap_min": F.coalesce(F.array_min("_so"), F.lit(0.0)),
         "paragraph_overlap_mean": _mean(c("_po")),
         "structure_score": (c("has_intro") + c("has_conclusion") + F.least(F.lit(1.0), F.size("_p") / 4)) / 3,
     })
-    return out.drop("_t", "_low", "_n", "_p", "_s", "_so", "_po")
+    return out.drop("_t", "_n", "_p", "_s", "_so", "_po", *({"_hits"} - set(df.columns)))
 
 
 def centroid_similarity(df: DataFrame, vector: str) -> DataFrame:

@@ -32,7 +32,7 @@ def extract_all(df: DataFrame, key: str, body: str = "text", keywords: Column |
     none = F.array().cast("array<string>")
     low = F.lower(F.coalesce(F.col(body), F.lit("")))
     wanted = F.coalesce(keywords, none) if keywords is not None else none
-    d = features.discourse(features.errors(features.surface(df, body), body), body)
+    d = features.discourse(features.errors(features.surface(features.with_markers(df, body), body), body), body).drop("_hits")
     d = d.withColumn("mtld", features.mtld(words(low))).withColumn("_kw", wanted)
     d = d.withColumns({"keyword_hits": text.keyword_hits(low, F.col("_kw")).cast("double"), "keyword_total": F.size("_kw").cast("double")})
     d = d.withColumn("keyword_coverage", text.ratio(F.col("keyword_hits"), F.col("keyword_total"))).drop("_kw")
