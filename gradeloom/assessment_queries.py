@@ -9,7 +9,7 @@ from gradeloom.functions import features, records
 from gradeloom.functions.features import CONNECTIVES, STOP_WORDS
 from gradeloom.functions.text import VIETNAMESE
 from gradeloom.functions.vietnamese import ABBREVIATIONS, TONED, TONELESS, count_abbreviations, strip_tone, syllable_pattern
-from gradeloom.operators import agreement, dedup, evaluation, models, retrieval, sampling, structured
+from gradeloom.operators import agreement, dedup, evaluation, models, retrieval, sampling, structured, traits
 from gradeloom.plans import pipelines, reports
 from gradeloom.queries import METRICS, ORACLES, QUERIES, RATINGS, query, ratings, read, rounded
 from gradeloom.streaming import submissions
@@ -90,6 +90,30 @@ def confusion_evidence(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(features.confusions(F.coalesce("text", F.lit(""))), "; ").alias("confusions"))
 
 
+_U = lambda bag: f"('0x' || substr(sha256('42:{bag}:' || doc_id), 1, 12))::BIGINT / pow(16.0::DOUBLE, 12)"
+_TIMES = lambda u: " + ".join(f"CAST({u} >= {x}::DOUBLE AS INT)" for x in traits.POISSON)
+
+
+@query(f"""WITH d AS (SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS size, n_chars % 13 / 13 AS g FROM documents),
+l AS (SELECT doc_id, size, 'quality' AS target, CAST(quality AS DOUBLE) AS y FROM d JOIN labels USING (doc_id) WHERE quality IS NOT NULL UNION ALL SELECT doc_id, size, 'remainder', g FROM d WHERE doc_id % 5 <> 0),
+w AS (SELECT target, b, doc_id, size, y, CAST(CASE b {" ".join(f"WHEN {b} THEN {_TIMES(_U(b))}" for b in range(3))} END AS DOUBLE) AS w FROM l, (SELECT unnest([0, 1, 2]) AS b)),
+m AS (SELECT target, b, sum(w) AS n, sum(w * size) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY target, b),
+s AS (SELECT target, b, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sqrt(sum(w * (size - mx) * (size - mx)) / any_value(n)) AS sd FROM w JOIN m USING (target, b) GROUP BY target, b),
+z AS (SELECT w.target, w.b, w.w, w.y, (size - mx) / sd AS z, n, mx, my, sd FROM w JOIN s USING (target, b)),
+r AS (SELECT target, b, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(sd) AS sd, sum(w * z * (y - my)) AS r FROM z GROUP BY target, b),
+e AS (SELECT z.target, z.b, k, sum(w * pow((y - z.my - z * r / (z.n + pow(10.0::DOUBLE, k))) / (1 - 1 / z.n - z * z / (z.n + pow(10.0::DOUBLE, k))), 2)) AS e FROM z JOIN r USING (target, b), (SELECT -3 + unnest(range(25)) / 4 AS k) GROUP BY z.target, z.b, k),
+p AS (SELECT target, b, arg_min(k, (round(e, 9), k)) AS k FROM e GROUP BY target, b),
+f AS (SELECT doc_id, target, my + r / (n + pow(10.0::DOUBLE, k)) * (size - mx) / sd AS p FROM d, r JOIN p USING (target, b))
+SELECT doc_id, round(avg(p) FILTER (target = 'quality'), 6) AS quality, round(stddev_pop(p) FILTER (target = 'quality'), 6) AS quality__std, round(avg(p) FILTER (target = 'remainder'), 6) AS remainder, round(stddev_pop(p) FILTER (target = 'remainder'), 6) AS remainder__std FROM f GROUP BY doc_id""")
+def trait_ridges(spark, sf_dir):
+    """Two targets, three bags of ridges on one feature each; penalties are chosen by errors of rows left out."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"), F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") % 13 / 13).alias("remainder"))
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality")
+    rows = d.join(labels, F.col("doc_id") == F.col("l_id"), "left")
+    found = traits.fit_traits(rows, "doc_id", {"quality": ["size"], "remainder": ["size"]}, bags=3, algorithm="ridge", calibrate=False)
+    return rounded(traits.trait_scores(found, d, "doc_id"))
+
+
 @query()
 def vocabulary_diversity(spark, sf_dir):
     from gradeloom.functions.vietnamese import words

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import feedback as words
 from gradeloom.operators import models
 from gradeloom.operators.agreement import snap
+from gradeloom.operators.traits import Trait, fit_traits, report, trait_scores
 from gradeloom.plans.features import Encoder, build_features
 from gradeloom.plans.rules import apply_rules, weighted_total
 from gradeloom.session import cut
@@ -84,33 +85,34 @@ class RubricScorer:
     bags: int = 5
     trees: int = 300
     algorithm: str = "trees"
-    traits: dict[str, models.Bagged] = field(default_factory=dict)
+    traits: dict[str, Trait] = field(default_factory=dict)
 
     def fit(self, rows: DataFrame, key: str, names: list[str]) -> RubricScorer:
         """rows: features with scores named as the criteria or gold_<criterion>. Under 5 labels a criterion has no model."""
-        for c in self.rubric.criteria:
-            gold = next((n for n in (c.key, f"gold_{c.key}") if n in rows.columns), None)
-            if gold is None:
-                continue
-            n = rows.where(F.col(gold).isNotNull()).count()
-            if n < 20:
-                warnings.warn(f"{c.key} has {n} labels only", stacklevel=2)
-            # hinted features count twice, as far as there are any
-            hinted = [*names, *(h for h in c.feature_hints if h in names)]
-            found = models.fit_bagged(rows.drop("label").withColumnRenamed(gold, "_gold"), key, hinted, "_gold", self.bags, self.trees, algorithm=self.algorithm)
-            if found is not None:
-                self.traits[c.key] = found
+        golds = {c.key: next((n for n in (c.key, f"gold_{c.key}") if n in rows.columns), None) for c in self.rubric.criteria}
+        criteria = {c.key: c for c in self.rubric.criteria if golds[c.key]}
+        if not criteria:
+            return self
+        # hinted features count twice, as far as there are any
+        hinted = {k: [*names, *(h for h in c.feature_hints if h in names)] for k, c in criteria.items()}
+        labels = {k: f"_gold_{k}" for k in criteria}
+        rows = rows.select(key, *names, *(F.col(golds[k]).alias(v) for k, v in labels.items()))
+        found = fit_traits(rows, key, {labels[k]: hinted[k] for k in criteria}, self.bags, self.trees, algorithm=self.algorithm)
+        self.traits = {k: found[v] for k, v in labels.items() if v in found}
+        for k, trait in self.traits.items():
+            if trait.stats["n"] < 20:
+                warnings.warn(f"{k} has {trait.stats['n']:.0f} labels only", stacklevel=2)
         return self
 
     def predict(self, rows: DataFrame, key: str) -> DataFrame:
         """(key, <criterion>, <criterion>__std ...), each between 0 and the criterion's maximum."""
         tops = {c.key: c.max_score for c in self.rubric.criteria}
-        out = rows.select(key)
-        for k, trait in self.traits.items():
-            top = F.lit(tops[k])
-            scores = trait.scores(rows, key).select(F.col(key).alias("_k"), F.greatest(F.lit(0.0), F.least(top, F.col("mean"))).alias(k), F.col("std").alias(f"{k}__std"))
-            out = out.join(scores, F.col(key) == F.col("_k"), "left").drop("_k")
-        return out
+        out = trait_scores(self.traits, rows, key)
+        return out.withColumns({k: F.greatest(F.lit(0.0), F.least(F.lit(float(tops[k])), F.col(k))) for k in self.traits})
+
+    def report(self, top: int = 8) -> str:
+        """For each criterion its rows, its error and the features that weigh most."""
+        return report(self.traits, top)
 
     def total(self, scores: Mapping[str, Column]) -> Column:
         """Criteria without a score count for nothing."""

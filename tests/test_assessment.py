@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gradeloom import assessment_queries, queries
 from gradeloom.functions import features, records, vietnamese
 from gradeloom.functions.text import split_sentences
-from gradeloom.operators import agreement, evaluation, models, retrieval, sampling, structured
+from gradeloom.operators import agreement, evaluation, models, retrieval, sampling, structured, traits
 from gradeloom.plans import pipelines
 from gradeloom.sources import documents
 from gradeloom.streaming import submissions
@@ -189,9 +189,9 @@ def test_models(spark):
     with pytest.raises(ValueError, match="labelled rows"):
         models.fit_text_ridge(t.limit(3), "id", "text", "gold")
     f = spark.createDataFrame([(i, float(i % 7), None if i % 9 == 0 else float(i % 3), float(i % 7)) for i in range(60)], "id int, x double, y double, gold double")
-    bagged = models.fit_bagged(f, "id", ["x", "y"], "gold", bags=2, trees=20)
+    bagged = traits.fit_traits(f, "id", {"gold": ["x", "y"]}, bags=2, trees=20)["gold"]
     r = bagged.scores(f, "id").join(f.select("id", "gold"), "id").agg(F.avg(F.abs(F.col("mean") - F.col("gold")))).first()[0]
-    assert r < 0.8 and models.fit_bagged(f.limit(2), "id", ["x"], "gold") is None
+    assert r < 0.8 and traits.fit_traits(f.limit(2), "id", {"gold": ["x"]}) == {}
 
 
 def test_cleaning(spark):
