@@ -9,7 +9,7 @@ from gradeloom.functions import features, records
 from gradeloom.functions.features import CONNECTIVES, STOP_WORDS
 from gradeloom.functions.text import VIETNAMESE
 from gradeloom.functions.vietnamese import ABBREVIATIONS, TONED, TONELESS, count_abbreviations, strip_tone, syllable_pattern
-from gradeloom.operators import agreement, dedup, evaluation, models, retrieval, sampling, structured, traits
+from gradeloom.operators import agreement, dedup, evaluation, models, resampling, retrieval, sampling, structured, traits
 from gradeloom.plans import pipelines, reports
 from gradeloom.queries import METRICS, ORACLES, QUERIES, RATINGS, query, ratings, read, rounded
 from gradeloom.streaming import submissions
@@ -351,7 +351,20 @@ def total_metrics(spark, sf_dir):
 def bootstrap_error(spark, sf_dir):
     d = ratings(spark, sf_dir).groupBy("essay_id").agg(F.avg("gold").alias("gold"), F.avg("pred").alias("pred"))
     e = F.col("pred") - F.col("gold")
-    return rounded(evaluation.bootstrap(d, "essay_id", {"mae": F.abs(e), "bias": e}, 200))
+    return rounded(evaluation.bootstrap(d, {"mae": F.abs(e), "bias": e}, 200))
+
+
+@query()
+def score_intervals(spark, sf_dir):
+    """Intervals of all metrics of one column of scores: 1,000 exact resamples of all ratings."""
+    return rounded(resampling.score_intervals(ratings(spark, sf_dir), "gold", "pred"))
+
+
+@query()
+def delta_intervals(spark, sf_dir):
+    """Intervals of what each metric gains by rounding scores to halves."""
+    d = ratings(spark, sf_dir).withColumn("rounded", F.rint(F.col("pred") * 2) / 2)
+    return rounded(resampling.delta_intervals(d, "gold", "pred", "rounded"))
 
 
 @query(f"""WITH {RATINGS}, g AS (SELECT essay_id, avg(gold) AS before, avg(pred) AS after FROM ratings GROUP BY essay_id) SELECT essay_id, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS delta FROM g""")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .agreement import bins, pearson, qwk
+from .resampling import mean_intervals
 
 
 def smd(a: str, b: str) -> Column:
@@ -169,8 +170,8 @@ def ablation_summary(pred: DataFrame, gold: DataFrame, key: str, pred_column: st
 
 
 def paired_interval(before: DataFrame, after: DataFrame, key: str, value: str, n: int = 1000) -> DataFrame:
-    """(metric, estimate, low, high): bootstrap() of the mean of paired_delta()."""
-    return bootstrap(paired_delta(before, after, key, value), key, {"delta": F.col("delta")}, n)
+    """(metric, estimate, low, high, n_valid): bootstrap() of the mean of paired_delta()."""
+    return bootstrap(paired_delta(before, after, key, value), {"delta": F.col("delta")}, n)
 
 
 def feedback_similarity(pred: DataFrame, gold: DataFrame, key: str, text: str, score) -> DataFrame:
@@ -204,27 +205,9 @@ def test_retest(median: DataFrame, tol: float = 0.25) -> DataFrame:
     )
 
 
-def bootstrap(df: DataFrame, key: str, columns: dict[str, Column], n: int = 1000, seed: str = "42", level: float = 0.95) -> DataFrame:
-    """(metric, estimate, low, high): percentile intervals of means over resamples.
-
-    Each row weighs a Poisson(1) count in each replicate, drawn from a hash of its key: the large-sample form of drawing with
-    replacement. Counts need no shuffle of rows: replicates are summed in map-side partial aggregates, and reruns agree.
-    """
-    u = lambda r: (F.pmod(F.xxhash64(F.lit(seed), key, r), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    steps, p = [], 0.36787944117144233
-    total = p
-    for k in range(1, 13):
-        steps.append(total)
-        p /= k
-        total += p
-    weighted = df.select(key, *(c.cast("double").alias(f"m_{m}") for m, c in columns.items()), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("r")).withColumn("u", u(F.col("r")))
-    weighted = weighted.withColumn("w", sum(((F.col("u") >= s).cast("int") for s in steps), F.lit(0))).where("w > 0")
-    means = weighted.groupBy("r").agg(*((F.sum(F.col("w") * F.col(f"m_{m}")) / F.sum(F.when(F.col(f"m_{m}").isNotNull(), F.col("w")))).alias(f"m_{m}") for m in columns))
-    tail = (1 - level) / 2
-    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"m_{m}").alias("x")) for m in columns)))
-    limits = means.select(rows.alias("s")).select("s.*").groupBy("metric").agg(F.percentile("x", F.lit(tail)).alias("low"), F.percentile("x", F.lit(1 - tail)).alias("high"))
-    point = df.agg(*(F.avg(c.cast("double")).alias(f"m_{m}") for m, c in columns.items())).select(rows.alias("s")).select("s.metric", F.col("s.x").alias("estimate"))
-    return point.join(F.broadcast(limits), "metric")
+def bootstrap(df: DataFrame, columns: dict[str, Column], n: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(metric, estimate, low, high, n_valid): percentile intervals of means over exact resamples, see resampling."""
+    return mean_intervals(df, columns, n, seed, level)
 
 
 def paired_delta(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

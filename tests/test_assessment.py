@@ -145,7 +145,7 @@ def test_severity_by_hand(spark):
 
 def test_bootstrap_covers_the_mean(spark):
     d = spark.range(2000).withColumn("x", (F.col("id") % 10).cast("double"))
-    r = evaluation.bootstrap(d, "id", {"x": F.col("x")}, 200).first()
+    r = evaluation.bootstrap(d, {"x": F.col("x")}, 200).first()
     se = math.sqrt(8.25 / 2000)
     assert r.estimate == 4.5 and 4.5 - 3 * se < r.low < 4.5 - se and 4.5 + se < r.high < 4.5 + 3 * se
     with pytest.raises(Exception, match="same keys"):
