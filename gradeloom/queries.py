@@ -16,6 +16,7 @@ from gradeloom.functions import quality, text
 from gradeloom.functions.pii import anonymized
 from gradeloom.operators import agreement, dedup, evaluation, retrieval, sampling
 from gradeloom.plans.rules import apply_rules
+from gradeloom.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -266,7 +267,24 @@ FROM p JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE c / (x.n +
 UNION ALL SELECT k.doc_id, d.doc_id, d.source, 1, 1, 1 FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.f = k.f AND d.doc_id > k.doc_id""")
 def near_duplicate_pairs(spark, sf_dir):
     d = read(spark, sf_dir, "documents").withColumn("source", F.when(F.col("doc_id") % 5 != 0, F.col("source")))
-    return dedup.with_copies(dedup.near_pairs(d, "doc_id", "text", ("source",)), d, "doc_id", "text", ("source",))
+    groups = written(dedup.exact_groups(d, "doc_id", "text", ("source",)))
+    return dedup.with_copies(dedup.near_pairs(d, "doc_id", "text", ("source",), groups=groups), d, "doc_id", "text", ("source",), groups)
+
+
+_ROUNDS = 12
+_ROUND = lambda r: f"""t{r} AS MATERIALIZED (SELECT id FROM u{r} WHERE id NOT IN (SELECT id_b FROM e JOIN u{r} x ON x.id = id_a JOIN u{r} y ON y.id = id_b)),
+u{r + 1} AS MATERIALIZED (SELECT id FROM u{r} WHERE id NOT IN (SELECT id FROM t{r}) AND id NOT IN (SELECT id_b FROM e JOIN t{r} ON t{r}.id = id_a))"""
+
+
+@query(ORACLES["near_duplicate_pairs"].split("SELECT id_a, id_b, source, round")[0].rstrip() + f""",
+e AS MATERIALIZED (SELECT id_a, id_b, c / (x.n + y.n - c) AS j FROM p JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE c / (x.n + y.n - c) >= 0.5),
+u0 AS MATERIALIZED (SELECT doc_id AS id FROM k), {", ".join(_ROUND(r) for r in range(_ROUNDS))},
+leads AS ({" UNION ALL ".join(f"SELECT id FROM t{r}" for r in range(_ROUNDS))}),
+best AS (SELECT id_b, id_a, j FROM e JOIN leads ON id = id_a WHERE id_b NOT IN (SELECT id FROM leads) QUALIFY row_number() OVER (PARTITION BY id_b ORDER BY j DESC, id_a) = 1)
+SELECT d.doc_id, d.source, coalesce(id_a, k.doc_id) AS leader, round(coalesce(j, 1), 4) AS jaccard FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.f = k.f LEFT JOIN best ON best.id_b = k.doc_id""")
+def near_duplicate_families(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("source", F.when(F.col("doc_id") % 5 != 0, F.col("source")))
+    return dedup.near_families(d, "doc_id", "text", ("source",))
 
 
 @query("""SELECT doc_id, round((CASE WHEN contains(t, 'the') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'der') OR contains(t, 'die') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'ciones') THEN 1 ELSE 0 END) / 3, 6) AS coverage

@@ -199,7 +199,7 @@ def test_cleaning(spark):
     rows = [("a", good, "p"), ("b", good + " ", "p"), ("c", good + " Hết bài.", "p"), ("d", "ngắn", "p"), ("e", None, "p"), ("f", good, "q")]
     got = {r.essay_id: r for r in pipelines.clean(spark.createDataFrame(rows, "essay_id string, bai_lam string, prompt_id string")).collect()}
     assert {k: r.qc_decision for k, r in got.items()} == {"a": "keep", "b": "reject", "c": "keep", "d": "reject", "e": "reject", "f": "keep"}
-    assert got["a"].dup_ratio == 1.0 and got["a"].dup_with == "c" and got["b"].qc_reasons == "copy_of (a)" and got["f"].dup_ratio == 0.0 and got["c"].dup_ratio > 0.8
+    assert got["a"].dup_ratio == 1.0 and got["a"].dup_with == "b" and got["b"].qc_reasons == "copy_of (a)" and got["f"].dup_ratio == 0.0 and got["c"].dup_ratio > 0.8
     found = pipelines.clean_report(spark.createDataFrame(list(got.values()))).first()
     assert (found.n_input, found.n_output, found.n_rejected, found.n_exact_copies) == (6, 3, 3, 1)
     table = spark.createDataFrame([("1", good, "De 1", "val", "7"), ("2", good, "De 2", "train", "x"), ("3", good, "De 3", "train", "9"), ("4", "", "?", "train", "9")], "id string, text string, exam string, part string, score string")
