@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions.records import truth
-from gradeloom.session import cut
+from gradeloom.session import written
 
 
 def terms(text: Column) -> Column:
@@ -32,12 +32,20 @@ def approved_chunks(df: DataFrame, text: str, approved: str | None = None) -> Da
 
 
 def index(chunks: DataFrame, key: str, text: str, most: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(postings(term, id, w), idf(term, idf)): sublinear counts, smooth idf, vectors of length 1, the most frequent terms."""
-    tf = counted(chunks.where(F.trim(text) != ""), key, text)
-    n = chunks.where(F.trim(text) != "").agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.col("total").desc(), "term").limit(most)
-    idf = df.join(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return weighted(tf, idf).select("term", "id", "w"), idf
+    """(postings(term, id, w), idf(term, idf)): sublinear counts, smooth idf, vectors of length 1, the most frequent terms.
+
+    Both are written once; searches and saves read them.
+    """
+    rows = chunks.where(F.trim(text) != "")
+    tf = written(counted(rows, key, text))
+    return of_counts(tf, tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), rows.agg(F.count("*").alias("n")), most)
+
+
+def of_counts(tf: DataFrame, df: DataFrame, n: DataFrame, most: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
+    """The index of tf(term, id, tf), given the sums df(term, df, total) and the one row n(n)."""
+    kept = df.orderBy(F.col("total").desc(), "term").limit(most)
+    idf = written(kept.join(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    return written(weighted(tf, idf).select("term", "id", "w")), idf
 
 
 def save_index(postings: DataFrame, idf: DataFrame, path: str) -> None:
@@ -58,23 +66,55 @@ def weighted(tf: DataFrame, idf: DataFrame) -> DataFrame:
 
 #: Terms of a query that are looked up at first: their partial scores bound the k-th best one from below.
 FIRST = 8
-#: Postings of an index that queries are simply joined with.
-SMALL = 200_000
+#: Postings of an index that queries are simply joined with; chunks of a range, about.
+SMALL, RANGE_CHUNKS = 200_000, 64
 
 
-def _reaching(q: DataFrame, postings: DataFrame, fits: Column, part: Column, k: int) -> DataFrame:
-    """(q, id, part): all that the terms of q add to chunks which can be among the k best of a query, in one or two parts."""
-    q = q.join(postings.groupBy("term").agg(F.max("w").alias("top")), "term").withColumn("most", F.col("qw") * F.col("top"))
+def blocked(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings with range, blocks(term, range, top)): a range is RANGE_CHUNKS neighbours in the order of ids, a block a term's postings there.
+
+    Pieces of one document follow each other and are alike, so maxima of blocks say more than those of chance groups.
+    """
+    ids = postings.select("id").distinct().repartitionByRange("id").withColumn("_p", F.spark_partition_id().cast("long"))
+    ids = written(ids)
+    at = (F.row_number().over(Window.partitionBy("_p").orderBy("id")) - 1) / RANGE_CHUNKS
+    ranges = ids.select("id", (F.shiftleft("_p", 40) + F.floor(at)).alias("range"))
+    dealt = written(postings.join(ranges, "id"))
+    return dealt, written(dealt.groupBy("term", "range").agg(F.max("w").alias("top")))
+
+
+def reach(q: DataFrame, postings: DataFrame, blocks: DataFrame, fits: Column, part: Column, k: int) -> tuple[DataFrame, DataFrame]:
+    """(the terms of q with reaches, the ranges that may hold one of a query's k best: (q, range)).
+
+    Terms are taken in the order of what they can add. FIRST of them give a k-th best partial score; a term reaches if it
+    and those after it can still add up to that. A range stays if its blocks' maxima for reaching terms, with all that the
+    other terms add anywhere, come up to that score.
+    """
+    tops = blocks.groupBy("term").agg(F.max("top").alias("top"))
+    q = q.join(tops, "term").withColumn("most", F.col("qw") * F.col("top")).drop("top")
     order = Window.partitionBy("q").orderBy(F.col("most").desc(), "term")
-    q = cut(q.withColumns({"rank": F.row_number().over(order), "rest": F.sum("most").over(order.rowsBetween(0, Window.unboundedFollowing))}))
+    q = written(q.withColumns({"rank": F.row_number().over(order), "rest": F.sum("most").over(order.rowsBetween(0, Window.unboundedFollowing))}))
     partial = q.where(F.col("rank") <= FIRST).join(postings, "term").where(fits).groupBy("q", "id").agg(part)
     kth = partial.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.col("part").desc()))).where(F.col("place") == k).select("q", F.col("part").alias("least"))
-    split = q.join(kth, "q", "left").withColumn("reaches", F.col("rest") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
-    # what the reaching terms give, and, for the chunks that hold one, what the frequent rest adds
-    first = split.where("reaches").join(postings, "term").where(fits).groupBy("q", "id").agg(part)
+    split = q.join(kth, "q", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    split = written(split.withColumn("reaches", F.col("rest") >= F.col("least") - 1e-9))
+    # the largest rest of what does not reach is all that it can add
+    others = split.where("not reaches").groupBy("q").agg(F.max("rest").alias("other"))
+    bounds = split.where("reaches").join(blocks, "term").groupBy("q", "range").agg(F.sum(F.col("qw") * F.col("top")).alias("bound"), F.max("least").alias("least"))
+    likely = bounds.join(others, "q", "left").where(F.col("bound") + F.coalesce("other", F.lit(0.0)) >= F.col("least") - 1e-9).select("q", "range")
+    return split, likely
+
+
+def _reaching(q: DataFrame, postings: DataFrame, fits: Column, part: Column, k: int) -> DataFrame:
+    """(q, id, part): all that the terms of q add to chunks which can be among the k best of a query, in one or two parts."""
+    postings, blocks = blocked(postings)
+    split, likely = reach(q, postings, blocks, fits, part, k)
+    # what the reaching terms give in the ranges left, and, for the chunks that hold one, what the frequent rest adds
+    first = split.where("reaches").join(likely, "q").join(postings, ["term", "range"]).where(fits).groupBy("q", "id", "range").agg(part)
+    first = written(first)
     others = split.where("not reaches").select("q", "term", "qw")
-    more = first.select("q", "id").join(others, "q").join(postings.select("id", "term", "w"), ["id", "term"]).groupBy("q", "id").agg(part)
-    return first.unionByName(more)
+    more = first.select("q", "id", "range").join(others, "q").join(postings.select("id", "term", "range", "w"), ["id", "term", "range"]).groupBy("q", "id").agg(part)
+    return first.drop("range").unionByName(more)
 
 
 def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: str, chunk_text: str, k: int = 4, course: str | None = None, prompt: str | None = None, approved: str | None = None, indexed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -83,18 +123,17 @@ def search(queries: DataFrame, key: str, text: str, chunks: DataFrame, chunk: st
     With course, only chunks of the query's course compete (all, if it has none); with prompt, only those of its prompt or
     of none. Weights come from all chunks.
 
-    A frequent term would meet every chunk, so terms are taken in the order of what they can add at most: FIRST of them
-    give a k-th best partial score, and only chunks that hold a term from which on the rest can still reach that score are
-    scored in full. This loses none of the k best. A small index is joined as it is, which gives the same.
+    A frequent term would meet every chunk, so only ranges of chunks whose blocks can reach the k-th best partial score are
+    looked at, and only chunks there that hold a term which reaches are scored in full: see reach(). This loses none of
+    the k best. A small index is joined as it is, which gives the same.
     """
     chunks = approved_chunks(chunks, chunk_text, approved)
     postings, idf = indexed or index(chunks, chunk, chunk_text)
+    small = postings.limit(SMALL + 1).count() <= SMALL
     limits = [c for c in (course, prompt) if c]
     if limits:
         blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
         postings = postings.join(chunks.select(F.col(chunk).alias("id"), *(blank(c).alias(f"c_{c}") for c in limits)), "id")
-    small = postings.limit(SMALL + 1).count() <= SMALL
-    postings = postings if small else cut(postings)
     q = weighted(counted(queries, key, text), idf).select("term", F.col("id").alias("q"), F.col("w").alias("qw"))
     if limits:
         q = q.join(queries.select(F.col(key).alias("q"), *(blank(c).alias(f"q_{c}") for c in limits)), "q")

@@ -8,15 +8,16 @@ vectors, benchmark texts are retrieval chunks, events an audit log, conversation
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import quality, text
 from gradeloom.functions.pii import anonymized
-from gradeloom.operators import agreement, dedup, evaluation, retrieval, sampling
+from gradeloom.operators import agreement, dedup, evaluation, retrieval, sampling, stores
 from gradeloom.plans.rules import apply_rules
-from gradeloom.session import written
+from gradeloom.session import app_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -332,6 +333,18 @@ def retrieve_of_course(spark, sf_dir):
     return retrieval.search(turns, "turn_id", "text", chunks, "item_id", "text", course="course", prompt="prompt", approved="approved")
 
 
+@query(ORACLES["retrieve_passages"])
+def retrieve_by_segments(spark, sf_dir):
+    """The same from a store to which the chunks came in three batches, one of them from another store."""
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    chunks, folder = read(spark, sf_dir, "benchmark"), f"{app_folder(spark)}/index-{uuid4().hex}"
+    store, other = stores.TermIndex(spark, f"{folder}/a"), stores.TermIndex(spark, f"{folder}/b")
+    for part, to in enumerate((store, store, other)):
+        to.add(chunks.where(F.pmod("item_id", F.lit(3)) == part), "item_id", "text")
+    store.merge(other)
+    return retrieval.search(turns, "turn_id", "text", chunks, "item_id", "text", indexed=store.view())
+
+
 # --- rules, joins, reports -------------------------------------------------------------------------------------------
 
 RULES = [
