@@ -1,11 +1,13 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 10).
 
 Words are lower-cased runs of letters, digits and non-ASCII bytes. A first pass counts, over all documents, in how many
-documents each n-gram of the benchmark occurs. All that occur are seeds, common ones too: an edited or partial copy may
-hold no other. A second pass finds seeds in each whole text and aligns the item with the stretch around them, where it
-is read: texts are never shuffled. Stretches that hold too few of the item's words to reach the score aren't aligned.
+documents each n-gram of the benchmark occurs. Those in at most RARE_DOCS documents are seeds by themselves; a common one
+is a seed together with another n-gram of the item at about the right distance, as an edited or partial copy has: two
+common ones meet there by chance far less often than one is met. A second pass finds seeds in each whole text and aligns
+the item with the stretch around them, where it is read: texts are never shuffled. Whether a stretch's words can reach
+the score is told for all stretches at once, and only those that can are aligned.
 The local alignment (match 2, mismatch and gap -1) is scored against a full match of the item. A copy of which no n
-words in a row are left has no seed and isn't found.
+words in a row are left has no seed and isn't found, nor one of which a single n-gram is left that is common.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more passes, each of
 which is written before the next one, so the driver holds one block.
@@ -32,6 +34,8 @@ MIN_RATIO, MIN_WORDS = 0.5, 8
 LONG_WORDS = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
+#: Documents that an n-gram may occur in to be a seed by itself: so many alignments an n-gram at most, whatever the corpus.
+RARE_DOCS = 100
 #: Words a copy may be longer than its item, as a share: the stretch around a seed that is aligned.
 SLACK = 0.5
 
@@ -76,11 +80,15 @@ class Items:
         self.gram = np.array([x for x, _, _ in found], np.uint64)
         self.item = np.array([k for _, k, _ in found], np.int64)
         self.place = np.array([p for _, _, p in found], np.int64)
-        self.use(np.ones(len(found), bool))
+        self.size = np.array([len(ws) for ws in self.words], np.int64)
+        self.extra = (self.size * SLACK).astype(np.int64) + 2
+        self.kinds = [np.unique(ws, return_counts=True) for ws in self.words]
+        self.use(np.zeros(len(found), np.int64), np.ones(len(found), bool))
 
-    def use(self, keep: np.ndarray) -> None:
-        """Seeds are the n-grams marked in keep."""
-        at = np.flatnonzero(keep)
+    def use(self, count: np.ndarray, keep: np.ndarray | None = None) -> None:
+        """Seeds are the n-grams of which count documents are known (or those in keep); up to RARE_DOCS they are rare."""
+        at = np.flatnonzero(count > 0 if keep is None else keep)
+        self.rare = count <= RARE_DOCS
         self.at = at[np.argsort(self.gram[at], kind="stable")]
         self.sorted = self.gram[self.at]
         self.known = np.unique(self.sorted)
@@ -111,25 +119,84 @@ class Items:
         many = hi - lo
         seed = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at, seed = np.repeat(at, many), self.at[seed]
-        item, begin = self.item[seed], at - self.place[seed]
-        order = np.lexsort((begin, item, row[at]))
-        item, begin, own = item[order], begin[order], row[at][order]
+        item, begin, own = self.item[seed], at - self.place[seed], row[at]
+        order = np.lexsort((begin, item, own))
+        item, begin, own, seed = item[order], begin[order], own[order], seed[order]
+        item, begin, own = self.supported(item, begin, own, seed)
+        if not len(item):
+            return
+        # stretches of one text that touch are aligned together
+        size, extra = self.size[item], self.extra[item]
+        head = np.ones(len(item), bool)
+        head[1:] = (item[1:] != item[:-1]) | (own[1:] != own[:-1]) | (begin[1:] - extra[1:] > begin[:-1] + size[:-1] + extra[:-1])
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(item)) - 1
         heads = np.searchsorted(row, np.arange(len(part) + 1))
-        k = 0
-        while k < len(item):
-            # stretches of one text that touch are aligned together
+        item, own = item[first], own[first]
+        size, extra = size[first], extra[first]
+        a = np.maximum(begin[first] - extra, heads[own])
+        z = np.minimum(begin[last] + size + extra, heads[own + 1])
+        least = np.maximum(MATCH * np.minimum(min_ratio * size, LONG_WORDS), np.where(size < 2 * MIN_WORDS, MATCH * np.minimum(MIN_WORDS, size), 0))
+        likely = np.flatnonzero(self.may_reach(words, item, a, z, least))
+        for k in likely[best_scores([self.words[item[k]] for k in likely], [words[a[k] : z[k]] for k in likely]) >= least[likely]]:
             wanted = self.words[item[k]]
-            m, extra = len(wanted), int(len(wanted) * SLACK) + 2
-            e, end = k + 1, begin[k] + m + extra
-            while e < len(item) and item[e] == item[k] and own[e] == own[k] and begin[e] - extra <= end:
-                end, e = begin[e] + m + extra, e + 1
-            a, z = max(begin[k] - extra, heads[own[k]]), min(end, heads[own[k] + 1])
-            least = max(MATCH * min(min_ratio * m, LONG_WORDS), MATCH * min(MIN_WORDS, m) if m < 2 * MIN_WORDS else 0)
-            # no alignment scores more than a match for each word that stands in the stretch
-            score, first, last = align(wanted, words[a:z]) if MATCH * np.isin(wanted, words[a:z]).sum() >= least else (-1, 0, 0)
-            if score >= least:
-                yield int(own[k]), int(item[k]), score / (MATCH * m), int(a - heads[own[k]] + first), int(a - heads[own[k]] + last)
-            k = e
+            score, start, end = align(wanted, words[a[k] : z[k]])
+            yield int(own[k]), int(item[k]), score / (MATCH * len(wanted)), int(a[k] - heads[own[k]] + start), int(a[k] - heads[own[k]] + end)
+
+    def supported(self, item: np.ndarray, begin: np.ndarray, own: np.ndarray, seed: np.ndarray):
+        """(item, begin, own) of the hits that are rare, or have another n-gram of the item within the slack and in its order.
+
+        Hits are in order of begin; each is held against the three before and behind it.
+        """
+        # an item of one n-gram has no other
+        keep, place = self.rare[seed] | (self.size[item] <= self.n), self.place[seed]
+        for lag in (1, 2, 3):
+            near = (item[lag:] == item[:-lag]) & (own[lag:] == own[:-lag]) & (begin[lag:] - begin[:-lag] <= self.extra[item[lag:]])
+            apart, read = place[lag:] - place[:-lag], begin[lag:] + place[lag:] - begin[:-lag] - place[:-lag]
+            near &= (apart != 0) & (np.sign(apart) == np.sign(read))
+            keep[lag:] |= near
+            keep[:-lag] |= near
+        return item[keep], begin[keep], own[keep]
+
+    def may_reach(self, words: np.ndarray, item: np.ndarray, a: np.ndarray, z: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether matches for the words that an item and its stretch have in common, with repeats, come to least."""
+        out = np.zeros(len(item), bool)
+        for k, (i, start, end, needed) in enumerate(zip(item.tolist(), a.tolist(), z.tolist(), (least / MATCH).tolist())):
+            kinds, many = self.kinds[i]
+            at = kinds.searchsorted(words[start:end])
+            at[at == len(kinds)] = 0
+            found = np.bincount(at[kinds[at] == words[start:end]], minlength=len(kinds))
+            out[k] = np.minimum(found, many).sum() >= needed
+        return out
+
+
+def best_scores(items: list[np.ndarray], texts: list[np.ndarray], cells: int = 1 << 18) -> np.ndarray:
+    """The score of align() for each item and its text: pairs of like size go through each step together."""
+    out = np.zeros(len(items), np.int64)
+    order = sorted(range(len(items)), key=lambda k: (len(texts[k]), len(items[k])))
+    at = 0
+    while at < len(order):
+        end, longest = at + 1, len(texts[order[at]])
+        while end < len(order) and (end + 1 - at) * len(texts[order[end]]) <= cells and len(texts[order[end]]) <= 1.5 * longest + 16:
+            end += 1
+        some = order[at:end]
+        m, n = max(len(items[k]) for k in some), max(len(texts[k]) for k in some)
+        # what fills up short items and texts equals nothing
+        wanted, words, real = np.zeros((len(some), m), np.uint64), np.zeros((len(some), n), np.uint64), np.zeros((len(some), n), bool)
+        for r, k in enumerate(some):
+            wanted[r, : len(items[k])], words[r, : len(texts[k])], real[r, : len(texts[k])] = items[k], texts[k], True
+        size = np.array([len(items[k]) for k in some])
+        ramp = (np.arange(n) * -GAP).astype(np.int32)
+        high, best = np.zeros((len(some), n + 1), np.int32), np.zeros(len(some), np.int32)
+        for i in range(m):
+            same = (words == wanted[:, i : i + 1]) & real & (size > i)[:, None]
+            top = np.maximum(high[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), high[:, 1:] + np.int32(GAP))
+            top = np.maximum(top, 0) + ramp
+            high[:, 1:] = np.maximum.accumulate(top, axis=1) - ramp
+            best = np.maximum(best, high.max(axis=1))
+        out[some] = best
+        at = end
+    return out
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
@@ -166,7 +233,7 @@ def with_seeds(docs: DataFrame, items: Items) -> Items:
         for r in docs.select("text").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
             n[r.k] = r.n
     count = n[np.searchsorted(items.known, items.gram)] if len(n) else np.zeros(0, np.int64)
-    items.use(count > 0)
+    items.use(count)
     return items
 
 
