@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gradeloom.functions import features, records
+from gradeloom.functions import features, quality, records
 from gradeloom.functions.features import CONNECTIVES, STOP_WORDS
 from gradeloom.functions.text import VIETNAMESE
-from gradeloom.functions.vietnamese import ABBREVIATIONS, TONED, TONELESS, count_abbreviations, strip_tone, syllable_pattern
+from gradeloom.functions.vietnamese import ABBREVIATIONS, TONED, TONELESS, count_abbreviations, expand_abbreviations, strip_tone, syllable_pattern
 from gradeloom.operators import agreement, dedup, evaluation, models, resampling, retrieval, sampling, structured, traits
 from gradeloom.plans import pipelines, reports
 from gradeloom.queries import METRICS, ORACLES, QUERIES, RATINGS, query, ratings, read, rounded
@@ -90,6 +90,21 @@ def confusion_evidence(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(features.confusions(F.coalesce("text", F.lit(""))), "; ").alias("confusions"))
 
 
+_LETTERS = r"regexp_replace(t, '[^\pL]', '', 'g')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, trim(coalesce(text, ''), {_BLANKS}) AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(lower(t), '[\pL\pN_]+') AS ws, {_TIDY("string_split(lower(t), chr(10))")} AS ls, {_SENTENCES} AS ss, {_LETTERS} AS lt FROM d),
+f AS (SELECT doc_id, len(ws) AS n, len(ls) AS n_lines, len(ss) AS n_ss, round(CASE WHEN len(lt) > 0 THEN (length(t) - length(translate(t, '{VIETNAMESE}{VIETNAMESE.upper()}', ''))) / length(lt) ELSE 0 END, 4) AS dia,
+  round(CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws) ELSE 0 END, 4) AS uni, round(CASE WHEN length(lt) > 0 THEN (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g'))) / length(lt) ELSE 0 END, 4) AS up,
+  round(1 - CASE WHEN length(lt) > 0 THEN length(regexp_replace(lt, '[^a-zA-Z\x{{C0}}-\x{{1EF9}}]', '', 'g')) / length(lt) ELSE 0 END, 4) AS foreig, round(CASE WHEN len(ls) > 0 THEN 1 - len(list_distinct(ls)) / len(ls) ELSE 0 END, 4) AS rep FROM w),
+r AS (SELECT doc_id, n < 20 AS r1, n > 5000 AS r2, dia < 0.05::DOUBLE AND n >= 20 AS r3, foreig > 0.3::DOUBLE AS r4, uni < 0.15::DOUBLE AND n >= 20 AS r5, NOT (dia < 0.05::DOUBLE AND n >= 20) AND dia < 0.12::DOUBLE AS f1, rep > 0.5::DOUBLE AND n_lines > 4 AS f2, up > 0.5::DOUBLE AND n > 30 AS f3, n_ss < 2 AND n >= 20 AS f4 FROM f)
+SELECT doc_id, CASE WHEN r1 OR r2 OR r3 OR r4 OR r5 THEN 'reject' WHEN f1 OR f2 OR f3 OR f4 THEN 'flag' ELSE 'keep' END AS decision,
+  array_to_string(list_filter([CASE WHEN r1 THEN 'too_short' END, CASE WHEN r2 THEN 'too_long' END, CASE WHEN r3 THEN 'no_diacritics' END, CASE WHEN f1 THEN 'few_diacritics' END, CASE WHEN r4 THEN 'foreign' END, CASE WHEN r5 THEN 'repeated_words' END, CASE WHEN f2 THEN 'repeated_lines' END, CASE WHEN f3 THEN 'upper_case' END, CASE WHEN f4 THEN 'no_sentences' END], lambda x: x IS NOT NULL), '|') AS reasons FROM r""")
+def quality_verdicts(spark, sf_dir):
+    return quality.assess(read(spark, sf_dir, "documents")).select("doc_id", "decision", "reasons")
+
+
 _U = lambda bag: f"('0x' || substr(sha256('42:{bag}:' || doc_id), 1, 12))::BIGINT / pow(16.0::DOUBLE, 12)"
 _TIMES = lambda u: " + ".join(f"CAST({u} >= {x}::DOUBLE AS INT)" for x in traits.POISSON)
 
@@ -114,7 +129,16 @@ def trait_ridges(spark, sf_dir):
     return rounded(traits.trait_scores(found, d, "doc_id"))
 
 
-@query()
+_FACTORS = lambda ws: (  # noqa: E731  runs of words that keep a type-token ratio over 0.72, and a part for the last one
+    f"list_reduce(list_concat([{{'w': NULL::VARCHAR, 'f': 0.0::DOUBLE, 'seen': []::VARCHAR[], 'size': 0::BIGINT}}], list_transform({ws}, lambda w: {{'w': w, 'f': 0.0::DOUBLE, 'seen': []::VARCHAR[], 'size': 0::BIGINT}})), "
+    "lambda a, x: CASE WHEN (len(a.seen) + CAST(NOT list_contains(a.seen, x.w) AS INT)) / (a.size + 1) <= 0.72::DOUBLE THEN {'w': NULL::VARCHAR, 'f': a.f + 1, 'seen': []::VARCHAR[], 'size': 0::BIGINT} "
+    "ELSE {'w': NULL::VARCHAR, 'f': a.f, 'seen': CASE WHEN list_contains(a.seen, x.w) THEN a.seen ELSE list_append(a.seen, x.w) END, 'size': a.size + 1} END)"
+)
+_RUN = lambda a: f"({a}.f + CASE WHEN {a}.size > 0 THEN (1 - len({a}.seen) / {a}.size) / (1 - 0.72::DOUBLE) ELSE 0 END)"
+
+
+@query(f"""WITH {_D}, w AS (SELECT doc_id, {_LOW} AS ws FROM d), f AS (SELECT *, {_FACTORS("ws")} AS a, {_FACTORS("list_reverse(ws)")} AS b FROM w)
+SELECT doc_id, round(CASE WHEN len(ws) < 20 THEN len(list_distinct(ws)) ELSE (coalesce(len(ws) / nullif({_RUN("a")}, 0), len(ws)) + coalesce(len(ws) / nullif({_RUN("b")}, 0), len(ws))) / 2 END, 6) AS mtld FROM f""")
 def vocabulary_diversity(spark, sf_dir):
     from gradeloom.functions.vietnamese import words
 
@@ -138,6 +162,15 @@ def syllable_check(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(features.suspects(F.coalesce("text", F.lit("")))).alias("n_suspects"))
 
 
+_FULL = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in ABBREVIATIONS.items()) + "}"
+
+
+@query(rf"""WITH {_D}, p AS (SELECT doc_id, regexp_extract_all(t, '[\pL\pN_]+|[^\pL\pN_]+') AS ps FROM d)
+SELECT doc_id, coalesce(array_to_string(list_transform(ps, lambda w: coalesce(CASE WHEN regexp_matches(w, '^\p{{Lu}}') THEN upper({_FULL}[lower(w)][1]) || lower({_FULL}[lower(w)][2:]) ELSE {_FULL}[lower(w)] END, w)), ''), '') AS text FROM p""")
+def expanded_texts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", expand_abbreviations(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 @query(rf"""WITH {_D} SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(t), '[\pL\pN_]+'), lambda w: list_contains([{_quoted(ABBREVIATIONS)}], w))) AS INT) AS n_abbreviations,
 md5(translate(lower(t), '{TONED}', '{TONELESS}')) AS toneless_md5 FROM d""")
 def abbreviations(spark, sf_dir):
@@ -267,7 +300,13 @@ def icc(spark, sf_dir):
     return rounded(agreement.icc(cells, "essay_id", "rater_id", "total"))
 
 
-@query()
+_SWEEP = lambda i: f"""t{i} AS MATERIALIZED (SELECT e, sum(s - n * beta) / sum(n) AS theta FROM c JOIN b{i} USING (r) GROUP BY e),
+b{i + 1} AS MATERIALIZED (SELECT r, sum(s - n * theta) / sum(n) AS beta FROM c JOIN t{i} USING (e) GROUP BY r)"""
+
+
+@query(f"""WITH {RATINGS}, g AS (SELECT essay_id AS e, rater_id AS r, count(*) AS n, sum(gold) AS s FROM ratings WHERE gold IS NOT NULL GROUP BY ALL),
+c AS MATERIALIZED (SELECT e, r, n, s - n * (SELECT avg(gold) FROM ratings) AS s FROM g), b0 AS (SELECT DISTINCT r, 0.0::DOUBLE AS beta FROM c), {", ".join(_SWEEP(i) for i in range(30))}
+SELECT r AS rater_id, round(beta, 6) AS leniency, CASE WHEN beta > 0.25::DOUBLE THEN 'lenient' WHEN beta < -0.25::DOUBLE THEN 'severe' ELSE 'balanced' END AS interpretation, CAST(sum(n) AS BIGINT) AS n_scored FROM b30 JOIN c USING (r) GROUP BY r, beta""")
 def rater_severity(spark, sf_dir):
     return rounded(agreement.rater_severity(ratings(spark, sf_dir), "essay_id", "rater_id", "gold"))
 
@@ -451,7 +490,11 @@ def stratified_pilot(spark, sf_dir):
     return sampling.stratified_pilot(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 50).select("doc_id", "bin", "place")
 
 
-@query()
+@query("WITH r AS (" + ORACLES["retrieve_passages"] + """),
+p AS (SELECT turn_id, list({'t': '[' || item_id || '] ' || text, 'kept': []::VARCHAR[], 'used': 0::BIGINT} ORDER BY place) AS ps FROM r JOIN benchmark USING (item_id) GROUP BY turn_id),
+s AS (SELECT turn_id, list_reduce(list_concat([{'t': '', 'kept': []::VARCHAR[], 'used': 0::BIGINT}], ps), lambda a, x: CASE WHEN a.used + length(x.t) + CASE WHEN len(a.kept) > 0 THEN 2 ELSE 0 END <= 600
+  THEN {'t': '', 'kept': list_append(a.kept, x.t), 'used': a.used + length(x.t) + CASE WHEN len(a.kept) > 0 THEN 2 ELSE 0 END} ELSE a END) AS s FROM p)
+SELECT turn_id, coalesce(array_to_string(s.kept, chr(10) || chr(10)), '') AS context, CAST(len(s.kept) AS INT) AS n_passages, CAST(s.used AS INT) AS n_chars FROM s""")
 def rag_context(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
     b = read(spark, sf_dir, "benchmark")
@@ -477,6 +520,19 @@ def cleaned_essays(spark, sf_dir):
     return pipelines.clean(d).select("essay_id", "prompt_id", "qc_decision", "qc_reasons", "dup_ratio", "dup_with", "n_words", "teencode_rate", F.md5("text").alias("text_md5"))
 
 
+@query(f"""WITH {RATINGS}, l AS (SELECT essay_id, rater_id, gold, pred, row_number() OVER (ORDER BY gold * confidence, essay_id * 1000 + rater_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT ON (essay_id, rater_id) * FROM ratings ORDER BY essay_id, rater_id, gold, pred, confidence)),
+q AS (SELECT CAST(greatest(0, {" + ".join(f"CAST(r > 1 + (n - 1) * {i / 4}::DOUBLE AS INT)" for i in range(5))} - 1) AS INT) AS exam, gold, pred FROM l),
+ratings2 AS (SELECT exam, gold, pred FROM q), b AS (SELECT exam, round_even(gold / 0.25, 0) AS i, round_even(pred / 0.25, 0) AS j FROM ratings2),
+k AS (SELECT exam, round(1 - count(*) * sum((i - j) ** 2) / (count(*) * (sum(i ** 2) + sum(j ** 2)) - 2 * sum(i) * sum(j)), 6) AS qwk FROM b GROUP BY exam), m AS (SELECT exam, {METRICS} FROM ratings2 GROUP BY exam HAVING count(*) >= 10)
+SELECT exam AS length_bin, n, qwk, mae, smd, bias, abs(smd) > 0.25 AS warn_bias, mae > min(mae) OVER () + 0.5 AS warn_mae FROM m JOIN k USING (exam)""")
+def length_bias(spark, sf_dir):
+    """Accuracy by quarters of a length, for which the gold score times the confidence stands in."""
+    first = Window.partitionBy("essay_id", "rater_id").orderBy("gold", "pred", "confidence")
+    d = ratings(spark, sf_dir).withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    d = d.withColumns({"key": F.col("essay_id") * 1000 + F.col("rater_id"), "length": F.col("gold") * F.col("confidence")})
+    return rounded(evaluation.length_bias(d, "key", "length", "gold", "pred"))
+
+
 # --- reports ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,13 +64,13 @@ def review_efficiency(df: DataFrame, a: str, b: str, review: Column, by: tuple[s
     )
 
 
-#: Thresholds in hundredths; as numbers they are exact decimals.
-GRID = range(30, 96, 5)
+#: Thresholds from 0.3 on in steps of 0.05, added up in floating point: a confidence of 0.6 lies below the seventh.
+GRID = tuple(float(x) for x in np.arange(0.30, 0.96, 0.05))
 
 
 def threshold_curve(df: DataFrame, a: str, b: str, confidence: str, tol: float = 1.0, grid=GRID) -> DataFrame:
     """review_efficiency() at each threshold: rows meet the fixed grid as an array, aggregated before any shuffle."""
-    at = F.explode(F.array(*(F.lit(t / 100) for t in grid))).alias("threshold")
+    at = F.explode(F.array(*(F.lit(float(t)) for t in grid))).alias("threshold")
     return review_efficiency(df.select(a, b, confidence, at), a, b, F.col(confidence) < F.col("threshold"), ("threshold",), tol)
 
 

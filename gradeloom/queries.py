@@ -151,8 +151,8 @@ def fairness_by_group(spark, sf_dir):
 _REVIEW = """round(avg(rev), 6) AS review_rate, round(avg(err), 6) AS error_rate_overall,
 round(coalesce(sum(err * (1 - rev)) / nullif(sum(1 - rev), 0), 0), 6) AS error_rate_auto_accepted, round(coalesce(sum(err * rev) / nullif(sum(err), 0), 1), 6) AS recall_of_errors,
 round(coalesce(sum(err * rev) / nullif(sum(rev), 0), 0), 6) AS precision_of_review, CAST(sum(1 - rev) AS DOUBLE) AS n_auto_accepted, round(sum(1 - rev) / count(*), 6) AS workload_saved"""
-_CURVE = f"""r AS (SELECT threshold, CAST(abs(gold - pred) > 0.5 AS INT) AS err, CAST(confidence < threshold AS INT) AS rev FROM ratings, (SELECT unnest(range(30, 96, 5)) / 100 AS threshold)),
-curve AS (SELECT threshold, {_REVIEW} FROM r GROUP BY threshold)"""
+_CURVE = f"""r AS (SELECT threshold, CAST(abs(gold - pred) > 0.5 AS INT) AS err, CAST(confidence < threshold AS INT) AS rev FROM ratings, (SELECT 0.3::DOUBLE + unnest(range(14)) * (0.3::DOUBLE + 0.05::DOUBLE - 0.3::DOUBLE) AS threshold)),
+curve AS (SELECT round(threshold, 6) AS threshold, {_REVIEW} FROM r GROUP BY threshold)"""
 
 
 @query(f"WITH {RATINGS}, {_CURVE} SELECT * FROM curve")
@@ -224,7 +224,32 @@ _DIA = f"length(translate(t, '{_VN}{_VN.upper()}', ''))"
 _LET = r"(length(t) - length(regexp_replace(t, '\pL', '', 'g')))"
 
 
-@query()
+# Cleaning in SQL, step by step. RE2 has no references and doesn't look around, so repeats are told by neighbours in a list,
+# and what needs its neighbour is replaced twice.
+_sql = lambda s: "'" + s.replace("'", "''") + "'"
+
+
+def _replaced(x: str, pairs) -> str:
+    for a, b in pairs:
+        x = f"replace({x}, {_sql(a)}, {_sql(b)})"
+    return x
+
+
+_SPACES = r"\t-\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_FACE = lambda x: rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])[:;=8][\-o*'']?[)\](\[dDpP/\\:}}{{@|]+($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1 \2', 'g')"
+_APART = lambda x: rf"regexp_replace({x}, '([,.;:!?])([^{_SPACES}\p{{Nd}})\]}}…])', '\1 \2', 'g')"
+_CLEAN = rf"""c1 AS (SELECT doc_id, regexp_replace(regexp_replace(translate(regexp_replace({_replaced("coalesce(text, '')", text.ENTITIES)}, '{text.TAG}', ' ', 'g'), '{text.INVISIBLE}', ''), '\r\n?', chr(10), 'g'), '{text.CONTROL}', '', 'g') AS t FROM documents),
+c2 AS (SELECT doc_id, {_FACE(_FACE(f"regexp_replace(regexp_replace(t, '{text.URL}', '<URL>', 'g'), '{text.EMOJI}', ' ', 'g')"))} AS t FROM c1),
+c3 AS (SELECT doc_id, string_split(t, '') AS cs FROM c2),
+c4 AS (SELECT doc_id, array_to_string(list_filter(cs, lambda c, i: i = 1 OR c = chr(10) OR cs[i - 1] <> c OR NOT (coalesce(cs[i - 2] = c AND i > 2, false) OR coalesce(cs[i + 1] = c, false))), '') AS t FROM c3),
+c5 AS (SELECT doc_id, translate(translate({_replaced("t", [p for a, b in text.TONES for p in ((a, b), (a.upper(), b.upper()))])}, {_sql(text.QUOTES)}, {_sql(text.PLAIN_QUOTES)}), {_sql(text.DASHES)}, {_sql(text.PLAIN_DASHES)}) AS t FROM c4),
+c6 AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!+', '!', 'g'), '\?+', '?', 'g'), '\.+', '.', 'g'), ',+', ',', 'g'), ';+', ';', 'g'), ':+', ':', 'g') AS t FROM c5),
+c7 AS (SELECT doc_id, regexp_replace({_APART(_APART(rf"regexp_replace(t, '[{_SPACES}]+([,.;:!?%)\]}}…])', '\1', 'g')"))}, '([(\[{{])[{_SPACES}]+', '\1', 'g') AS t FROM c6),
+c8 AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(t, '[ \t\x{{A0}}]+', ' ', 'g'), chr(10)), lambda x: trim(x, {_STRIP})), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {_STRIP}) AS text FROM c7)"""
+
+
+@query(f"WITH {_CLEAN} SELECT doc_id, text FROM c8")
 def clean_texts(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     return d.select("doc_id", text.clean_text(F.coalesce("text", F.lit(""))).alias("text"))
@@ -242,11 +267,6 @@ def text_figures(spark, sf_dir):
     return d.select("doc_id", "n_words", "n_lines", "diacritic_ratio", "unique_word_ratio", "upper_ratio", "repeat_line_ratio")
 
 
-@query()
-def quality_verdicts(spark, sf_dir):
-    return quality.assess(read(spark, sf_dir, "documents")).select("doc_id", "decision", "reasons")
-
-
 @query()
 def anonymized_texts(spark, sf_dir):
     return anonymized(read(spark, sf_dir, "documents").select("doc_id", "text"))
