@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -12,8 +13,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 from gradeloom.functions import features, text
 from gradeloom.functions.vietnamese import words
 from gradeloom.operators.dedup import prompt_copy
+from gradeloom.operators.traits import summed
 from gradeloom.plans.pipelines import normalized
-from gradeloom.session import cut
+from gradeloom.session import cut, written
 
 # The features of each criterion.
 FEATURE_GROUPS = {
@@ -70,35 +72,66 @@ def char_grams(c: Column, shortest: int = 2, longest: int = 5) -> Column:
     return char_terms(c, shortest, longest)
 
 
-def tfidf_encoder(components: int = 64, buckets: int = 1 << 15) -> Callable[[DataFrame, str], Encoder]:
+#: Buckets of terms, width of the sketch that directions are looked for in, places of it that a term adds to.
+BUCKETS, WIDTH, PLACES = 1 << 15, 512, 4
+
+
+def _sketched(ids: pd.Series, idf: np.ndarray, place: np.ndarray, sign: np.ndarray, width: int) -> np.ndarray:
+    """(rows, width): sublinear counts times idf of each row's buckets, of length 1, added up by sign at each bucket's places."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    flat = np.concatenate([np.asarray(x, np.int64) for x in ids]) if sizes.sum() else np.zeros(0, np.int64)
+    key, count = np.unique(np.repeat(np.arange(len(ids)), sizes) * len(idf) + flat, return_counts=True)
+    row, bucket = key // len(idf), key % len(idf)
+    x = (1 + np.log(count)) * idf[bucket]
+    norm = np.sqrt(np.bincount(row, x * x, len(ids)))
+    x = x / norm[row]
+    out = np.zeros(len(ids) * width)
+    for j in range(place.shape[1]):
+        out += np.bincount(row * width + place[bucket, j], x * sign[bucket, j], len(ids) * width)
+    return out.reshape(len(ids), width) / np.sqrt(place.shape[1])
+
+
+def tfidf_encoder(components: int = 64, buckets: int = BUCKETS, width: int = WIDTH, seed: int = 42) -> Callable[[DataFrame, str], Encoder]:
     """fit(df, text) -> encoder: hashed character runs of 2 to 5, sublinear counts, idf, principal directions, length 1.
 
-    Terms are hashed where the text is read, so no vocabulary is counted; the buckets bound the matrix that the
-    directions are fitted on. Directions are those of the run: signs and rotations aren't those of another library.
+    Terms are hashed where the text is read, so no vocabulary is counted. One pass counts the texts of each bucket. A second
+    one adds each text's terms up by random signs in a sketch of width numbers, which keeps products of texts to about
+    1 / sqrt(width), and sums the products of the sketch's columns over all texts; their first directions are a matrix of
+    width times components, which is all that projecting a text needs. Directions are those of the run.
     """
-    from pyspark.ml.feature import IDF, HashingTF
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    rng = np.random.default_rng(seed)
+    place, sign = rng.integers(0, width, (buckets, PLACES)), rng.choice([-1.0, 1.0], (buckets, PLACES))
 
-    def fit(df: DataFrame, body: str) -> Encoder:
-        counts = HashingTF(inputCol="_g", outputCol="_tf", numFeatures=buckets)
-        grams = lambda d, c: d.withColumn("_g", char_grams(F.coalesce(F.col(c), F.lit(""))))
-        tf = counts.transform(grams(df, body))
-        idf = IDF(inputCol="_tf", outputCol="_x").fit(tf)
-        rows = idf.transform(tf).select("_x").rdd.map(lambda r: Old.fromML(r[0]))
-        svd = RowMatrix(rows).computeSVD(min(components, buckets))
-        basis = df.sparkSession.sparkContext.broadcast(svd.V.toArray())  # buckets times components numbers
-
-        def project(v):
-            x = v.values @ basis.value[v.indices] if len(v.indices) else np.zeros(basis.value.shape[1])
-            norm = np.linalg.norm(x)
-            return (x / norm if norm else x).tolist()
+    def bucketed(d: DataFrame, c: str) -> DataFrame:
+        return d.withColumn("_b", F.transform(char_grams(F.coalesce(F.col(c), F.lit(""))), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int")))
 
-        to_vector = F.udf(project, ArrayType(DoubleType()))  # a sparse vector has no built-in product
+    def fit(df: DataFrame, body: str) -> Encoder:
+        rows = written(bucketed(df, body).select("_b"))
+        seen = rows.select(F.explode(F.array_distinct("_b")).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()  # a row a bucket
+        n, count = rows.count(), np.zeros(buckets)
+        for r in seen:
+            count[r.b] = r.n
+        idf = np.log((1 + n) / (1 + count)) + 1
+
+        def products(batches):
+            total = np.zeros((width, width))
+            for batch in batches:
+                y = _sketched(batch.column(0).to_pandas(), idf, place, sign, width)
+                total += y.T @ y
+            return {0: total.ravel()}
+
+        gram = summed(rows, products).get(0, np.zeros(width * width)).reshape(width, width)
+        basis = np.linalg.eigh(gram)[1][:, ::-1][:, :components]
+
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def project(ids: pd.Series) -> pd.Series:
+            x = _sketched(ids, idf, place, sign, width) @ basis
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            return pd.Series(list(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)))
 
         def encode(d: DataFrame, c: str, name: str) -> DataFrame:
             # cut, as a Python function can't be planned on top of the library's own ones
-            return cut(idf.transform(counts.transform(grams(d, c))).drop("_g", "_tf")).withColumn(name, to_vector("_x")).drop("_x")
+            return cut(bucketed(d, c)).withColumn(name, project("_b")).drop("_b")
 
         return encode
 
