@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from gradeloom.functions.vietnamese import ABBREVIATIONS, TONED, TONELESS, count
 from gradeloom.operators import agreement, dedup, evaluation, models, resampling, retrieval, sampling, structured, traits
 from gradeloom.plans import pipelines, reports
 from gradeloom.queries import METRICS, ORACLES, QUERIES, RATINGS, query, ratings, read, rounded
+from gradeloom.session import app_folder
+from gradeloom.sources import tables
 from gradeloom.streaming import submissions
 
 _WORDS = r"regexp_extract_all(t, '[a-zA-Z\x{C0}-\x{1EF9}]+')"
@@ -480,12 +484,12 @@ def group_holdout(spark, sf_dir):
     return sampling.group_holdout(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderpriority", ["1-URGENT"]).select("o_orderkey", "split")
 
 
-_U = "('0x' || substr(sha256('{0}:' || {1}), 1, 12))::BIGINT / pow(16.0::DOUBLE, 12)".format
+_UNIT = "('0x' || substr(sha256('{0}:' || {1}), 1, 12))::BIGINT / pow(16.0::DOUBLE, 12)".format
 
 
 @query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars NULLS FIRST, doc_id) AS r, count(*) OVER () AS n FROM documents),
 b AS (SELECT doc_id, CAST(greatest(0, {" + ".join(f"CAST(r > 1 + (n - 1) * {q / 5}::DOUBLE AS INT)" for q in range(6))} - 1) AS INT) AS bin FROM r)
-SELECT doc_id, bin, CAST(row_number() OVER (PARTITION BY bin ORDER BY {_U(42, "doc_id")}, doc_id) AS INT) AS place FROM b QUALIFY place <= 10""")
+SELECT doc_id, bin, CAST(row_number() OVER (PARTITION BY bin ORDER BY {_UNIT(42, "doc_id")}, doc_id) AS INT) AS place FROM b QUALIFY place <= 10""")
 def stratified_pilot(spark, sf_dir):
     return sampling.stratified_pilot(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 50).select("doc_id", "bin", "place")
 
@@ -501,7 +505,15 @@ def rag_context(spark, sf_dir):
     return retrieval.context(retrieval.search(turns, "turn_id", "text", b, "item_id", "text"), "turn_id", b, "item_id", "text", 600)
 
 
-@query()
+_SPACED = rf"""trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(nfc_normalize(coalesce(text, '')), '[ \t\x{{A0}}]+', ' ', 'g'), chr(10)), lambda x: trim(x, {_BLANKS})), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANKS})"""
+_MIDDLE = "substr(body, pos + 551, least(pos + 1100, length(body)) - pos - 550)"
+_END = f"CASE WHEN pos + 1100 < length(body) AND strpos({_MIDDLE}, chr(10)) > 0 THEN pos + 550 + length({_MIDDLE}) - strpos(reverse({_MIDDLE}), chr(10)) ELSE least(pos + 1100, length(body)) END"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT source, doc_id, {_SPACED} AS body FROM documents),
+s AS (SELECT source, doc_id, body, 0 AS pos, 0 AS i FROM b WHERE length(body) >= 80 UNION ALL SELECT source, doc_id, body, greatest(pos + 1, stop - 150), i + 1 FROM (SELECT *, {_END} AS stop FROM s) WHERE stop < length(body)),
+p AS (SELECT source, doc_id, i, trim(substr(body, pos + 1, stop - pos), {_BLANKS}) AS chunk FROM (SELECT *, {_END} AS stop FROM s))
+SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS INT) AS piece, chunk FROM p WHERE length(chunk) >= 80""")
 def page_chunks(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("source", "doc_id", "text")
     return retrieval.chunked(d, "source", "doc_id", "text")
@@ -533,6 +545,44 @@ def length_bias(spark, sf_dir):
     return rounded(evaluation.length_bias(d, "key", "length", "gold", "pred"))
 
 
+_BACK = "SELECT '{0}' AS kind, c_custkey, {1} AS c_name, c_acctbal, {2} AS note FROM d".format
+_GUARD = "CASE WHEN regexp_matches(ltrim({0}), '^[=+@-]') THEN '''' || {0} ELSE {0} END".format
+
+
+@query(
+    "WITH d AS (SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN '=1+1, \"x\"' WHEN c_custkey % 3 = 1 THEN ' -' || c_mktsegment ELSE 'two' || chr(10) || 'lines' END AS note FROM customer) "
+    + " UNION ALL ".join(_BACK(k, _GUARD("c_name"), _GUARD("note")) if k in ("csv", "tsv") else _BACK(k, "c_name", "note") for k in ("csv", "tsv", "jsonl", "parquet", "orc"))
+)
+def table_round_trips(spark, sf_dir):
+    """A table written and read back in each format; only cells of CSV are guarded against formulas."""
+    k = F.col("c_custkey") % 3
+    note = F.when(k == 0, '=1+1, "x"').when(k == 1, F.concat(F.lit(" -"), "c_mktsegment")).otherwise("two\nlines")
+    d = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", note.alias("note"))
+    folder, out = f"{app_folder(spark)}/round-{uuid4().hex}", None
+    for kind in ("csv", "tsv", "jsonl", "parquet", "orc"):
+        tables.write_table(d, f"{folder}/t.{kind}")
+        back = tables.load(spark, f"{folder}/t.{kind}", "c_custkey long, c_name string, c_acctbal double, note string")
+        back = back.select(F.lit(kind).alias("kind"), "c_custkey", "c_name", "c_acctbal", "note")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query(f"""WITH d AS (SELECT c_custkey, c_name, c_mktsegment, CASE c_custkey % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN ' true ' WHEN 2 THEN '0' WHEN 3 THEN 'no' WHEN 4 THEN '' END AS b FROM customer)
+SELECT c_custkey AS essay_id, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE c_name END AS text, coalesce(lower(trim(b)) IN ({_quoted(records.TRUE)}), true) AS ready,
+  array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'late' END, c_mktsegment], lambda x: x IS NOT NULL), '|') AS flags, CASE WHEN c_custkey % 7 BETWEEN 1 AND 5 THEN 'De_' || c_custkey % 7 ELSE '' END AS exam FROM d""")
+def record_fields(spark, sf_dir):
+    """Columns by other names, the first of several values, tolerant booleans, flags of texts and exams by digit."""
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer").select(k.alias("Essay_No"), F.col("c_name").alias("Bai_Lam"), "c_mktsegment", k)
+    d = tables.canonical(c, {"essay_id": ["id", "essay_no"], "text": ["content", "bai_lam"]})
+    b = F.element_at(F.array(*map(F.lit, ("Yes", " true ", "0", "no", "", None))), (k % 6 + 1).cast("int"))
+    flags = F.concat(F.when(k % 2 == 0, " late ;").otherwise(" , "), "c_mktsegment")
+    return d.select(
+        "essay_id", records.first_of(F.when(k % 4 != 0, F.col("text")).otherwise(""), F.col("c_mktsegment")).alias("text"), records.truth(b, True).alias("ready"),
+        F.array_join(records.flags_of_text(flags), "|").alias("flags"), records.exam_digit(F.concat(F.lit("exam "), (k % 7).cast("string"))).alias("exam"),
+    )
+
+
 # --- reports ---------------------------------------------------------------------------------------------------------
 
 
@@ -579,7 +629,12 @@ def table_fingerprint(spark, sf_dir):
     return reports.fingerprint(read(spark, sf_dir, "documents"), ["doc_id", "text", "source"])
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, lang, n_chars % 41 / 4 AS score FROM documents), b AS (SELECT *, CASE WHEN score <= 4 THEN 0 WHEN score <= 6 THEN 1 WHEN score <= 8 THEN 2 WHEN score <= 10.01 THEN 3 ELSE -1 END AS b FROM d),
+i AS (SELECT *, row_number() OVER (PARTITION BY lang, b ORDER BY {_UNIT(42, "doc_id")}, doc_id) AS i FROM b), j AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY i, b, doc_id) AS j, count(*) OVER (PARTITION BY lang) AS n FROM i),
+p AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, CAST(round_even(n * 0.15::DOUBLE, 0) AS BIGINT)) ELSE 0 END AS v0, CASE WHEN n >= 3 THEN greatest(1, CAST(round_even(n * (1 - 0.7::DOUBLE - 0.15::DOUBLE), 0) AS BIGINT)) ELSE 0 END AS t0 FROM j),
+q AS (SELECT *, CASE WHEN v0 + t0 >= n THEN CAST(n >= 3 AS INT) ELSE v0 END AS v, CASE WHEN v0 + t0 >= n OR n < 3 THEN CASE WHEN n >= 3 THEN 1 ELSE greatest(0, n - 1) END ELSE t0 END AS t FROM p),
+k AS (SELECT *, j * (v + t) // n AS k, (j - 1) * (v + t) // n AS was FROM q)
+SELECT doc_id, lang, score, CASE WHEN k = was THEN 'train' WHEN k * t // nullif(v + t, 0) > (k - 1) * t // nullif(v + t, 0) THEN 'test' ELSE 'validation' END AS split FROM k""")
 def exam_split(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") % 41 / 4).alias("score"))
     return sampling.exam_split(d, "doc_id", "lang", "score")

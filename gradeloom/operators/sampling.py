@@ -185,7 +185,7 @@ def exam_split(df: DataFrame, key: str, exam: str, score: str, seed: str = "42",
     """
     if not 0 < train < 1 or not 0 <= validation < 1 or train + validation >= 1:
         raise ValueError("the shares must lie between 0 and 1")
-    mixed = F.xxhash64(F.lit(seed), key)
+    mixed = unit_hash(seed, F.col(key))
     d = df.withColumn("_b", band(F.col(score)))
     d = d.withColumn("_i", F.row_number().over(Window.partitionBy(exam, "_b").orderBy(mixed, key)))
     line = Window.partitionBy(exam)

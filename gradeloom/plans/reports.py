@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.sources.tables import docx_bytes, xlsx_bytes
+from gradeloom.sources.tables import docx_bytes, pdf_bytes, xlsx_bytes
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -43,16 +43,19 @@ def ordered_fingerprint(df: DataFrame, columns: list[str], order: list[str], mos
 
 
 def bundle(tables: dict[str, DataFrame], path: str, title: str, expected: tuple[str, ...] = (), preview: int = 100) -> dict:
-    """Writes report.json, .html, .xlsx and .docx into a ZIP file on the driver: the first rows of each table, and what is missing."""
+    """Writes report.json, .html, .xlsx, .docx and .pdf into a ZIP file on the driver: the first rows of each table, as they say, and what is missing."""
     shown = {name: df.limit(preview).toPandas() for name, df in tables.items()}
     summary = {"title": title, "tables": {n: {"rows_shown": len(t), "columns": list(t.columns)} for n, t in shown.items()}, "missing": [e for e in expected if e not in tables]}
-    parts = [f"<h2>{html.escape(n)}</h2>{t.to_html(index=False, escape=True)}" for n, t in shown.items()]
+    heads = {n: f"{n} (first {preview} rows at most)" for n in shown}
+    rows = {heads[n]: [list(t.columns), *t.astype(object).where(t.notna(), None).values.tolist()] for n, t in shown.items()}
+    parts = [f"<h2>{html.escape(heads[n])}</h2>{t.to_html(index=False, escape=True)}" for n, t in shown.items()]
     gaps = "".join(f"<li>{html.escape(e)}</li>" for e in summary["missing"])
     page = f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{"".join(parts)}' + (f"<h2>Missing</h2><ul>{gaps}</ul>" if gaps else "")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("report.json", json.dumps(summary, ensure_ascii=False, indent=2, default=str))
         z.writestr("report.html", page)
-        z.writestr("report.xlsx", xlsx_bytes({n: [list(t.columns), *t.astype(object).where(t.notna(), None).values.tolist()] for n, t in shown.items()} or {"empty": []}))
-        z.writestr("report.docx", docx_bytes(title, {n: [list(t.columns), *t.astype(object).where(t.notna(), None).values.tolist()] for n, t in shown.items()}))
+        z.writestr("report.xlsx", xlsx_bytes({n: rows[heads[n]] for n in shown} or {"empty": []}))
+        z.writestr("report.docx", docx_bytes(title, rows))
+        z.writestr("report.pdf", pdf_bytes(title, rows))
     return summary

@@ -109,3 +109,18 @@ def test_place_of_equal_scores(spark):
     chunks = frame(spark, ["same text here"] * 5)
     got = retrieval.search(frame(spark, ["same text"]).withColumnRenamed("c", "q"), "q", "text", chunks, "c", "text", 3)
     assert [r.c for r in got.orderBy("place").collect()] == [0, 1, 2] and got.select(F.max("place").over(Window.partitionBy("q"))).first()[0] == 3
+
+
+def test_pdf_reports_are_well_formed():
+    import re
+
+    from gradeloom.sources.tables import pdf_bytes
+
+    got = pdf_bytes("Báo cáo (thử)", {"bảng một": [["a", "b"], *[[i, "x" * 200] for i in range(70)]], "hai": [[None, "đủ \\ chữ"]]})
+    assert got.startswith(b"%PDF-1.4") and got.endswith(b"%%EOF\n") and got.count(b"/Type /Page /Parent") == 4
+    places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", got)]
+    assert all(got[p:].startswith(f"{i} 0 obj".encode()) for i, p in enumerate(places, 1)) and int(got.split(b"startxref\n")[1].split(b"\n")[0]) == got.index(b"xref\n")
+    text = got.decode("latin-1")
+    for m in re.finditer(r"/Length (\d+) >>\nstream\n(.*?)\nendstream", text, re.S):
+        assert len(m[2]) == int(m[1])
+    assert "(Báo cáo \\(th" in text and "(bang m" in text and "du \\\\ ch" in text
