@@ -76,16 +76,23 @@ def _golay_tables() -> tuple[np.ndarray, np.ndarray]:
     The code is cyclic with generator x^11+x^9+x^7+x^6+x^5+x+1; a codeword's index is its upper twelve bits.
     """
     generator = 0b101011100011
-    rest = np.arange(1 << 23, dtype=np.int64)
-    syndrome = rest.copy()
-    for bit in range(22, 10, -1):
-        syndrome ^= np.where(syndrome >> bit & 1, generator << (bit - 11), 0)
-    fix = np.zeros(1 << 11, np.int64)
+
+    def remainder(words: np.ndarray) -> np.ndarray:
+        words = words.copy()
+        for bit in range(22, 10, -1):
+            words ^= np.where(words >> bit & 1, np.int32(generator << (bit - 11)), np.int32(0))
+        return words
+
+    fix = np.zeros(1 << 11, np.int32)
     for k in range(4):
         for bits in itertools.combinations(range(23), k):
             e = sum(1 << i for i in bits)
-            fix[syndrome[e]] = e
-    return ((rest ^ fix[syndrome]) >> 11).astype(np.int16), fix
+            fix[remainder(np.array([e], np.int32))[0]] = e
+    decode, block = np.empty(1 << 23, np.int16), 1 << 17  # in blocks: the table itself is all that a worker needs at once
+    for at in range(0, len(decode), block):
+        words = np.arange(at, at + block, dtype=np.int32)
+        decode[at : at + block] = (words ^ fix[remainder(words)]) >> 11
+    return decode, fix
 
 
 _TABLE: list[np.ndarray] = []
