@@ -206,7 +206,7 @@ def apply_rules(df: DataFrame, rules: list[dict], total: str = "total", scale: f
     )
 
 
-#: What conditions of shipped rule lists may name besides columns and criteria.
+# What conditions of shipped rule lists may name besides columns and criteria.
 FEATURES = (
     "n_words", "sim_prompt", "dup_ratio", "prompt_copy_ratio", "spell_error_rate", "confidence", "total", "scale_max", "min_words",
     "max_words", "keyword_coverage", "n_paragraphs", "snap_gap", "max_snap_gap", "pred_std", "teencode_rate", "informal_rate",
