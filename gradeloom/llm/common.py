@@ -92,7 +92,7 @@ PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i for i <= n, modulo 2**64."""
     if len(_POWERS.get("up", ())) <= n:
-        size = max(n + 1, 1 << 22)
+        size = max(1 << n.bit_length(), 1 << 20)
         for name, base in (("up", _P), ("down", _P_INV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1

@@ -26,6 +26,8 @@ BITS = 20
 MAX_ROWS = 20_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 1.0, 4
 THRESHOLD = 0.7
+#: Bytes of text that are hashed at once (or one text): a worker needs some fifty times as much.
+AT_ONCE = 1 << 19
 #: One in this many rows (by crc32 of doc_id) is held out.
 FOLDS, HELD_OUT = 3, 1
 
@@ -82,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     def hashed(batches):
         for b in batches:
             labels, ids = b.column(0), b.column(1)
-            for first, part in chunks(binary(b, "text"), lower=True):
+            for first, part in chunks(binary(b, "text"), AT_ONCE, lower=True):
                 row, place = features(part)
                 pair = np.unique(row << BITS | place)
                 cuts = np.searchsorted(pair >> BITS, np.arange(len(part) + 1))
@@ -92,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     def fitted(batches):
         examples = []
         for b in batches:
-            examples += [(np.frombuffer(x.as_py(), "<u4").astype(np.int64), y.as_py()) for y, x in zip(b.column(0), b.column(1))]
+            examples += [(np.frombuffer(x.as_py(), "<u4"), y.as_py()) for y, x in zip(b.column(0), b.column(1))]
         kept, w, bias = fit(examples)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(w, bias))], names=["place", "w"])
 
@@ -109,7 +111,7 @@ def score_texts(texts: pa.Array, model) -> np.ndarray:
     dense = np.zeros(1 << BITS, np.float32)
     dense[place] = w
     out = []
-    for _, part in chunks(texts, lower=True):
+    for _, part in chunks(texts, AT_ONCE, lower=True):
         row, at = features(part)
         hit = dense[at] != 0
         pair = np.unique(row[hit] << BITS | at[hit])
