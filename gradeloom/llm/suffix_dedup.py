@@ -38,7 +38,7 @@ from .common import binary, mix, prefix_hash, span_hash, table, written
 
 WINDOW, Q = 100, 32
 #: Runs of a bucket that a task refines; bytes of runs that are refined at once.
-MANY, REFINED = 20_000, 2 << 20
+MANY, REFINED = 20_000, 1 << 20
 #: Bits for a place within a chunk, and bytes of a chunk.
 PLACE = np.uint64((1 << 22) - 1)
 CHUNK = 512 << 10
@@ -131,10 +131,25 @@ def bucket_ids(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
             ids = ids << np.uint64(8) | text[at + i]
     else:
         half = 1 << (depth - 1).bit_length() - 1
-        places, back = np.unique(np.concatenate([at, at + depth - half]), return_inverse=True)
-        lower = bucket_ids(text, places, half)[back].astype(np.uint64)
-        ids = lower[: len(at)] << np.uint64(32) | lower[len(at) :]
-    return np.unique(ids, return_inverse=True)[1]
+        # places are marked, not sorted: a byte and a number of 32 bits for each byte of text
+        needed = np.zeros(len(text), bool)
+        needed[at] = True
+        needed[at + depth - half] = True
+        lower, number = bucket_ids(text, np.flatnonzero(needed), half), np.cumsum(needed, dtype=np.uint32)
+        number -= np.uint32(1)
+        del needed
+        ids = lower[number[at]].astype(np.uint64)
+        ids <<= np.uint64(32)
+        ids |= lower[number[at + depth - half]]
+        del lower, number
+    order = np.argsort(ids)
+    ids = ids[order]
+    new = np.zeros(len(ids), np.uint32)
+    new[1:] = ids[1:] != ids[:-1]
+    del ids
+    out = np.empty(len(order), np.uint32)
+    out[order] = np.cumsum(new, dtype=np.uint32)
+    return out
 
 
 def _strings(lo: np.ndarray, n: np.ndarray) -> np.ndarray:

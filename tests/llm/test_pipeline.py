@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -264,6 +265,17 @@ def test_bucket_ids_are_those_of_the_strings():
         assert [strings[i] for i in np.lexsort((ids,))] == sorted(strings)
 
 
+def test_memory_of_bucket_ids_follows_the_text():
+    text = np.random.default_rng(5).integers(97, 123, 1 << 19).astype(np.uint8)
+    at = np.arange(len(text) - 100)
+    tracemalloc.start()
+    try:
+        suffix_dedup.bucket_ids(text, at, 100)
+        assert tracemalloc.get_traced_memory()[1] < 100 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
 def test_url_filter_of_odd_rows(spark):
     events = "list string, policy string, kind string, value string, action string, at string"
     none = spark.createDataFrame([], events)
