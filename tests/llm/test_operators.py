@@ -227,6 +227,20 @@ def test_alike_documents_of_a_poor_leader_are_linked(spark):
     assert sum(linked(3 * k + 1, 3 * k + 2) or (linked(3 * k, 3 * k + 1) and linked(3 * k, 3 * k + 2)) for k in range(200)) >= 196
 
 
+def test_families_of_versions_are_linked(spark):
+    rows, draw = [], np.random.default_rng(3)
+    some = lambda n: " ".join(draw.choice(VOCABULARY, n))
+    for k in range(100):  # six documents: 60 words and five versions with one other word each
+        words = some(60).split()
+        for i in range(6):
+            at = int(draw.integers(60))
+            version = [f"other{i}" if i and x == at else w for x, w in enumerate(words)]
+            rows.append((6 * k + i, f"{some(12)} {' '.join(version)} {some(30)}"))
+    found = {frozenset((r.match_doc_id, r.doc_id)) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(frozenset((6 * k, 6 * k + i)) in found for k in range(100) for i in range(1, 6)) >= 485
+    assert all(len({x // 6 for x in p}) == 1 for p in found)
+
+
 def test_passages_of_odd_rows(spark):
     shared, long = prose(60), prose(20_000)
     rows = [("a", f"{shared} {prose(30)}", 1), ("b", f"{prose(30)} {shared}", 2), ("b", f"{prose(9)} {shared} {prose(5)}", 3), (None, shared, 4), ("c", long, 5), ("d", f"{prose(40)} {long}", 6)]
