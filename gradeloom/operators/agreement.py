@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import bucketed, written
+
 
 def pearson(a: str, b: str) -> Column:
     """Null where a side is constant."""
@@ -205,22 +207,20 @@ def agreement_report(pairs: DataFrame) -> DataFrame:
 def rater_severity(df: DataFrame, essay: str, rater: str, total: str, sweeps: int = 30) -> DataFrame:
     """(rater, leniency, interpretation, n_scored): score = mean + ability of the essay + leniency of the rater, by turns.
 
-    The cells of essay and rater are counted once; each sweep joins them with what the last one gave, and plans are cut
-    by checkpoints, so a lost executor costs a few sweeps at most.
+    The cells of essay and rater are counted once and stay in buckets of essays, where each sweep reads them: it moves
+    only what it sums by rater (if raters are too many to broadcast, cells as well), and what it gives is written.
     """
-    from gradeloom.session import cut
-
     rows = df.where(F.col(total).isNotNull())
     mean = rows.agg(F.avg(total).alias("mu"))
     cells = rows.groupBy(F.col(essay).alias("e"), F.col(rater).alias("r")).agg(F.count("*").alias("n"), F.sum(total).alias("s")).join(F.broadcast(mean))
-    cells = cut(cells.select("e", "r", "n", (F.col("s") - F.col("n") * F.col("mu")).alias("s")))
-    raters = cells.groupBy("r").agg(F.sum("n").alias("n_scored"))
-    beta = raters.select("r", F.lit(0.0).alias("beta"))
-    for sweep in range(sweeps):
-        theta = cells.join(beta, "r").groupBy("e").agg((F.sum(F.col("s") - F.col("n") * F.col("beta")) / F.sum("n")).alias("theta"))
-        beta = cells.join(theta, "e").groupBy("r").agg((F.sum(F.col("s") - F.col("n") * F.col("theta")) / F.sum("n")).alias("beta"))
-        if sweep % 3 == 2:
-            beta = cut(beta)
+    with bucketed(cells.select("e", "r", "n", (F.col("s") - F.col("n") * F.col("mu")).alias("s")), "e") as cells:
+        raters = written(cells.groupBy("r").agg(F.sum("n").alias("n_scored")))
+        beta = raters.select("r", F.lit(0.0).alias("beta"))
+        of = Window.partitionBy("e")
+        for _ in range(sweeps):
+            now = cells.where("e is not null").join(beta, "r")
+            theta = F.sum(F.col("s") - F.col("n") * F.col("beta")).over(of) / F.sum("n").over(of)
+            beta = written(now.withColumn("theta", theta).groupBy("r").agg((F.sum(F.col("s") - F.col("n") * F.col("theta")) / F.sum("n")).alias("beta")))
     word = F.when(F.col("beta") > 0.25, "lenient").when(F.col("beta") < -0.25, "severe").otherwise("balanced")
     return beta.join(raters, "r").select(F.col("r").alias(rater), F.col("beta").alias("leniency"), word.alias("interpretation"), "n_scored")
 

@@ -143,6 +143,17 @@ def test_severity_by_hand(spark):
     assert {r.r: r.leniency for r in got} == pytest.approx(beta, abs=1e-9)
 
 
+def test_severity_moves_cells_once(spark):
+    def on_disk():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()))
+
+    d = spark.range(200_000).select((F.col("id") % 50_000).alias("e"), (F.xxhash64("id") % 50).alias("r"), (F.col("id") % 41 / 4).alias("x"))
+    before = on_disk()
+    assert agreement.rater_severity(d, "e", "r", "x").count() == 99
+    assert on_disk() - before < 15 << 20
+
+
 def test_bootstrap_covers_the_mean(spark):
     d = spark.range(2000).withColumn("x", (F.col("id") % 10).cast("double"))
     r = evaluation.bootstrap(d, {"x": F.col("x")}, 200).first()
