@@ -132,6 +132,14 @@ def test_structured_answers(spark):
     assert [(r.a, r.b, r.total) for r in snapped] == [(4.0, 0.0, 5.0), (0.0, 1.0, 5.0)]
 
 
+def test_ridge_cuts_texts_into_terms_once_beside_the_vocabularies(spark, monkeypatch):
+    calls, real = [], models._with_terms
+    monkeypatch.setattr(models, "_with_terms", lambda *a: calls.append(1) or real(*a))
+    t = spark.createDataFrame([(i, ("good " if i % 2 else "bad ") * 3 + f"text {i}", 9.0 if i % 2 else 3.0) for i in range(30)], "id int, text string, gold double")
+    models.fit_text_ridge(t, "id", "text", "gold")
+    assert len(calls) == 2  # for the vocabularies, and for counts that frequencies and model share
+
+
 def test_severity_by_hand(spark):
     rng = np.random.default_rng(1)
     rows = [(int(e), int(r), float(rng.integers(0, 40)) / 4) for e in range(12) for r in rng.choice(4, 2, replace=False)]
