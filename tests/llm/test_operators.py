@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import time
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,6 +209,51 @@ def test_edits_at_random_places():
     assert 20 < hits < 120
 
 
+def test_few_steps_are_judged_alike_as_numbers_and_as_arrays(monkeypatch):
+    draw, pairs = np.random.default_rng(11), []
+    words = iter(draw.permutation(1 << 20).astype(np.uint64))
+    take = lambda n: [next(words) for _ in range(n)]
+    for k in range(300):
+        passage, p = take(int(draw.integers(50, 250))), float(draw.choice((0.005, 0.01, 0.02)))
+        edited = [y for x in passage for y in ([x], take(1), [], [x, *take(1)])[int(draw.choice(4, p=(1 - 3 * p, p, p, p)))]]
+        if k % 3 == 0:  # the second half first
+            edited = edited[len(edited) // 2 :] + edited[: len(edited) // 2]
+        pairs.append([passages.grams(np.array(take(3) + x + take(5)), 5) for x in (passage, edited)])
+
+    def run(few):
+        monkeypatch.setattr(passages, "FEW", few)
+        began = time.process_time()
+        return [list(passages.passages_of(a, b, 46, 0.8)) for a, b in pairs], time.process_time() - began
+
+    numbers, arrays = ([run(few) for _ in range(3)] for few in (passages.FEW, 0))
+    assert numbers[0][0] == arrays[0][0] and sum(map(bool, numbers[0][0])) > 100
+    assert min(t for _, t in numbers) < 0.8 * min(t for _, t in arrays)
+
+
+def test_requests_are_cut_without_python_objects_of_each_interval():
+    at = pa.list_(pa.struct([(x, pa.int32() if x == "j" else pa.int64()) for x in ("start", "end", "l_start", "l_end", "j")]))
+    request = pa.struct([("of", pa.int64()), ("slot", pa.int32()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("at", at)])
+    asked, want = [], []
+    for d in range(40):
+        asked.append([{"of": 7, "slot": 1, "kind": 0, "start": d, "end": d + 50, "at": None}])
+        want.append((7, 1, 0, d, d, d + 50, 0, d))
+        for of in range(20):  # two stretches of 60 intervals, one of them under two hash functions
+            asked[-1].append({"of": of, "slot": 0, "kind": 1, "start": None, "end": None, "at": [{"start": s + i, "end": s + i + 50, "l_start": s + i + 5, "l_end": s + i + 55, "j": i % (1 + (s > 0))} for i in range(60) for s in (300, 0)]})
+            want += [(of, 0, 1, s, s + 5, s + 114, 1 + (s > 0), d) for s in (0, 300)]
+    text = " ".join(f"w{i}" for i in range(500))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(-1, 40)), pa.array([text] * 41), pa.array([[], *asked], pa.list_(request))], names=["doc_id", "text", "asked"]).slice(1)
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        rows = [r for b in passages._cuts(1)(iter([batch])) for r in b.to_pylist()]
+        took.append(time.process_time() - began)
+    began = time.process_time()
+    batch.column(2).to_pylist()
+    assert min(took) < time.process_time() - began
+    assert [tuple(r[x] for x in ("of", "slot", "kind", "start", "l_start", "l_end", "n_hashes", "doc_id")) for r in rows] == want
+    assert rows[0]["words"].split() == [b"w%d" % i for i in range(55)] and rows[2]["words"].split() == [b"w%d" % i for i in range(300, 414)]
+
+
 def test_near_passages_finds_short_edited_ones(spark):
     rows = []
     for k in range(120):
@@ -251,6 +299,19 @@ def test_passages_of_odd_rows(spark):
     assert sum("a" in (r.doc_id, r.match_doc_id) and "c" not in (r.doc_id, r.match_doc_id) for r in got) <= 3
 
 
+def test_links_leave_no_shuffle_files(spark, docs):
+    places = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p for d in places for p in Path(d.toString()).rglob("shuffle_*")}
+    docs.count()  # it is cached with a shuffle of its own
+    before = files()
+    passages.near_passages(docs)  # writes the links, no more
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_windows_of_texts_longer_than_a_piece(spark):
     n = (1 << 22) + 3000
     g = passages.mix(np.arange(n, dtype=np.uint64))
