@@ -311,3 +311,32 @@ def test_feedback(spark):
         "> A teacher reviews this essay; the score is provisional.",
     ]
     assert second.split("\n\n")[:2] == ["**Total: 10/10**", "- Content: 4/4 (good) — all"] and second.endswith("asked for.")
+
+
+def test_text_ridge_is_the_exact_one_and_writes_little(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["tốt", "kém", "bài", "a", "x_1", "số12", "dài-dòng", "𝒳𐐀", "É"]
+    rows = [(i, " ".join(rng.choice(words, 30)), float(rng.integers(0, 11))) for i in range(60)] + [(90, None, 3.0), (91, "  ", None), (92, "tốt kém", None)]
+    df = spark.createDataFrame(rows, "id int, text string, gold double").repartition(3)
+    shapes, real = [], models.written
+    monkeypatch.setattr(models, "written", lambda d, **k: shapes.append(dict(d.dtypes)) or real(d, **k))
+    got = {r.id: r.total for r in models.fit_text_ridge(df, "id", "text", "gold", alpha=2.0).scores(df, "id", "text", None).collect()}
+    # vectors in full, of fitted rows and of all rows, were written before
+    assert len(shapes) == 3 and not any(t.startswith(("vector", "array", "udt")) for s in shapes for t in s.values())
+    cut_up = {r.id: (r.w, r.c) for r in df.select("id", retrieval.terms(F.coalesce("text", F.lit(""))).alias("w"), models.char_terms(F.coalesce("text", F.lit(""))).alias("c")).collect()}
+    fitted = [(i, y) for i, _, y in rows if y is not None]
+    parts = []
+    for kind in (0, 1):
+        df_of = {}
+        for i, _ in fitted:
+            for t in set(cut_up[i][kind]):
+                df_of[t] = df_of.get(t, 0) + 1
+        names = sorted(t for t, n in df_of.items() if n >= 2)
+        x = np.array([[cut_up[i][kind].count(t) for t in names] for i, *_ in rows], float)
+        x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * (np.log((1 + len(fitted)) / (1 + np.array([df_of[t] for t in names]))) + 1)
+        parts.append(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
+    x = np.hstack(parts)
+    a, y = np.array([v for v, (*_, g) in zip(x, rows) if g is not None]), np.array([g for _, g in fitted])
+    w = np.linalg.solve((a - a.mean(0)).T @ (a - a.mean(0)) + 2.0 * np.eye(a.shape[1]), (a - a.mean(0)).T @ (y - y.mean()))
+    want = np.clip(y.mean() + (x - a.mean(0)) @ w, 0, 10)
+    assert got == pytest.approx({i: t for (i, *_), t in zip(rows, want)}, abs=1e-4)
